@@ -1,0 +1,5 @@
+"""Intentionally empty: nothing in scope keeps state over a stream.
+
+The row-wise readers and expressions of this package work on ``readStream`` frames as they
+are; there is no watermark, window or stateful operator to add.
+"""
