@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import sequence as S
+from ..functions import text as T
 from .keyed import top_per_group, unnest
 
 
@@ -263,7 +264,7 @@ def equal_bins(values: DataFrame, value: str, n: str, group: str, bins: int = K.
         values = values.join(rng, group)
     else:
         values = values.withColumns({"_lo": F.lit(float(low)), "_hi": F.lit(float(high))})
-    raw = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+    raw = F.floor((F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo")))
     bin_no = F.least(raw, F.lit(bins - 1)).cast("bigint")
     return values.groupBy(group, bin_no.alias("bin")).agg(F.sum(n).alias("n_reads"))
 
@@ -295,7 +296,9 @@ def qc_gc_hist(reads: DataFrame, group: str = "path") -> DataFrame:
     pairs = _qc_reads(reads).groupBy(
         group, S.gc_count(F.col("seq")).alias("_g"), F.length("seq").alias("_l")
     ).agg(F.count(F.lit(1)).alias("n"))
-    pct = pairs.select(group, F.round(F.lit(100.0) * F.col("_g") / F.col("_l"), 2).alias("gc"), "n")
+    pct = pairs.select(
+        group, T.fixed_round(F.lit(100.0) * F.col("_g") / F.col("_l"), 2).alias("gc"), "n"
+    )
     return equal_bins(pct, "gc", "n", group, low=0.0, high=100.0)
 
 

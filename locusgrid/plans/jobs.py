@@ -82,11 +82,11 @@ def discover_candidates(calls: DataFrame, index: DataFrame, clinvar: DataFrame |
             "snapshot_date": F.lit(snapshot_date).cast("date"),
         })
         clinvar_rows = E.citation_ledger_join(cited, ledger)
+    one = F.lit(1).alias("_k")
     known = called.join(index.select("rsid"), "rsid", "left_semi")
-    summary = (
-        candidates.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("net_new").alias("net_new"))
-        .crossJoin(known.agg(F.count(F.lit(1)).alias("dropped_phase0")))
-    )
+    summary = candidates.agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("net_new").alias("net_new"), one
+    ).join(known.agg(F.count(F.lit(1)).alias("dropped_phase0"), one), "_k").drop("_k")
     out = {"candidates": candidates, "clinvar": clinvar_rows, "cpic": c, "summary": summary}
     if ab is not None:
         out["cpic_members"] = E.cpic_gene_members(ab)
