@@ -24,10 +24,10 @@ def doc_lines(docs: DataFrame, key: str = "doc") -> DataFrame:
     return lines.select(key, (F.col("_p") + 1).alias("lineno"), "line")
 
 
-def _split(docs: DataFrame, key: str) -> DataFrame:
-    """``key, _lines`` per document."""
-    raw = docs.select(key, T.split_lines(F.col("text")).alias("_raw"))
-    return raw.select(key, T.drop_last_empty(F.col("_raw")).alias("_lines"))
+def _split(docs: DataFrame, key: str, keep=()) -> DataFrame:
+    """``key``, the ``keep`` columns and ``_lines`` per document."""
+    raw = docs.select(key, *keep, T.split_lines(F.col("text")).alias("_raw"))
+    return raw.select(key, *keep, T.drop_last_empty(F.col("_raw")).alias("_lines"))
 
 
 def _positions(lines: Column, test) -> Column:
@@ -63,11 +63,20 @@ def line_states(docs: DataFrame, flags, key: str = "doc") -> DataFrame:
     ``archive_quote``   in a run of ``>`` lines that carries the archive marker
     ``heading``         text of the latest heading, empty before the first
     """
+    d = _line_flags(docs, flags, key)
+    return unnest(d, [key], F.col("_z"), "_z", "_p").select(
+        key, (F.col("_p") + 1).alias("lineno"), "_z.line", *[f"_z.{f}" for f in flags]
+    )
+
+
+def _line_flags(docs: DataFrame, flags, key: str, keep=()) -> DataFrame:
+    """One row per document: ``key``, the ``keep`` columns and ``_z``, an array of one struct
+    per line with its text and flags."""
     unknown = set(flags) - set(LINE_FLAGS)
     if unknown:
         raise ValueError(f"unknown line flags: {sorted(unknown)}")
     lines, n = F.col("_lines"), F.col("_n")
-    d = _split(docs, key)
+    d = _split(docs, key, keep)
     d = d.withColumn("_n", F.size(lines))
     if {"fenced", "code"} & set(flags):
         d = d.withColumn("_fences", _positions(lines, lambda l: l.rlike(T.FENCE)))
@@ -116,11 +125,9 @@ def line_states(docs: DataFrame, flags, key: str = "doc") -> DataFrame:
                 F.col("_turns"), n, F.lit(False),
                 lambda p, j, length: F.array_repeat(F.get(F.col("_q"), p) & marked(p, length), length),
             )
-    d = d.select(key, "_lines", *[c.alias(f) for f, c in made.items()])
+    d = d.select(key, *keep, "_lines", *[c.alias(f) for f, c in made.items()])
     zipped = F.arrays_zip(F.col("_lines").alias("line"), *[F.col(f) for f in made])
-    return unnest(d, [key], zipped, "_z", "_p").select(
-        key, (F.col("_p") + 1).alias("lineno"), "_z.line", *[f"_z.{f}" for f in made]
-    )
+    return d.select(key, *keep, zipped.alias("_z"))
 
 
 def _heading_text(line: Column) -> Column:
@@ -143,29 +150,100 @@ def front_matter_span(docs: DataFrame, key: str = "doc") -> DataFrame:
     return line_states(docs, ["front_matter"], key)
 
 
+def front_matter(text: Column) -> Column:
+    """Map of the leading block's ``name: value`` lines, last one wins; empty without the block.
+    Built from ``let`` bindings: a filter on the result must not multiply the steps below it."""
+    def is_rule(line):
+        return T.strip(line) == "---"
+
+    def entry(line):
+        return F.struct(
+            T.strip(F.substring_index(line, ":", 1)).alias("key"),
+            T.strip(F.substr(line, F.locate(":", line) + 1)).alias("value"),
+        )
+
+    def as_map(pairs):
+        def build(names):
+            return F.map_from_arrays(names, F.transform(
+                names, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"]
+            ))
+
+        return T.let(F.array_distinct(F.transform(pairs, lambda e: e["key"])), build)
+
+    def block(body):
+        end = F.array_position(F.transform(body, is_rule), F.lit(True)).cast("int")
+        inside = F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)
+        return T.let(F.transform(F.filter(inside, lambda l: F.contains(l, F.lit(":"))), entry), as_map)
+
+    def from_lines(lines):
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        opened = F.coalesce(is_rule(F.get(lines, F.lit(0))), F.lit(False))
+        return T.let(F.when(opened, rest).otherwise(T.no_strings()), block)
+
+    return T.let(T.split_lines(text), lambda raw: T.let(T.drop_last_empty(raw), from_lines))
+
+
 def front_matter_map(docs: DataFrame, key: str = "doc") -> DataFrame:
-    """``key, front_matter``: map of the leading block's ``name: value`` lines, last one wins;
-    empty for a document without the block."""
-    lines = F.col("_lines")
-    d = _split(docs, key)
-    body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    d = d.withColumn("_body", F.when(T.strip(F.get(lines, F.lit(0))) == "---", body)
-                     .otherwise(T.no_strings()))
-    end = F.array_position(F.transform("_body", lambda l: T.strip(l) == "---"), F.lit(True)).cast("int")
-    d = d.withColumn("_end", F.when(end > 0, end - 1).otherwise(F.size("_body")))
-    pairs = F.transform(
-        F.filter(F.slice("_body", F.lit(1), F.col("_end")), lambda l: l.contains(":")),
-        lambda l: F.struct(
-            T.strip(F.substring_index(l, ":", 1)).alias("key"),
-            T.strip(F.substr(l, F.locate(":", l) + 1)).alias("value"),
-        ),
-    )
-    d = d.withColumn("_kv", pairs)
-    last = F.filter(
-        F.col("_kv"),
-        lambda e, i: ~F.exists(F.slice("_kv", i + 2, F.size("_kv")), lambda o: o.key == e.key),
+    return docs.select(key, front_matter(F.col("text")).alias("front_matter"))
+
+
+def declared_hash(text: Column) -> Column:
+    return F.try_element_at(front_matter(text), F.lit("source_genome_sha256"))
+
+
+def hash_status(declared: Column, live_hash: str) -> Column:
+    return (
+        F.when(F.coalesce(declared, F.lit("")) == "", F.lit("undeclared"))
+        .when(F.lower(declared) == live_hash.lower(), F.lit("ok"))
+        .otherwise(F.lit("drift"))
     )
-    return d.select(key, F.map_from_entries(last).alias("front_matter"))
+
+
+def doc_findings(docs: DataFrame, phrases=K.HEDGE_PHRASES, live_hash: str | None = None,
+                 key: str = "doc") -> DataFrame:
+    """Everything the corpus checks look for, in one pass over the documents:
+    ``key, kind, lineno, value, detail`` with kind ``phrase``, ``narrow``, ``no_summary``,
+    ``hash`` (drift or undeclared), ``rsid`` (distinct on live lines) or ``triple``."""
+    d = _line_flags(docs, ["fenced", "exempt_section", "archive_quote"], key, ["text"])
+
+    def found(kind, value, lineno=None, detail=None):
+        none = F.lit(None)
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (none if lineno is None else lineno).cast("int").alias("lineno"),
+            value.alias("value"),
+            (none if detail is None else detail).cast("string").alias("detail"),
+        )
+
+    def live(z):
+        return ~z["archive_quote"] & ~F.contains(z["line"], F.lit(K.ARCHIVE_MARKER))
+
+    blank = F.lit("")
+    nothing = F.filter(F.array(found("", blank)), lambda x: F.lit(False))
+
+    def on_line(z, i):
+        scan = live(z) & ~z["fenced"]
+        hits = F.when(
+            scan & ~z["exempt_section"] & T.may_hold_phrase(z["line"], phrases),
+            F.transform(T.phrase_matches(z["line"], phrases), lambda t: found("phrase", t, i + 1)),
+        ).otherwise(nothing)
+        narrow = F.when(scan & T.narrow_hit(z["line"]), F.array(found("narrow", blank, i + 1)))
+        return F.concat(hits, F.coalesce(narrow, nothing))
+
+    rsids = F.array_distinct(F.flatten(F.transform(
+        F.filter("_z", live), lambda z: T.extract_rsids(z["line"])
+    )))
+    parts = [
+        F.flatten(F.transform("_z", on_line)),
+        F.transform(rsids, lambda r: found("rsid", r)),
+        F.transform(T.genotype_triples(F.col("text")), lambda t: found("triple", t["rsid"], None, t["genotype"])),
+        F.when(F.contains("text", F.lit(K.PROVENANCE_HEADING)), nothing).otherwise(
+            F.array(found("no_summary", blank))),
+    ]
+    if live_hash is not None:
+        status = T.let(declared_hash(F.col("text")), lambda h: hash_status(h, live_hash))
+        parts.append(F.filter(F.array(found("hash", status)), lambda x: x["value"] != "ok"))
+    return unnest(d, [key], F.concat(*parts), "_f").select(key, "_f.*")
 
 
 def first_seen_pool(docs: DataFrame, key: str = "doc") -> DataFrame:

@@ -309,14 +309,10 @@ def genotype_consistency(docs: DataFrame, index: DataFrame, key: str = "doc") ->
 
 def source_drift(docs: DataFrame, live_hash: str, key: str = "doc") -> DataFrame:
     """Per document: ``ok``, ``drift`` or ``undeclared`` against the live source hash."""
-    declared = F.try_element_at("front_matter", F.lit("source_genome_sha256"))
-    d = corpus.front_matter_map(docs, key).withColumn("declared", declared)
-    status = (
-        F.when(F.coalesce("declared", F.lit("")) == "", F.lit("undeclared"))
-        .when(F.lower("declared") == live_hash.lower(), F.lit("ok"))
-        .otherwise(F.lit("drift"))
-    )
-    return d.select(key, "declared", status.alias("status"))
+    declared = corpus.declared_hash(F.col("text"))
+    both = T.let(declared, lambda h: F.struct(
+        h.alias("declared"), corpus.hash_status(h, live_hash).alias("status")))
+    return docs.select(key, both.alias("_d")).select(key, "_d.declared", "_d.status")
 
 
 def panel_checklist(panel: DataFrame, index: DataFrame) -> DataFrame:

@@ -103,38 +103,40 @@ def verify_items(docs: DataFrame, index: DataFrame | None = None, live_hash: str
                  prompt_names: DataFrame | None = None, phrases=K.HEDGE_PHRASES,
                  key: str = "doc") -> DataFrame:
     """Long table ``check, severity (fail or note), doc, item`` of everything the checks found."""
-    def rows(df, check, item, severity="fail", doc=None):
-        sev = severity if not isinstance(severity, str) else F.lit(severity)
-        return df.select(
-            F.lit(check).alias("check"), sev.alias("severity"),
-            (F.col(key) if doc is None else doc).cast("string").alias("doc"),
-            item.cast("string").alias("item"),
-        )
-
-    found = [
-        rows(docs.filter(~F.contains("text", F.lit(K.PROVENANCE_HEADING))), "provenance_coverage",
-             F.lit("no provenance summary")),
-        rows(C.narrow_hits(docs, key), "aspirational_narrow", F.col("lineno")),
-        rows(C.phrase_hits(docs, phrases, key), "aspirational_blacklist",
-             F.concat_ws(": ", F.col("lineno").cast("string"), "token")),
-    ]
-    if live_hash is not None:
-        drift = E.source_drift(docs, live_hash, key).filter(F.col("status") != "ok")
-        found.append(rows(drift, "genome_sha", F.col("status"),
-                          F.when(F.col("status") == "drift", F.lit("fail")).otherwise(F.lit("note"))))
-    if index is not None:
-        trace = E.rsid_traceability(docs, index, key)
-        found.append(rows(trace, "rsid_traceability", F.col("rsid"),
-                          F.when(F.col("status") == "absent", F.lit("fail")).otherwise(F.lit("note"))))
-        bad = E.genotype_consistency(docs, index, key)
-        found.append(rows(bad, "genotype_consistency",
-                          F.concat_ws(" ", "rsid", F.lit("cites"), "cited", F.lit("index"), "genotype")))
+    found = C.doc_findings(docs, phrases, live_hash, key)
+    kind = F.col("kind")
+    check = F.expr("""case kind when 'no_summary' then 'provenance_coverage'
+        when 'narrow' then 'aspirational_narrow' when 'phrase' then 'aspirational_blacklist'
+        when 'hash' then 'genome_sha' when 'rsid' then 'rsid_traceability'
+        when 'triple' then 'genotype_consistency' end""")
+    if index is None:
+        found = found.filter(~kind.isin("rsid", "triple")).withColumns(
+            {"_found": F.lit(None).cast("string"), "_gt": F.lit(None).cast("string")})
+    else:
+        # One pass and one join. Rows that cite no id get a key that no rsID equals and that
+        # differs by row, so they spread over the reducers and match nothing.
+        truth = index.select(F.col("rsid").alias("_rsid"), F.col("found").alias("_found"),
+                             F.col("genotype").alias("_gt"))
+        spread_null = F.concat_ws(":", F.col(key).cast("string"), F.col("lineno").cast("string"))
+        cited = F.when(kind.isin("rsid", "triple"), F.col("value")).otherwise(spread_null)
+        found = found.withColumn("_cited", cited).join(
+            truth, F.col("_cited") == F.col("_rsid"), "left")
+    ok = (
+        ((kind == "rsid") & (F.coalesce("_found", F.lit("")) == "y"))
+        | ((kind == "triple") & (F.col("_gt").isNull() | (F.col("detail") == F.col("_gt"))))
+    )
+    note = ((kind == "hash") & (F.col("value") == "undeclared")) | (
+        (kind == "rsid") & F.col("_found").isNotNull())
+    item = F.concat_ws(" ", F.col("lineno").cast("string"), "value", "detail", "_gt")
+    out = found.filter(~ok).select(
+        check.alias("check"), F.when(note, F.lit("note")).otherwise(F.lit("fail")).alias("severity"),
+        F.col(key).cast("string").alias("doc"), item.alias("item"),
+    )
     if prompt_names is not None:
-        found.append(rows(missing_artifacts(docs.sparkSession, prompt_names), "continuation_prompts",
-                          F.col("name"), doc=F.lit(None)))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        gone = missing_artifacts(docs.sparkSession, prompt_names)
+        out = out.unionByName(gone.select(
+            F.lit("continuation_prompts").alias("check"), F.lit("fail").alias("severity"),
+            F.lit(None).cast("string").alias("doc"), F.col("name").alias("item")))
     return out
 
 
