@@ -14,6 +14,7 @@ from .functions import genotype as XG
 from .functions import sequence as XS
 from .functions import text as XT
 from .functions import variant as XV
+from .operators import alignments as OA  # noqa: F401
 from .operators import calls as OC
 from .operators import corpus as OD
 from .operators import evidence as OE

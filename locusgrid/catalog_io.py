@@ -1 +1,306 @@
-"""Registered queries that write a view as text files and read it back."""
+"""Registered queries that write a view as text files to the shared folder and read it back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalog import AUDIT, INDEX, OD, OI, OS, OV, OA, jobs, query
+from .catalog_docs import KNOWN, _discover
+from .session import scratch_path
+from .sources import formats as R
+from .sources import lines as L
+from .sources import sinks as W
+
+
+def _export(v, layout):
+    """The calls of the whole view as one file per task in a vendor layout; each file carries its
+    own header lines because a file's layout is found from its head."""
+    c = v.calls.withColumn("rsid", F.concat_ws("_", "rsid", F.col("line_no").cast("string")))
+    a1, a2 = F.substring("genotype", 1, 1), F.substring("genotype", 2, 1)
+    pos = F.col("pos").cast("string")
+    if layout == "23andme":
+        head = "# This data file generated by 23andMe\n# build 37\n# rsid\tchromosome\tposition\tgenotype"
+        row = F.concat_ws("\t", "rsid", "chrom", pos, "genotype")
+    elif layout == "ancestrydna":
+        head = "#AncestryDNA raw data download\n#GRCh38\nrsid\tchromosome\tposition\tallele1\tallele2"
+        row = F.concat_ws("\t", "rsid", "chrom", pos, a1, a2)
+    else:
+        head = "# MyHeritage DNA raw data.\nRSID,CHROMOSOME,POSITION,RESULT"
+        row = F.concat(F.lit('"'), F.concat_ws('","', "rsid", "chrom", pos, "genotype"), F.lit('"'))
+    path = scratch_path(v.spark, layout)
+    body = c.select(F.col("sample_id"), F.lit(1).alias("k"), row.alias("value"))
+    heads = c.select("sample_id").distinct().select("sample_id", F.lit(0).alias("k"), F.lit(head).alias("value"))
+    both = heads.unionByName(body).repartition("sample_id").sortWithinPartitions("sample_id", "k")
+    both.select("sample_id", "value").write.partitionBy("sample_id").text(path)
+    return path
+
+
+CALLS_SQL = """
+select sample_id, rsid || '_' || line_no as rsid, chrom, pos, genotype from v_calls"""
+
+
+def _back(v, path):
+    got = R.read_calls(v.spark, path, recursiveFileLookup="true")
+    sample = F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint")
+    return got.select(sample.alias("sample_id"), "rsid", "chrom", "pos", "genotype")
+
+
+@query("read_calls_23andme", "v_calls", CALLS_SQL)
+def _(v):
+    return _back(v, _export(v, "23andme"))
+
+
+@query("read_calls_ancestry", "v_calls", CALLS_SQL)
+def _(v):
+    return _back(v, _export(v, "ancestrydna"))
+
+
+@query("read_calls_myheritage", "v_calls", CALLS_SQL)
+def _(v):
+    return _back(v, _export(v, "myheritage"))
+
+
+@query("export_files", "v_calls", """
+select sample_id, 'ancestrydna' as vendor, 'GRCh38' as assembly, 3::bigint as first_data_line from v_calls group by sample_id""")
+def _(v):
+    lines = L.numbered_lines(v.spark, _export(v, "ancestrydna"), recursiveFileLookup="true")
+    files = R.export_files(lines)
+    return files.select(F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint").alias("sample_id"),
+                        "vendor", "assembly", "first_data_line")
+
+
+@query("source_line_accounting", "v_calls", """
+select sample_id, count(*) + 3 as total_lines, 2::bigint as comment_lines, 1::bigint as header_lines, count(*) as data_rows, 0::bigint as blank_lines, 0::bigint as malformed_rows from v_calls group by sample_id""")
+def _(v):
+    lines = L.raw_lines(v.spark, _export(v, "ancestrydna"), recursiveFileLookup="true")
+    return L.source_line_accounting(lines, 5).withColumn(
+        "sample_id", F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint")).drop("path")
+
+
+@query("file_catalog", "v_calls", """
+select sample_id, 'consumer_dna:23andme' as format, false as compressed, false as index_present, 'GRCh37' as assembly from v_calls group by sample_id""")
+def _(v):
+    files = L.file_catalog(v.spark, _export(v, "23andme"), recursiveFileLookup="true")
+    return files.select(F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint").alias("sample_id"),
+                        "format", "compressed", "index_present", "assembly")
+
+
+@query("estimate_records", "v_calls", "select sample_id, count(*) as record_estimate from v_calls group by sample_id")
+def _(v):
+    files = L.file_catalog(v.spark, _export(v, "23andme"), recursiveFileLookup="true")
+    return files.select(F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint").alias("sample_id"),
+                        "record_estimate")
+
+
+@query("archive_count", "v_calls", "select count(distinct sample_id) as n_files from v_calls")
+def _(v):
+    return L.listing(v.spark, _export(v, "23andme"), recursiveFileLookup="true").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("read_fasta", "v_reads", "select 'r' || read_id as seq_id, seq as sequence from v_reads")
+def _(v):
+    path = scratch_path(v.spark, "fasta")
+    W.write_fasta(OS.reads_to_sequences(v.reads), path)
+    return R.read_fasta(v.spark, path).select("seq_id", "sequence")
+
+
+@query("read_fastq", "v_reads", "select 'r' || read_id as name, seq, qual from v_reads where length(qual) > 0")
+def _(v):
+    path = scratch_path(v.spark, "fastq")
+    W.write_fastq(v.reads, path)
+    return R.read_fastq(v.spark, path).select("name", "seq", "qual")
+
+
+@query("read_vcf", "v_variants", """
+select chrom, pos, id, ref, alt, cast(cast(qual as bigint) as double) as qual, filter, svtype, cast(row_id as varchar) as rid from v_variants""")
+def _(v):
+    path = scratch_path(v.spark, "vcf")
+    x = v("v_variants")
+    info = F.concat(F.lit("RID="), F.col("row_id").cast("string"),
+                    F.when(F.col("svtype").isNotNull(), F.concat(F.lit(";SVTYPE="), "svtype")).otherwise(F.lit("")))
+    qual = F.coalesce(F.round("qual").cast("bigint").cast("string"), F.lit("."))
+    x.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, "filter", info)
+             .alias("value")).write.text(path)
+    got = R.read_vcf(v.spark, path)
+    rid = F.element_at(F.split("info", "[=;]"), 2)
+    return got.select("chrom", "pos", "id", "ref", "alt", "qual", "filter", "svtype", rid.alias("rid"))
+
+
+@query("flatten_info", "v_variants", """
+select row_id, cast(pos as varchar) as "DP", case when svtype is not null then 'True' else '' end as "DB", '' as "XX" from v_variants""")
+def _(v):
+    flag = F.when(F.col("svtype").isNotNull(), F.lit(";DB")).otherwise(F.lit(""))
+    x = v("v_variants").withColumn("info", F.concat(F.lit("DP="), F.col("pos").cast("string"), flag))
+    return OV.flatten_info(x, ["DP", "DB", "XX"]).select("row_id", "DP", "DB", "XX")
+
+
+@query("explode_samples", "v_variants", """
+select row_id, s as sample, k as key, case when k = 'GT' then case when s = 'A' then '0/1' when row_id % 2 = 0 then './.' else '1|1' end when s = 'A' then cast(pos as varchar) else '' end as value
+from v_variants cross join (values ('A'), ('B')) a(s) cross join (values ('GT'), ('AD')) b(k)""")
+def _(v):
+    b = F.when(F.col("row_id") % 2 == 0, F.lit(".")).otherwise(F.lit("1|1:."))
+    x = v("v_variants").select(
+        "row_id", F.lit("GT:AD").alias("format"),
+        F.array(F.concat(F.lit("0/1:"), F.col("pos").cast("string")), b).alias("sample_values"))
+    return OV.explode_samples(x, ["A", "B"])
+
+
+@query("flatten_format", "v_variants", """
+select row_id, '0/1' as "A.GT", cast(pos as varchar) as "A.AD", case when row_id % 2 = 0 then './.' else '1|1' end as "B.GT", '' as "B.AD" from v_variants""")
+def _(v):
+    b = F.when(F.col("row_id") % 2 == 0, F.lit(".")).otherwise(F.lit("1|1:."))
+    x = v("v_variants").select(
+        "row_id", F.lit("GT:AD").alias("format"),
+        F.array(F.concat(F.lit("0/1:"), F.col("pos").cast("string")), b).alias("sample_values"))
+    return OV.flatten_format(x, ["A", "B"], ["GT", "AD"])
+
+
+def _sam(v):
+    path = scratch_path(v.spark, "sam")
+    n = F.length("seq").cast("string")
+    row = F.concat_ws(
+        "\t", "name", F.when(F.col("read_no") % 5 == 0, "4").when(F.col("read_no") % 7 == 0, "1024").otherwise("0"),
+        F.concat(F.lit("chr"), (1 + F.col("read_no") % 3).cast("string")), (F.col("read_no") * 10 + 1).cast("string"), F.lit("60"),
+        F.concat(n, F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), "seq", "qual")
+    v.reads.select(row.alias("value")).write.text(path)
+    return path
+
+
+@query("read_sam", "v_reads", """
+select 'r' || read_id as qname, case when read_id % 5 = 0 then 4 when read_id % 7 = 0 then 1024 else 0 end as flag, 'chr' || (1 + read_id % 3) as rname,
+  read_id * 10 + 1 as pos, length(seq) || 'M' as cigar, seq from v_reads""")
+def _(v):
+    return R.read_sam(v.spark, _sam(v)).select("qname", "flag", "rname", "pos", "cigar", "seq")
+
+
+@query("alignment_summary", "v_reads", """
+select 'chr' || (1 + read_id % 3) as rname, count(*) as read_count, count(*) filter (where read_id % 5 <> 0) as mapped, count(*) filter (where read_id % 5 = 0) as unmapped,
+  count(*) filter (where read_id % 5 <> 0 and read_id % 7 = 0) as duplicates, cast(sum(length(seq)) filter (where read_id % 5 <> 0) as bigint) as aligned_bases,
+  cast(count(*) filter (where read_id % 5 <> 0 and read_id % 7 = 0) as double) / count(*) as duplicate_rate from v_reads group by 1""")
+def _(v):
+    return OA.alignment_summary(R.read_sam(v.spark, _sam(v)), ["rname"])
+
+
+@query("mean_coverage", "v_reads", """
+select aligned_bases, reference_length, aligned_bases / reference_length as mean_coverage from
+(select cast(sum(length(seq)) filter (where read_id % 5 <> 0) as bigint) as aligned_bases, 3000000::bigint as reference_length from v_reads)""")
+def _(v):
+    a = R.read_sam(v.spark, _sam(v)).withColumn("path", F.lit("all"))
+    contigs = a.select("path", "rname").distinct().select("path", F.lit(1000000).cast("bigint").alias("length"))
+    return OA.mean_coverage(a, contigs).drop("path")
+
+
+@query("slice_reads", "v_reads", """
+select 'r' || read_id as qname from v_reads where read_id % 3 = 1 and read_id % 5 <> 0 and read_id * 10 + 1 <= 4000 and read_id * 10 + greatest(length(seq), 1) >= 1500""")
+def _(v):
+    return OA.slice_reads(R.read_sam(v.spark, _sam(v)), "chr2", 1500, 4000).select("qname")
+
+
+@query("read_bed", "v_features", "select chrom, start0, end0, 'f' || feature_id as name, '.' as score, strand from v_features")
+def _(v):
+    path = scratch_path(v.spark, "bed")
+    W.write_bed(OI.gff_to_bed(v.gff), path)
+    return R.read_bed(v.spark, path).drop("path", "line_no")
+
+
+@query("read_gff", "v_features", """
+select chrom, source, feature_type, start0, end0, strand, attributes from v_features""")
+def _(v):
+    path = scratch_path(v.spark, "gff")
+    g = v.gff.select(F.col("chrom").alias("seqid"), "source", "feature_type", "start1", "end1", "score", "strand",
+                     F.lit(".").alias("phase"), "attributes")
+    W.write_gff(g, path)
+    return R.read_gff(v.spark, path).select("chrom", "source", "feature_type", "start0", "end0", "strand", "attributes")
+
+
+@query("read_gtf", "v_features", "select chrom, start0, end0, 'g' || feature_id as name, '.' as score, strand from v_features")
+def _(v):
+    path = scratch_path(v.spark, "gtf")
+    attributes = F.concat(F.lit('gene_id "g'), F.col("feature_id").cast("string"), F.lit('"; transcript_id "t"'))
+    g = v.gff.select(F.col("chrom").alias("seqid"), "source", "feature_type", "start1", "end1", "score", "strand",
+                     F.lit(".").alias("phase"), attributes.alias("attributes"))
+    W.write_gff(g, path)
+    return OI.gff_to_bed(R.read_gff(v.spark, path))
+
+
+@query("read_site_map", "v_rsmap", "select * from v_rsmap")
+def _(v):
+    path = scratch_path(v.spark, "map")
+    m = v("v_rsmap").select(F.concat_ws("\t", "rsid", "chrom", F.col("pos").cast("string"), "ref", "alt").alias("value"))
+    m.write.option("compression", "gzip").text(path)
+    return R.read_site_map(v.spark, path)
+
+
+@query("read_dbsnp_sites", "v_variants", "select chrom, pos, id, ref, alt from v_variants")
+def _(v):
+    path = scratch_path(v.spark, "dbsnp")
+    v("v_variants").select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), F.lit("."),
+                                       F.lit("A=1\tB=2\tC")).alias("value")).write.text(path)
+    return R.read_dbsnp_sites(v.spark, path)
+
+
+@query("read_chip_manifest", "v_rsmap", "select rsid from v_rsmap where cast(substr(rsid, 3) as bigint) % 7 <> 0")
+def _(v):
+    path = scratch_path(v.spark, "chip")
+    rs = v("v_rsmap")
+    name = F.when(F.substr("rsid", F.lit(3)).cast("bigint") % 7 == 0, F.concat(F.lit("cnv"), "rsid")).otherwise(F.col("rsid"))
+    row = F.concat(F.lit("id,"), name, F.lit(",x"))
+    body = rs.select(F.when(F.monotonically_increasing_id() % (1 << 33) == 0,
+                            F.concat(F.lit("[Header]\nName,z\n[Assay]\nIlmnID,Name,Chr\n"), row)).otherwise(row).alias("value"))
+    body.write.text(path)
+    return R.read_chip_manifest(v.spark, path).select("rsid").distinct()
+
+
+@query("read_clinvar", "v_clinvar", "select rsid, pathogenic_allele, gene, vcv, significance from v_clinvar")
+def _(v):
+    path = scratch_path(v.spark, "clinvar")
+    W.write_table(v("v_clinvar"), path)
+    return R.read_clinvar(v.spark, path)
+
+
+@query("read_cpic", "v_cpic", "select gene, drug, level, defining_rsids from v_cpic")
+def _(v):
+    path = scratch_path(v.spark, "cpic")
+    W.write_table(v("v_cpic"), path)
+    return R.read_cpic(v.spark, path)
+
+
+@query("write_index", "v_docs v_calls", """
+select rsid, genotype, found from idx""", INDEX)
+def _(v):
+    path = scratch_path(v.spark, "index")
+    W.write_index(v.index, OD.citing_docs(v.docs), path)
+    return R.read_index(v.spark, path)
+
+
+@query("index_source_docs", "v_docs v_calls", """
+select rsid, chromosome, position, genotype, found, (select string_agg(doc, ',' order by doc) from (select distinct cast(doc as varchar) as doc, rsid from d_tok) t where t.rsid = idx.rsid) as source_docs from idx""", INDEX)
+def _(v):
+    return W.index_rows(v.index, OD.citing_docs(v.docs)).select(
+        "rsid", "chromosome", "position", "genotype", "found", "source_docs")
+
+
+@query("append_index", "v_docs v_calls", """
+select rsid, genotype, 0 as discovered_in_phase from idx union all select 'new' || rsid, genotype, 6 from idx""", INDEX)
+def _(v):
+    path = scratch_path(v.spark, "index_parquet")
+    base = v.index.drop("first_doc", "first_pos")
+    W.append_index(base, path)
+    W.append_index(base.withColumns({"rsid": F.concat(F.lit("new"), "rsid"), "discovered_in_phase": F.lit(6)}), path)
+    return v.spark.read.parquet(path).select("rsid", "genotype", "discovered_in_phase")
+
+
+@query("write_claims", "v_docs v_calls", "select doc, lineno, disposition from d_claims", AUDIT)
+def _(v):
+    path = scratch_path(v.spark, "claims")
+    W.write_claims(jobs.audit_claims(v.docs, v.index)["claims"], path)
+    return R.read_table(v.spark, path, ("doc", "lineno", "disposition")).select(
+        F.col("doc").cast("bigint").alias("doc"), F.col("lineno").cast("bigint").alias("lineno_"), "disposition"
+    ).withColumnRenamed("lineno_", "lineno")
+
+
+@query("write_candidates", "v_docs v_rsmap v_ledger v_calls v_clinvar v_cpic", "select rsid, genotype, 'phase6_discovery' as source_docs from cand", KNOWN)
+def _(v):
+    path = scratch_path(v.spark, "candidates")
+    W.write_candidates(_discover(v)["candidates"], path)
+    return R.read_table(v.spark, path, ("rsid", "genotype", "source_docs")).drop("line_no")

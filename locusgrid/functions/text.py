@@ -194,7 +194,8 @@ def term_hits(line: Column, terms) -> Column:
 
 
 def fixed_round(value: Column, digits: int) -> Column:
-    """Round the exact binary value, ties to even (what a reader of ``%.3f`` expects)."""
+    """Round for display, half to even on the binary value. For values of one and more; a tie
+    below the first kept digit (0.0005 at three digits) goes to zero."""
     return F.regexp_replace(F.format_number(value, digits), ",", "").cast("double")
 
 
