@@ -112,13 +112,13 @@ def _(v):
 
 
 @query("read_vcf", "v_variants", """
-select chrom, pos, id, ref, alt, cast(cast(qual as bigint) as double) as qual, filter, svtype, cast(row_id as varchar) as rid from v_variants""")
+select chrom, pos, id, ref, alt, floor(qual) as qual, filter, svtype, cast(row_id as varchar) as rid from v_variants""")
 def _(v):
     path = scratch_path(v.spark, "vcf")
     x = v("v_variants")
     info = F.concat(F.lit("RID="), F.col("row_id").cast("string"),
                     F.when(F.col("svtype").isNotNull(), F.concat(F.lit(";SVTYPE="), "svtype")).otherwise(F.lit("")))
-    qual = F.coalesce(F.round("qual").cast("bigint").cast("string"), F.lit("."))
+    qual = F.coalesce(F.floor("qual").cast("string"), F.lit("."))
     x.select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", qual, "filter", info)
              .alias("value")).write.text(path)
     got = R.read_vcf(v.spark, path)
