@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import genotype as G
+from ..session import fixed_rows
 from .keyed import last_wins, prefilter
 
 _REGION = re.compile(r"([^:]+):(\d+)-(\d+)")
@@ -65,7 +66,7 @@ def id_list(spark: SparkSession, arg: str | list[str]) -> DataFrame:
     else:
         stripped = (line.strip() for line in arg)
         ids = [line.split()[0] for line in stripped if line and not line.startswith("#")]
-    return spark.createDataFrame(list(enumerate(ids, 1)), "req_no bigint, rsid string")
+    return fixed_rows(spark, list(enumerate(ids, 1)), "req_no bigint, rsid string")
 
 
 def requests_per_sample(samples: DataFrame, ids: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from .. import constants as K
 from ..functions import evidence as E
 from ..functions import genotype as G
 from ..functions import text as T
+from ..session import fixed_rows
 from . import corpus
 from .keyed import last_wins, prefilter, unnest
 
@@ -252,8 +253,8 @@ def net_new(rows: DataFrame, reference_docs: DataFrame) -> DataFrame:
 
 def citation_sources(spark) -> DataFrame:
     """The citation allow-list (eight fixed rows)."""
-    return spark.createDataFrame(
-        K.CITATION_SOURCES, "source_key string, url_template string, url_root string, ext string"
+    return fixed_rows(
+        spark, K.CITATION_SOURCES, "source_key string, url_template string, url_root string, ext string"
     )
 
 
@@ -323,7 +324,7 @@ def panel_checklist(panel: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def fixed_panel(spark, pairs=K.METHYLATION_PANEL) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "gene string, rsid string")
+    return fixed_rows(spark, pairs, "gene string, rsid string")
 
 
 def probe_consistency(probes: DataFrame, index: DataFrame) -> DataFrame:

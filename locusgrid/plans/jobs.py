@@ -13,6 +13,7 @@ from ..operators import evidence as E
 from ..operators import sequences as S
 from ..operators import variants as V
 from ..operators.gates import phrase_gate
+from ..session import fixed_rows
 
 
 def build_truth_index(docs: DataFrame, calls: DataFrame, files: DataFrame | None = None,
@@ -142,7 +143,7 @@ def verify_items(docs: DataFrame, index: DataFrame | None = None, live_hash: str
 
 def missing_artifacts(spark: SparkSession, names: DataFrame, expected=K.CONTINUATION_PROMPTS) -> DataFrame:
     """Expected file names that a listing ``name`` does not hold."""
-    want = spark.createDataFrame([(n,) for n in expected], "name string")
+    want = fixed_rows(spark, [(n,) for n in expected], "name string")
     return want.join(names.select("name"), "name", "left_anti")
 
 
@@ -168,8 +169,8 @@ def verify_corpus(docs: DataFrame, index: DataFrame | None = None, live_hash: st
         "rsid_traceability": index is not None, "genotype_consistency": index is not None,
         "continuation_prompts": prompt_names is not None,
     }
-    plan = spark.createDataFrame(
-        [(i, c, given.get(c, True)) for i, c in enumerate(CHECKS)], "ordinal int, check string, given boolean"
+    plan = fixed_rows(
+        spark, [(i, c, given.get(c, True)) for i, c in enumerate(CHECKS)], "ordinal int, check string, given boolean"
     )
     j = plan.join(counts, "check", "left")
     zero = F.lit(0).cast("bigint")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # What the operators count on; all are also Spark's own defaults except the first.
 SETTINGS = {
@@ -54,3 +55,14 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
+
+
+def fixed_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A short fixed table as literals. Unlike ``createDataFrame`` it has a known, small size, so
+    Spark broadcasts it instead of shuffling the other side of a join."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.sql("select 1 as _one").select(F.inline(F.array(*structs)))

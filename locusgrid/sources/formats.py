@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.text import strip
 from ..operators.keyed import last_wins, unnest
+from ..session import fixed_rows
 from . import lines as L
 
 
@@ -312,8 +313,8 @@ def read_terms(arg: str | list[str]) -> list[str]:
 def read_allowlist(spark: SparkSession, path=None) -> DataFrame:
     """Citation sources from a JSON registry (keys with ``_`` are comments) or the fixed list."""
     if path is None:
-        return spark.createDataFrame(
-            K.CITATION_SOURCES, "source_key string, url_template string, url_root string, ext string")
+        return fixed_rows(
+            spark, K.CITATION_SOURCES, "source_key string, url_template string, url_root string, ext string")
     text = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string,string>")
     entries = unnest(text, [], F.map_entries(m), "_e").filter(~F.col("_e.key").startswith("_"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import sequence as S
 from ..operators.keyed import value_lists
+from ..session import fixed_rows
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
@@ -22,8 +23,7 @@ def _tabbed(cols) -> Column:
 
 
 def _header(df: DataFrame, lines: list[str], path: str) -> None:
-    spark = df.sparkSession
-    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path + "_header")
+    fixed_rows(df.sparkSession, [("\n".join(lines),)], "value string").write.text(path + "_header")
 
 
 def write_fasta(df: DataFrame, path: str, header: str = "header", sequence: str = "sequence", width: int = 70) -> None:
