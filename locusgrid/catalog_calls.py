@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import (
-    LAST, LAST_SAMPLE, OC, OI, OK, OS, OV, XG, XS, XV, query, jobs,
+    LAST, LAST_SAMPLE, OC, OI, OK, OS, OV, XG, XS, XV, query, jobs, spread,
 )
 
 BIG = "bigint"
@@ -66,7 +66,7 @@ select sample_id, line_no, chrom, pos, rsid as id, ref, alt, '.' as qual, 'PASS'
   concat(case substr(genotype, 1, 1) when ref then '0' when alt then '1' else '.' end, '/', case substr(genotype, 2, 1) when ref then '0' when alt then '1' else '.' end) as gt
 from j where ref is not null and not nc""", SITES)
 def _(v):
-    return OC.calls_to_vcf(v.calls, v("v_rsmap"))
+    return OC.calls_to_vcf(spread(v.calls), v("v_rsmap"))
 
 
 @query("conversion_accounting", "v_calls v_rsmap", """
@@ -101,7 +101,7 @@ from (select sample_id, count(*) as n, sum(cast('0x' || substr(h, 1, 15) as bigi
   from (select sample_id, sha256(concat_ws('|', length(rsid) || ':' || rsid, length(chrom) || ':' || chrom, length(cast(pos as varchar)) || ':' || pos,
     length(genotype) || ':' || genotype, length(cast(line_no as varchar)) || ':' || line_no)) as h from v_calls) group by sample_id)""")
 def _(v):
-    return OK.table_fingerprint(v.calls, ["sample_id"])
+    return OK.table_fingerprint(spread(v.calls), ["sample_id"])
 
 
 # --- variants ----------------------------------------------------------------

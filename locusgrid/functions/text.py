@@ -151,22 +151,35 @@ def may_hold_phrase(line: Column, phrases=K.HEDGE_PHRASES) -> Column:
     return F.lit(True) if None in literals else may_contain(line, literals)
 
 
+def share_no_word(phrases) -> bool:
+    """True when all phrases are plain text and no word is in two of them, so that no two
+    matches can overlap and one alternation finds what separate searches would."""
+    literals = [phrase_literal(p) for p in phrases]
+    if None in literals:
+        return False
+    words = [w for x in literals for w in set(x.lower().split())]
+    return len(words) == len(set(words))
+
+
+def _searches(phrases, cited: bool) -> list[str]:
+    """The patterns to run on a line; a cited line lets the stable ``likely-*`` classes stand."""
+    parts = [p + "(?!-(?:pathogenic|benign))" if cited and "likely" in p else p for p in phrases]
+    if share_no_word(phrases):
+        parts = ["|".join(f"(?:{p})" for p in parts)]
+    return ["(?iuU)" + p for p in parts]
+
+
 def phrase_matches(line: Column, phrases=K.HEDGE_PHRASES) -> Column:
     """All matches of all phrases in one line, stable ``likely-*`` classes left out when
     the line is cited. Line-state exemptions are applied by the caller."""
 
     def search(scan):
-        found = []
-        for phrase in phrases:
-            plain = F.regexp_extract_all(scan, F.lit("(?iuU)" + phrase), F.lit(0))
-            if "likely" in phrase:
-                kept = "(?iuU)" + phrase + "(?!-(?:pathogenic|benign))"
-                stable = F.regexp_extract_all(scan, F.lit(kept), F.lit(0))
-                plain = F.when(stable_class_cited(line), stable).otherwise(plain)
-            literal = phrase_literal(phrase)
-            found.append(plain if literal is None else
-                         F.when(may_contain(scan, [literal]), plain).otherwise(no_strings()))
-        return F.concat(*found)
+        def run(cited):
+            return F.concat(*[
+                F.regexp_extract_all(scan, F.lit(p), F.lit(0)) for p in _searches(phrases, cited)
+            ])
+
+        return F.when(stable_class_cited(line), run(True)).otherwise(run(False))
 
     return F.when(may_hold_phrase(line, phrases), let(strip_inline_code(line), search)).otherwise(
         no_strings()
