@@ -93,20 +93,23 @@ def claim_support(claims: DataFrame, index: DataFrame, key: str = "doc") -> Data
     """Claims with ``supporting`` (found in the INDEX) and ``absent`` (not in the INDEX) ids in
     text order, and the tri-state ``genotype_mismatch``.
 
-    Ids join the INDEX as narrow rows, then regroup by line: a line holds few ids, and a
-    much-cited id is spread over the lines that cite it.
+    Every id of a claim meets the INDEX as a row of its own and the rows regroup by line, so the
+    documents are read once and a much-cited id is spread over the lines that cite it. A claim
+    without ids travels under a key of its own that no rsID equals.
     """
-    ids = unnest(claims, [key, "lineno"], F.col("rsids"), "rsid", "pos")
-    truth = index.select("rsid", F.col("genotype").alias("_gt"), F.col("found").alias("_found"))
-    seen = ids.join(truth, "rsid", "left").groupBy(key, "lineno").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "rsid", "_found", "_gt"))).alias("_ids")
-    )
-    j = claims.join(seen, [key, "lineno"], "left")
-    ids_col = F.coalesce(
-        F.col("_ids"),
-        F.array().cast("array<struct<pos:int,rsid:string,_found:string,_gt:string>>"),
-    )
-    j = j.withColumn("_ids", ids_col)
+    carried = F.struct(*[c for c in claims.columns if c not in (key, "lineno")])
+    own_key = F.concat_ws(":", F.col(key).cast("string"), F.col("lineno").cast("string"))
+    # The line's own columns ride on its first row only: a line full of ids is not copied per id.
+    ids = claims.select("*", F.posexplode_outer("rsids").alias("pos", "_id")).select(
+        key, "lineno", F.when(F.coalesce("pos", F.lit(0)) == 0, carried).alias("_claim"),
+        "pos", "_id", F.coalesce("_id", own_key).alias("_rsid"))
+    truth = index.select(
+        F.col("rsid").alias("_rsid"), F.col("genotype").alias("_gt"), F.col("found").alias("_found"))
+    met = F.struct("pos", F.col("_id").alias("rsid"), "_found", "_gt")
+    j = ids.join(truth, "_rsid", "left").groupBy(key, "lineno").agg(
+        F.any_value("_claim", True).alias("_claim"),
+        F.sort_array(F.collect_list(F.when(F.col("_id").isNotNull(), met))).alias("_ids"),
+    ).select(key, "lineno", "_claim.*", "_ids")
     only = F.get("_ids", F.lit(0))
     mismatch = F.when(
         F.col("stated_genotype").isNotNull() & (only["_found"] == "y"),

@@ -62,10 +62,12 @@ def top_per_group(df: DataFrame, groups, order, n: int, rank: str = "rank") -> D
 def value_lists(pairs: DataFrame, key: str, value: str, out: str, limit: int = LIST_LIMIT) -> DataFrame:
     """Sorted comma-joined values per key: ``key, part_no, n_values, out``.
 
-    ``pairs`` must be distinct and hold strings. A key with up to ``limit`` values gives one
+    Values are strings and count once per key. A key with up to ``limit`` values gives one
     row (``part_no`` 0). A larger key is laid out by range over the cluster and gives one row
     per run of at most ``limit`` values, in order of ``part_no``; no value is dropped.
     """
+    # The distinct step is one shuffle that all three uses below share.
+    pairs = pairs.select(key, value).distinct()
     sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_values"))
     whole = pairs.join(sizes.filter(F.col("n_values") <= limit), key)
     small = (
