@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _segment(name: str, docs: list, sizes: list[int], tokens: list[bytes]) -> tuple:
-    numbers: dict[bytes, int] = {}
-    number = numbers.setdefault
-    ids = np.fromiter((number(w, len(numbers)) for w in tokens), np.int32, len(tokens))
+    numbers: dict[bytes, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
     starts = np.zeros(len(sizes), np.int64)
     starts[1:] = np.cumsum(np.asarray(sizes[:-1], np.int64) + GAP)
     at = np.arange(len(ids), dtype=np.int64) + np.repeat(np.arange(len(sizes), dtype=np.int64) * GAP, sizes)
