@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, positional, simhash, topk, toxicity
+from . import chat, packing, pii, positional, simhash, topk, toxicity, urlfilter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,53 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+#: Fixed values (the contract's rules).
+URL_RULES = [
+    urlfilter.Rule("allow", "com", "/"),
+    urlfilter.Rule("block", "example.com", "/en/"),
+    urlfilter.Rule("allow", "www.example.com", "/en/"),
+    urlfilter.Rule("block", "net", "/es/"),
+    urlfilter.Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of each page's URL."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op7_url_filters"] = """
+with rules(verdict, host, path) as (values
+    ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+    ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+cut as (
+    select page_id,
+        translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+    from pages),
+fitting as (
+    select page_id, r.host || r.path as rule, r.verdict,
+        row_number() over (partition by page_id order by length(r.host || r.path) desc) as nth
+    from cut c join rules r
+    on (c.host = r.host or ends_with(c.host, '.' || r.host)) and starts_with(c.path, r.path))
+select c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from cut c left join fitting f on f.page_id = c.page_id and f.nth = 1
+"""
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation formatted, and one whose texts are control strings, read back."""
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    hard = spark.sql("select -1L as conv_id, posexplode(array('user', 'assistant')) as (turn, role)").select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(said).alias("text"))
+    return chat.read_back(chat.conversations(chat.linear(rows.unionByName(hard))))
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document occurs in benchmark items."""
