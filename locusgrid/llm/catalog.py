@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, positional, simhash, topk, toxicity, urlfilter
+from . import chat, packing, pii, positional, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,27 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as an archive record, read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op6_warc"] = """
+with p as (
+    select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes
+    from pages),
+r as (
+    select page_id, payload_bytes, sha1(html) as payload_digest,
+        case when payload_bytes >= 1000 then max(page_id) over (partition by html) end as first_id
+    from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+    case when page_id < first_id then 'revisit' else 'response' end as record_type,
+    case when page_id < first_id then first_id end as refers_to
+from r
+"""
+
+
 #: Fixed values (the contract's rules).
 URL_RULES = [
     urlfilter.Rule("allow", "com", "/"),
