@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, positional, simhash, topk, toxicity, urlfilter, warc
+from . import chat, licenses, packing, pii, positional, simhash, topk, toxicity, urlfilter, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notice of each document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_license_scans"] = licenses.oracle()
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in each document."""

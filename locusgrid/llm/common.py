@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,3 +48,8 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """``rows`` turns the Arrow batches of a partition into tuples of ``ddl``, one at a time."""
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
     return df.mapInArrow(lambda it: batches_of(rows(it), schema, size), ddl)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often it is used."""
+    return F.transform(F.array(value), body)[0]
