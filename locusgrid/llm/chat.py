@@ -48,7 +48,9 @@ def branches(nodes: DataFrame) -> DataFrame:
     ``nodes``: tree, node, parent, role, text, score. A node whose parent is null or missing is a root.
     Nodes that never reach a root (a cycle) are in no path. A node that repeats is kept once.
     """
-    nodes = stored(nodes.dropDuplicates(["tree", "node"]), "tree-nodes")
+    picked = nodes.select("tree", "node", "parent", "role", "text", "score").filter(
+        F.col("tree").isNotNull() & F.col("node").isNotNull())
+    nodes = stored(picked.dropDuplicates(["tree", "node"]), "tree-nodes")
     known = nodes.select("tree", F.col("node").alias("parent"))
     links = nodes.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi")
     parents = links.select("tree", F.col("parent").alias("node")).distinct()

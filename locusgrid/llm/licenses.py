@@ -9,6 +9,7 @@ texts without any such word of any template are passed over.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -88,7 +89,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
         def against(own: Column) -> Column:
             found = []
             for name, b in known:
-                fits = F.size(own).between(len(b) * least / (2 - least), len(b) * (2 - least) / least)
+                fits = F.size(own).between(math.ceil(len(b) * least / (2 - least) - 1e-9),
+                                           math.floor(len(b) * (2 - least) / least + 1e-9))
                 shared = F.size(F.array_intersect(own, F.array(*map(F.lit, b))))
                 dice = shared.cast("double") * 2.0 / (F.size(own) + len(b))
                 found.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
@@ -99,7 +101,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     units = F.filter(F.concat(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, "\n", -1)),
                      lambda u: u.rlike(signal))
     none = F.array().cast("array<struct<dice:double,license:string>>")
-    matched = F.when(text.rlike(signal), F.filter(
+    matched = none if not known else F.when(text.rlike(signal), F.filter(
         F.transform(F.array_distinct(units), similarities), lambda s: s["dice"] >= least)).otherwise(none)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), matched.alias("m"))
     best = F.array_max("m")["dice"]
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
 
 
 def oracle(templates=TEMPLATES, least: float = LEAST) -> str:
-    """The same in SQL for the table ``documents``, without pruning by words."""
+    """The same in SQL for the table ``documents``, without pruning."""
     rows = ", ".join("('{}', {}, [{}])".format(name, len(b), ", ".join(f"'{x}'" for x in b))
                      for name, text in templates if (b := bigram_list(text)))
     return f"""
@@ -125,7 +127,7 @@ own as (
     select doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as b from words),
 scored as (
     select doc_id, unit, license, 2.0::double * len(list_intersect(b, bigrams)) / (len(b) + n) as dice
-    from own join templates on len(b) between n * {least} / (2 - {least}) and n * (2 - {least}) / {least}),
+    from own cross join templates where len(b) > 0),
 good as (select * from scored where dice >= {least}),
 best as (select doc_id, max(dice) as dice, count(distinct unit) as n_units from good group by doc_id)
 select d.doc_id, min(g.license) as license, any_value(b.dice) as dice, coalesce(any_value(b.n_units), 0) as n_units

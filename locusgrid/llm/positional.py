@@ -240,6 +240,7 @@ def judged(found: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that the benchmark contaminates; the columns stay. Rows with a null doc_id
     can't be named and stay."""
-    bad = decontaminate(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(stored(bad, "contaminated"), docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+    bad = decontaminate(docs, items, id_col=id_col, text_col=text_col).filter("contaminated").select("doc_id")
+    # The row is carried as one column, so its names can't clash with those used here.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(stored(bad.distinct(), "contaminated"), "doc_id", "left_anti").select("row.*")

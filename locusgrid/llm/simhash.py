@@ -181,9 +181,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that doc_id the one with the smallest text hash stays. Rows with a null doc_id
     can't be told apart by it, so they stay.
     """
-    keep = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_keep")).distinct()
-    order = F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64(F.col(text_col))))
-    kept = (docs.join(keep, docs[id_col].cast("long") == keep["_keep"]).withColumn("_nth", order)
-            .filter("_nth = 1").select(*[docs[c] for c in docs.columns]))
-    return kept.unionByName(docs.filter(docs[id_col].isNull()))
+    keep = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct()
+    # The row is carried as one column, so its names can't clash with those used here.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"),
+                       F.struct("*").alias("row"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
+    kept = rows.join(keep, "doc_id").withColumn("nth", order).filter("nth = 1").select("row.*")
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
