@@ -94,18 +94,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
                 shared = F.size(F.array_intersect(own, F.array(*map(F.lit, b))))
                 dice = shared.cast("double") * 2.0 / (F.size(own) + len(b))
                 found.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
-            return F.array_max(F.array(*found))
+            return F.filter(F.array(*found), lambda s: s["dice"] >= least)
 
         return let(bigrams(unit), against)
 
     units = F.filter(F.concat(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, "\n", -1)),
                      lambda u: u.rlike(signal))
-    none = F.array().cast("array<struct<dice:double,license:string>>")
+    none = F.array().cast("array<array<struct<dice:double,license:string>>>")
     matched = none if not known else F.when(text.rlike(signal), F.filter(
-        F.transform(F.array_distinct(units), similarities), lambda s: s["dice"] >= least)).otherwise(none)
+        F.transform(F.array_distinct(units), similarities), lambda s: F.size(s) > 0)).otherwise(none)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), matched.alias("m"))
-    best = F.array_max("m")["dice"]
-    names = F.transform(F.filter("m", lambda s: s["dice"] == best), lambda s: s["license"])
+    best = F.array_max(F.flatten("m"))["dice"]
+    names = F.transform(F.filter(F.flatten("m"), lambda s: s["dice"] == best), lambda s: s["license"])
     return picked.select("doc_id", F.array_min(names).alias("license"), best.alias("dice"),
                          F.size("m").cast("long").alias("n_units"))
 

@@ -14,12 +14,11 @@ def slow(text, least=L.LEAST):
     found = []
     for u in units:
         own = set(L.bigram_list(u))
-        best = max(((2.0 * len(own & set(b)) / (len(own) + len(b)), n) for n, t in L.TEMPLATES
-                    if own and (b := L.bigram_list(t))), default=(0, ""))
-        if best[0] >= least:
-            found.append(best)
-    top = max(found)[0] if found else None
-    return (min(n for d, n in found if d == top) if found else None), top, len(found)
+        scores = [(2.0 * len(own & set(b)) / (len(own) + len(b)), n) for n, t in L.TEMPLATES if own and (b := L.bigram_list(t))]
+        if good := [x for x in scores if x[0] >= least]:
+            found.append(good)
+    top = max(d for own in found for d, _ in own) if found else None
+    return (min(n for own in found for d, n in own if d == top) if found else None), top, len(found)
 
 
 def texts():
