@@ -364,7 +364,7 @@ def _(v):
 
 @query("fastq_summary", "v_reads", """
 select 'reads' as path, count(*) as read_count, min(l) as min_length, max(l) as max_length, cast(floor(median(l)) as bigint) as median_length,
-  count(*) filter (where read_id <= 100000 and contains(seq, 'TTAA')) as adapter_hits, count(*) filter (where read_id <= 100000) as sampled_reads,
+  count(*) filter (where contains(seq, 'TTAA')) as adapter_hits, count(*) as sampled_reads,
   cast(sum(l) as double) / count(*) as mean_length, 33 as phred_offset, (select cast(sum(q + 33) as double) / count(*) - 33 from ch) as mean_quality
 from (select read_id, length(seq) as l, seq from v_reads where length(qual) > 0)""", CH)
 def _(v):
@@ -384,7 +384,7 @@ def _(v):
 
 
 @query("adapter_hits", "v_reads", """
-select 'reads' as path, count(*) filter (where contains(seq, 'TTAA') or contains(seq, 'GGCC')) as adapter_hits, count(*) as sampled_reads from v_reads where read_id <= 100000""")
+select 'reads' as path, count(*) filter (where contains(seq, 'TTAA') or contains(seq, 'GGCC')) as adapter_hits, count(*) as sampled_reads from v_reads""")
 def _(v):
     return OS.adapter_hits(v.reads, ("TTAA", "GGCC"))
 
@@ -398,7 +398,7 @@ def _(v):
 select 'reads' as path, cycle, any_value(n) as n_reads, any_value(q1) as q1, any_value(q2) as median, any_value(q3) as q3,
   least(min(q) filter (where q >= q1 - 1.5 * (q3 - q1)), any_value(q1)) as whisker_low, greatest(max(q) filter (where q <= q3 + 1.5 * (q3 - q1)), any_value(q3)) as whisker_high
 from ch join (select cycle, count(*) as n, quantile_cont(q, 0.25) as q1, quantile_cont(q, 0.5) as q2, quantile_cont(q, 0.75) as q3 from ch group by cycle) using (cycle)
-where cycle < 300 group by cycle""", CH)
+group by cycle""", CH)
 def _(v):
     return OS.qc_per_base_box(v.reads)
 

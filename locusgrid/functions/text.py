@@ -163,7 +163,9 @@ def share_no_word(phrases) -> bool:
 
 def _searches(phrases, cited: bool) -> list[str]:
     """The patterns to run on a line; a cited line lets the stable ``likely-*`` classes stand."""
-    parts = [p + "(?!-(?:pathogenic|benign))" if cited and "likely" in p else p for p in phrases]
+    # The exemption is for a match that begins with ``likely``; it looks on from there.
+    stable = r"(?!likely-(?:pathogenic|benign))"
+    parts = [f"{stable}(?:{p})" if cited else p for p in phrases]
     if share_no_word(phrases):
         parts = ["|".join(f"(?:{p})" for p in parts)]
     return ["(?iuU)" + p for p in parts]

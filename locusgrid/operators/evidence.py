@@ -166,7 +166,7 @@ def clinvar_reference(clinvar: DataFrame) -> DataFrame:
 
 
 def clinvar_skipped(clinvar: DataFrame) -> DataFrame:
-    return clinvar.agg(F.count_if(~E.is_pathogenic(F.col("significance"))).alias("skipped"))
+    return clinvar.agg(F.count_if(~F.coalesce(E.is_pathogenic(F.col("significance")), F.lit(False))).alias("skipped"))
 
 
 def cpic_reference(cpic: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Longest list that is ever put into one output value.
+# About the longest list that is put into one output value.
 LIST_LIMIT = 10_000
 
 
@@ -60,34 +60,21 @@ def top_per_group(df: DataFrame, groups, order, n: int, rank: str = "rank") -> D
 
 
 def value_lists(pairs: DataFrame, key: str, value: str, out: str, limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted comma-joined values per key: ``key, part_no, n_values, out``.
+    """Comma-joined values per key: ``key, part_no, n_values, out``.
 
-    Values are strings and count once per key. A key with up to ``limit`` values gives one
-    row (``part_no`` 0). A larger key is laid out by range over the cluster and gives one row
-    per run of at most ``limit`` values, in order of ``part_no``; no value is dropped.
+    Values are strings and count once per key. A key's values are dealt by hash into parts of about
+    ``limit / 2``, so none is dropped and no part grows with its key; each part is sorted. ``part_no``
+    is dense from 0, and the parts depend on the values alone, not on how Spark partitions them. A
+    key of up to ``limit / 2`` values has one part.
     """
-    # The distinct step is one shuffle that all three uses below share.
     pairs = pairs.select(key, value).distinct()
     sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_values"))
-    whole = pairs.join(sizes.filter(F.col("n_values") <= limit), key)
-    small = (
-        whole.groupBy(key, "n_values")
-        .agg(F.sort_array(F.collect_list(value)).alias("_v"))
-        .select(key, F.lit(0).cast("bigint").alias("part_no"), "n_values",
-                F.array_join("_v", ",").alias(out))
-    )
-    large = pairs.join(sizes.filter(F.col("n_values") > limit), key)
-    laid_out = (
-        large.repartitionByRange(F.col(key), F.col(value))
-        .sortWithinPartitions(key, value)
-        .withColumn("part_no", F.expr(f"monotonically_increasing_id() div {limit}"))
-    )
-    parts = (
-        laid_out.groupBy(key, "part_no", "n_values")
-        .agg(F.sort_array(F.collect_list(value)).alias("_v"))
-        .select(key, "part_no", "n_values", F.array_join("_v", ",").alias(out))
-    )
-    return small.unionByName(parts)
+    n_parts = F.ceil(F.col("n_values") * 2 / limit)
+    dealt = pairs.join(sizes, key).withColumn("_part", F.pmod(F.xxhash64(value), n_parts))
+    parts = dealt.groupBy(key, "n_values", "_part").agg(F.sort_array(F.collect_list(value)).alias("_v"))
+    dense = F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1
+    return parts.withColumn("part_no", dense.cast("bigint")).select(
+        key, "part_no", "n_values", F.array_join("_v", ",").alias(out))
 
 
 def table_fingerprint(df: DataFrame, groups=(), columns=None) -> DataFrame:

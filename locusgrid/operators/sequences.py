@@ -138,14 +138,16 @@ def _adapter_found(adapters) -> Column:
     return hit
 
 
-def head_sample(reads: DataFrame, n: int = K.ADAPTER_SCAN_READS) -> DataFrame:
+def head_sample(reads: DataFrame, n: int) -> DataFrame:
     """First ``n`` reads of every file, by their place in the file."""
     return reads.filter(F.col("read_no") <= n)
 
 
-def adapter_hits(reads: DataFrame, adapters=K.ADAPTERS, head: int = K.ADAPTER_SCAN_READS,
+def adapter_hits(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None,
                  group: str = "path") -> DataFrame:
-    return head_sample(reads, head).groupBy(group).agg(
+    """Reads with an adapter among all reads, or among the first ``head`` of every file."""
+    scanned = reads if head is None else head_sample(reads, head)
+    return scanned.groupBy(group).agg(
         F.count_if(_adapter_found(adapters)).alias("adapter_hits"),
         F.count(F.lit(1)).alias("sampled_reads"),
     )
@@ -165,12 +167,13 @@ def quality_range(reads: DataFrame, group: str = "path") -> DataFrame:
     })
 
 
-def fastq_summary(reads: DataFrame, adapters=K.ADAPTERS, head: int = K.ADAPTER_SCAN_READS,
+def fastq_summary(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None,
                   group: str = "path") -> DataFrame:
+    """Per file; adapters are counted in all reads, or in the first ``head``."""
     coded = reads.filter(F.length("qual") > 0).select(
         group, "seq", "read_no", S.quality_codes(F.col("qual")).alias("_c")
     )
-    sampled = F.col("read_no") <= head
+    sampled = F.lit(True) if head is None else F.col("read_no") <= head
     hist = coded.groupBy(group, _length("seq").alias("length")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c)).alias("q"),
@@ -223,10 +226,11 @@ def per_base_mean_quality(reads: DataFrame, group: str = "path") -> DataFrame:
     )
 
 
-def qc_per_base_box(reads: DataFrame, cycles: int = K.QC_CYCLES, group: str = "path") -> DataFrame:
+def qc_per_base_box(reads: DataFrame, cycles: int | None = None, group: str = "path") -> DataFrame:
     """Quartiles and whiskers (last value within 1.5 IQR of the box) per cycle, outliers left
-    out. Characters past the end of the sequence count here."""
-    hist = _with_offset(base_histogram(reads, group), group).filter(F.col("cycle") < cycles).select(
+    out. Characters past the end of the sequence count here. All cycles, or the first ``cycles``."""
+    hist = _with_offset(base_histogram(reads, group), group)
+    hist = (hist if cycles is None else hist.filter(F.col("cycle") < cycles)).select(
         group, "cycle", (F.col("code") - F.col("_offset")).alias("q"), "n"
     )
     quart = hist.groupBy(group, "cycle").agg(

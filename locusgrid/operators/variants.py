@@ -118,15 +118,24 @@ def chip_coverage(site_rows: DataFrame, chip: DataFrame) -> DataFrame:
 
 
 def flatten_info(variants: DataFrame, keys) -> DataFrame:
-    """One string column per INFO key: the value, ``True`` for a bare flag, else empty."""
-    m = F.expr("str_to_map(info, ';', '=')")
-    with_map = variants.withColumn("_info", m)
+    """One string column per INFO key: the value, ``True`` for a bare flag, else empty. A key that is
+    repeated takes its last value; missing members of a list (``.``) are left out."""
     cols = {}
     for k in keys:
-        got = F.try_element_at("_info", F.lit(k))
-        bare = F.map_contains_key("_info", k) & got.isNull()
-        cols[k] = F.when(bare, F.lit("True")).otherwise(F.coalesce(got, F.lit("")))
-    return with_map.withColumns(cols).drop("_info") if cols else variants
+        last = F.try_element_at(_entries(k), F.lit(-1))
+        value = known_members(F.substr(last, F.lit(len(k) + 2)))
+        cols[k] = F.when(last.isNull(), F.lit("")).when(last == k, F.lit("True")).otherwise(value)
+    return variants.withColumns(cols) if cols else variants
+
+
+def _entries(key: str) -> Column:
+    return F.filter(F.split("info", ";"), lambda x: (x == key) | x.startswith(key + "="))
+
+
+def known_members(value: Column) -> Column:
+    """A list without its missing members; ``.`` alone is empty."""
+    return F.when(value.contains("."), F.array_join(F.filter(
+        F.split(value, ","), lambda x: x != "."), ",")).otherwise(value)
 
 
 def explode_samples(variants: DataFrame, samples) -> DataFrame:
@@ -143,9 +152,7 @@ def explode_samples(variants: DataFrame, samples) -> DataFrame:
     long = unnest(by_sample, ["*"], fields, "_f").filter(F.col("_f.key").isNotNull())
     raw = F.coalesce(F.col("_f.value"), F.lit("."))
     gt = F.when(raw == ".", F.lit("./.")).otherwise(raw)
-    value = F.when(F.col("_f.key") == "GT", gt).otherwise(
-        F.when(raw == ".", F.lit("")).otherwise(raw)
-    )
+    value = F.when(F.col("_f.key") == "GT", gt).otherwise(known_members(raw))
     keep = [c for c in variants.columns if c not in ("format", "sample_values")]
     return long.select(*keep, F.col("_s.sample").alias("sample"), F.col("_f.key").alias("key"),
                        value.alias("value"))
@@ -163,7 +170,7 @@ def flatten_format(variants: DataFrame, samples, keys) -> DataFrame:
             if k == "GT":
                 v = F.when(got.isNull() | (got == "."), F.lit("./.")).otherwise(got)
             else:
-                v = F.when(got.isNull() | (got == "."), F.lit("")).otherwise(got)
+                v = F.coalesce(known_members(got), F.lit(""))
             cols.append(v.alias(f"{s}.{k}"))
     keep = [c for c in variants.columns if c not in ("format", "sample_values")]
     return variants.select(*keep, *cols)

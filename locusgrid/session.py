@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it; a temporary one only
-    where the session names none (local runs)."""
+    """The folder all executors can reach, as the session names it. Only a local session, whose
+    executors share the driver's disk, may name none and gets a temporary one; a cluster without one is
+    refused, because its executors would each write to their own disk. The setting isn't changed."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured:
+        return configured
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,10 @@ from ..session import fixed_rows
 from . import lines as L
 
 
+# A phrase list becomes part of expressions; a longer file isn't one.
+MAX_PHRASES = 10_000
+
+
 def _field(parts: Column, i: int) -> Column:
     return F.get(parts, F.lit(i))
 
@@ -118,7 +122,8 @@ def read_fasta(spark: SparkSession, path, **options) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path, **options) -> DataFrame:
     """``path, read_no, header, name, seq, qual`` of four-line records. Reading a file ends at
-    its first empty quality line. One shuffle brings the four lines of a record together."""
+    its first empty quality line; a record before it whose header has no ``@`` fails the read. One
+    shuffle brings the four lines of a record together."""
     lines = L.numbered_lines(spark, path, **options)
     at = (F.col("line_no") - 1) % 4
     recs = lines.groupBy("path", F.expr("(line_no - 1) div 4 + 1").alias("read_no")).agg(*[
@@ -131,7 +136,10 @@ def read_fastq(spark: SparkSession, path, **options) -> DataFrame:
         ends = F.broadcast(ends)
     kept = recs.filter(~empty).join(ends, "path", "left").filter(
         F.col("_end").isNull() | (F.col("read_no") < F.col("_end")))
-    return kept.select("path", "read_no", "header", F.substr("header", F.lit(2)).alias("name"), "seq", "qual")
+    checked = F.when(F.col("header").startswith("@"), F.col("header")).otherwise(F.raise_error(
+        F.concat(F.lit("no FASTQ header: "), F.coalesce("header", F.lit("")), F.lit(" in "), "path")))
+    return kept.withColumn("header", checked).select(
+        "path", "read_no", "header", F.substr("header", F.lit(2)).alias("name"), "seq", "qual")
 
 
 # --- variants and alignments -----------------------------------------------------
@@ -147,7 +155,7 @@ def read_vcf(spark: SparkSession, path, **options) -> DataFrame:
         F.when(_field(p, 2) != ".", _field(p, 2)).alias("id"), _field(p, 3).alias("ref"),
         _field(p, 4).alias("alt"), F.when(qual != ".", qual.try_cast("double")).alias("qual"),
         _field(p, 6).alias("filter"), _field(p, 7).alias("info"),
-        F.try_element_at(F.expr("str_to_map(split(value, '\\t')[7], ';', '=')"), F.lit("SVTYPE")).alias("svtype"),
+        F.nullif(F.regexp_extract(_field(p, 7), "(?:^|;)SVTYPE=([^;]*)", 1), F.lit("")).alias("svtype"),
         _field(p, 8).alias("format"), F.slice(p, F.lit(10), F.greatest(F.size(p) - 9, F.lit(0))).alias("sample_values"))
 
 
@@ -243,37 +251,59 @@ def read_dbsnp_sites(spark: SparkSession, path, **options) -> DataFrame:
 # --- documents and tables by header ----------------------------------------------------
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """``doc, name, text`` of every ``*.md`` below a folder; ``doc`` is the path below it."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(
-        path, wholetext=True)
-    full = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-    root = path.rstrip("/").removeprefix("file://") + "/"
-    return text.select(
+    """``doc, name, text`` of every ``*.md`` below a folder, empty and hidden ones too; ``doc`` is the
+    path below it."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.md"}
+    files = L.listing(spark, path, **options)
+
+    def texts(reader) -> DataFrame:
+        encoded = F.replace(L.plain_path("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+        return reader.select(F.url_decode(encoded).alias("full"), "value")
+
+    found = files.filter("length = 0").select(F.col("path").alias("full"), F.lit("").alias("value"))
+    if not files.filter("length > 0").isEmpty():
+        found = found.unionByName(texts(spark.read.options(**options).text(path, wholetext=True)))
+    hidden = L.hidden_paths(files)
+    if hidden:
+        found = found.unionByName(texts(spark.read.text(hidden, wholetext=True)))
+    root, full = path.rstrip("/").removeprefix("file://") + "/", F.col("full")
+    return found.select(
         F.when(full.contains(root), F.substr(full, F.locate(root, full) + len(root))).otherwise(full).alias("doc"),
         F.substring_index(full, "/", -1).alias("name"), F.col("value").alias("text"))
 
 
 def read_table(spark: SparkSession, path, required, exact: bool = False) -> DataFrame:
-    """A tab-separated table matched by header name, all strings. A missing column fails; with
-    ``exact`` any other column, order or width fails too. Short rows are left out otherwise."""
+    """A tab-separated table matched by header name, all strings. Every file of a folder has a header of
+    its own, and its columns are found by that. A missing column fails; with ``exact`` any other column,
+    order or width fails too. Short rows are left out otherwise. ``line_no`` orders the rows of a file."""
     required = list(required)
-    head = spark.read.text(path).limit(1).collect()
-    if not head:
+    want = F.array(*map(F.lit, required))
+    scan = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"),
+        "value")
+    heads = scan.groupBy("path").agg(F.min("at").alias("first"), F.min_by("value", "at").alias("head"))
+    heads = heads.withColumn("columns", F.split("head", "\t"))
+    bad = heads.filter(F.size(F.array_except(want, "columns")) > 0) if not exact else heads.filter(F.col("columns") != want)
+    wrong = bad.select("path", "columns", F.array_except(want, "columns").alias("missing")).limit(1).collect()
+    if wrong and wrong[0]["missing"]:
+        raise ValueError(f"missing column(s): {','.join(wrong[0]['missing'])} in {wrong[0]['path']}")
+    if wrong:
+        raise ValueError(f"header {list(wrong[0]['columns'])} is not {required} in {wrong[0]['path']}")
+    if L.listing(spark, path).isEmpty():
         raise ValueError(f"empty table: {path}")
-    cols = head[0][0].split("\t")
-    missing = [c for c in required if c not in cols]
-    if missing:
-        raise ValueError(f"missing column(s): {','.join(missing)}")
-    if exact and cols != required:
-        raise ValueError(f"header {cols} is not {required}")
-    p = F.split("value", "\t")
-    rows = L.numbered_lines(spark, path).filter((strip(F.col("value")) != "") & (F.col("value") != F.lit(head[0][0])))
+    if L.few_files(spark, path):
+        heads = F.broadcast(heads)
+    p, width = F.col("parts"), F.size("columns")
+    rows = scan.join(heads.drop("head"), "path").filter(
+        (F.col("at") != F.col("first")) & (strip(F.col("value")) != "")).withColumn("parts", F.split("value", "\t"))
     if exact:
-        width = F.when(F.size(p) != len(cols), F.raise_error(F.concat(F.lit("malformed row: "), "value"))).otherwise(F.lit(True))
-        rows = rows.filter(width)
-    at = {c: cols.index(c) for c in required}
-    rows = rows.filter(F.size(p) > max(at.values()))
-    return rows.select("line_no", *[_field(p, at[c]).alias(c) for c in required])
+        rows = rows.filter(F.when(F.size(p) != width, F.raise_error(
+            F.concat(F.lit("malformed row: "), "value"))).otherwise(F.lit(True)))
+    places = [F.array_position("columns", F.lit(c)).cast("int") for c in required]
+    rows = rows.filter(F.size(p) >= F.greatest(*places, F.lit(1)))
+    return rows.select(F.struct("path", "at").alias("line_no"),
+                       *[F.get(p, at - 1).alias(c) for c, at in zip(required, places)])
 
 
 def read_index(spark: SparkSession, path) -> DataFrame:
@@ -292,7 +322,9 @@ def read_cpic(spark: SparkSession, path) -> DataFrame:
 def read_phrases(spark: SparkSession, path) -> list[str]:
     """Phrase patterns, one per line; ``#`` and blank lines are comments. A short list that ends
     up inside expressions, so it is returned as such."""
-    rows = L.numbered_lines(spark, path).orderBy("line_no").collect()
+    rows = L.numbered_lines(spark, path).orderBy("line_no").limit(MAX_PHRASES + 1).collect()
+    if len(rows) > MAX_PHRASES:
+        raise ValueError(f"more than {MAX_PHRASES} lines of phrases in {path}")
     kept = (r["value"].strip() for r in rows)
     return [p for p in kept if p and not p.startswith("#")]
 

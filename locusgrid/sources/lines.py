@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,13 +16,44 @@ from ..operators.keyed import unnest
 BROADCAST_ROWS = 500_000
 SNIFF_BYTES = 4096
 SAMPLE_BYTES = 65536
-# The whole file has to be read to see its first bytes; above this size the name decides.
-MAGIC_READ_LIMIT = 1 << 30
 
 
-def listing(spark: SparkSession, path, **options) -> DataFrame:
-    """``path, length`` of the files, from the listing alone."""
-    return spark.read.format("binaryFile").options(**options).load(path).select("path", "length")
+def plain_path(path) -> Column:
+    """A path without the scheme that only some readers put before a local one."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilter=None, **_) -> DataFrame:
+    """``path, length`` of all files, from the file system's own listing: empty files and those whose
+    names begin with ``_`` or ``.`` are there too, which Spark's readers leave out. Files directly in a
+    folder, or at any depth with ``recursiveFileLookup``; part folders (``key=value``) always count."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deep = str(recursiveFileLookup).lower() == "true"
+    rows, todo = [], []
+    for p in [path] if isinstance(path, str) else path:
+        hadoop = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hadoop.getFileSystem(conf)
+        todo += [(fs, status) for status in fs.globStatus(hadoop) or []]
+    while todo:
+        fs, status = todo.pop()
+        if status.isFile():
+            name = status.getPath().getName()
+            if pathGlobFilter is None or fnmatch(name, pathGlobFilter):
+                rows.append((re.sub("^file:/+", "/", status.getPath().toString()), status.getLen()))
+            continue
+        for inner in fs.listStatus(status.getPath()):
+            if inner.isFile() or deep or "=" in inner.getPath().getName():
+                todo.append((fs, inner))
+    return spark.createDataFrame(rows, "path string, length bigint")
+
+
+def hidden_paths(files: DataFrame) -> list[str]:
+    """Files with content that Spark's readers skip for their names; named one by one they are read."""
+    name = F.substring_index("path", "/", -1)
+    found = files.filter((F.col("length") > 0) & (name.startswith("_") | name.startswith(".")))
+    # Checksum and commit marks of Hadoop's writers belong to no data set.
+    found = found.filter(~name.endswith(".crc") & (name != "_SUCCESS"))
+    return [r["path"] for r in found.collect()]
 
 
 def _sizes(spark: SparkSession, path, **options) -> tuple[int, int]:
@@ -122,18 +156,13 @@ _INDEXES = {"fasta": ("fai",), "vcf": ("tbi", "csi"), "bam": ("bai", "csi"), "cr
 
 def file_catalog(spark: SparkSession, path, **options) -> DataFrame:
     """One row per file: ``path, format, compressed, size_bytes, index_present, gzip_mismatch,
-    assembly, record_estimate``. Format and estimate follow the first 4 KB and 64 KB."""
-    files = spark.read.format("binaryFile").options(**options).load(path)
-    small = F.col("length") <= MAGIC_READ_LIMIT
-    magic = F.when(small, F.hex(F.substring("content", 1, 4)))
-    base = files.select(
-        "path", "length", magic.alias("_magic"),
-        F.when(small, _little_endian_tail()).alias("_isize"),
-    )
+    assembly, record_estimate``. Format and estimate follow the first 4 KB and 64 KB; no file is read as
+    one value, so its length doesn't matter. Empty files are ``unknown`` without an estimate."""
+    files = listing(spark, path, **options)
     lines = numbered_lines(spark, path, **options)
-    base = base.withColumn("_key", F.regexp_replace("path", "^file:/+", "/"))
-    head = heads(lines).withColumn("_key", F.regexp_replace("path", "^file:/+", "/")).drop("path")
-    d = base.join(head, "_key", "left").withColumn("head", F.coalesce("head", F.lit("")))
+    head = heads(lines).withColumn("path", plain_path("path"))
+    d = files.join(head, "path", "left").withColumn("head", F.coalesce("head", F.lit("")))
+    d = d.join(_sample_counts(lines), "path", "left")
     name = F.lower(F.substring_index("path", "/", -1))
     gz = name.endswith(".gz")
     stem = F.when(gz, F.regexp_replace(name, r"\.gz$", "")).otherwise(name)
@@ -157,10 +186,8 @@ def file_catalog(spark: SparkSession, path, **options) -> DataFrame:
     )
     d = d.withColumn("format", fmt)
     is_gz = F.coalesce(F.col("_magic").startswith("1F8B"), F.col("_gz"))
-    sizes = _sample_counts(lines)
-    d = d.join(sizes, "_key", "left")
     d = d.withColumn("_records", _records(F.col("format")))
-    total = F.when(is_gz, F.col("_isize")).otherwise(F.col("length"))
+    total = F.when(is_gz, F.col("_bytes")).otherwise(F.col("length"))
     ratio = F.greatest(F.lit(1.0), total / F.least(F.greatest(F.col("_bytes"), F.lit(1)), F.lit(SAMPLE_BYTES)))
     estimate = F.when(~F.col("format").isin("bam", "cram", "unknown"),
                       F.when(F.col("_bytes") <= SAMPLE_BYTES, F.col("_records"))
@@ -183,17 +210,14 @@ def file_catalog(spark: SparkSession, path, **options) -> DataFrame:
     )
 
 
-def _little_endian_tail() -> Column:
-    """The last four bytes of ``content`` as a number (a gzip file's unpacked size)."""
-    digits = F.concat(*[F.lpad(F.hex(F.expr(f"substring(content, length - {i}, 1)")), 2, "0") for i in range(4)])
-    return F.conv(digits, 16, 10).cast("bigint")
-
-
 def _sample_counts(lines: DataFrame) -> DataFrame:
-    """Line-kind counts over the first 64 KB of every file, and its whole size in bytes."""
+    """Line-kind counts over the first 64 KB of every file, its unpacked size in bytes, and its first
+    bytes. A line's bytes are kept as they are, so this holds for files that are no text."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     size = F.octet_length("value") + 1
-    whole = lines.groupBy("path").agg(F.sum(size).alias("_bytes"))
+    start = F.hex(F.substring(F.col("value").cast("binary"), 1, 4))
+    whole = lines.groupBy("path").agg(
+        F.sum(size).alias("_bytes"), F.max(F.when(F.col("line_no") == 1, start)).alias("_magic"))
     s = lines.filter(F.col("line_no") <= SAMPLE_BYTES).withColumn(
         "_at", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("_at") < SAMPLE_BYTES)
     v = F.col("value")
@@ -205,7 +229,7 @@ def _sample_counts(lines: DataFrame) -> DataFrame:
         F.count_if(full & ~hash_ & ~F.lower(v).startswith("rsid")).alias("_dna"),
         F.count_if(full & ~v.startswith("@")).alias("_sam"),
     ).join(whole, "path")
-    return counts.withColumn("_key", F.regexp_replace("path", "^file:/+", "/")).drop("path")
+    return counts.withColumn("path", plain_path("path"))
 
 
 def _records(fmt: Column) -> Column:

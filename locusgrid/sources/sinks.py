@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions import sequence as S
 from ..operators.keyed import value_lists
 from ..session import fixed_rows
+from .lines import hidden_paths, listing, plain_path
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
@@ -74,13 +75,17 @@ def index_rows(index: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def write_index(index: DataFrame, sources: DataFrame, path: str) -> None:
-    """INDEX table in pool order (first document, first place in it)."""
+    """INDEX table in pool order (first document, first place in it). ``part_no`` follows the fixed
+    columns: an id with very many documents has several rows that differ in their documents."""
     rows = index_rows(index, sources).orderBy("first_doc", "first_pos", "part_no")
-    write_table(rows.select(*K.INDEX_COLUMNS), path)
+    write_table(rows.select(*K.INDEX_COLUMNS, "part_no"), path)
 
 
 def write_claims(claims: DataFrame, path: str, key: str = "doc") -> None:
-    """Flat table sorted by document and line, and the nested rows as JSON beside it."""
+    """Flat table sorted by document and line, and the nested rows as JSON beside it. The claims are
+    computed once, for the JSON; the table is made from that."""
+    claims.write.json(path + "_json")
+    claims = claims.sparkSession.read.schema(claims.schema).json(path + "_json")
     def joined(c):
         return F.array_join(c, ",")
 
@@ -91,16 +96,17 @@ def write_claims(claims: DataFrame, path: str, key: str = "doc") -> None:
         F.when(F.col("genotype_mismatch"), "y").when(~F.col("genotype_mismatch"), "n").otherwise("").alias("genotype_mismatch"),
         F.translate("text", "\t", " ").alias("text"))
     write_table(flat.orderBy(key, "lineno"), path)
-    claims.write.json(path + "_json")
 
 
 def write_candidates(candidates: DataFrame, path: str, evidence: dict[str, DataFrame] | None = None) -> None:
-    """INDEX-shaped rows of phase 6, the candidates as JSON, and every evidence table beside."""
+    """INDEX-shaped rows of phase 6, the candidates as JSON, and every evidence table beside. The
+    candidates are computed once, for the JSON; the table is made from that."""
+    candidates.write.json(path + "_json")
+    candidates = candidates.sparkSession.read.schema(candidates.schema).json(path + "_json")
     rows = candidates.select(
         "rsid", F.col("chrom").alias("chromosome"), F.col("pos").alias("position"), "genotype",
         F.lit("y").alias("found"), F.lit(K.DISCOVERY_SOURCE).alias("source_docs"), F.lit(6).alias("discovered_in_phase"))
     write_table(rows.orderBy("rsid"), path)
-    candidates.write.json(path + "_json")
     for name, df in (evidence or {}).items():
         df.write.json(f"{path}_{name}")
 
@@ -110,6 +116,17 @@ def append_index(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("discovered_in_phase").parquet(path)
 
 
-def file_fingerprint(spark, path) -> DataFrame:
-    """SHA-256 of every file's bytes."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def file_fingerprint(spark, path, **options) -> DataFrame:
+    """``path, sha256`` of every file's bytes, empty and hidden files too. A hash runs over a file from
+    its start, so a file longer than Spark reads as one value is refused by name."""
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    files = listing(spark, path, **options)
+    large = [r["path"] for r in files.filter(F.col("length") > most).limit(5).collect()]
+    if large:
+        raise ValueError(f"too long to hash as one value (over {most} bytes): {', '.join(large)}")
+    empty = files.filter("length = 0").select("path", F.sha2(F.lit(""), 256).alias("sha256"))
+    read = spark.read.format("binaryFile").options(**options).load(path).select("path", "content")
+    hidden = hidden_paths(files)
+    if hidden:
+        read = read.unionByName(spark.read.format("binaryFile").load(hidden).select("path", "content"))
+    return read.select(plain_path("path").alias("path"), F.sha2("content", 256).alias("sha256")).unionByName(empty)

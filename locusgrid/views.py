@@ -25,8 +25,8 @@ select concat('chr', cast(1 + l_partkey % 22 as {S})) as chrom, l_partkey * 1000
   case when l_discount = 0 then null else l_extendedprice end as qual, case when l_returnflag = 'R' then 'lowQ' when l_returnflag = 'A' then '.' else 'PASS' end as filter,
   case when l_quantity = 50 then 'DEL' end as svtype, l_orderkey * 10 + l_linenumber as row_id from lineitem""",
     "v_reads": """
-select doc_id as read_id, regexp_replace(translate(lower(substr(text, 1, 150)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N'{G}) as seq,
-  regexp_replace(translate(lower(substr(text, 1, 150)), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJ56789;<=>?@01234'), '[^0-9;<=>?@A-J]', '#'{G}) as qual from documents""",
+select doc_id as read_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N'{G}) as seq,
+  regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJ56789;<=>?@01234'), '[^0-9;<=>?@A-J]', '#'{G}) as qual from documents""",
     "v_features": """
 select concat('chr', cast(1 + o_custkey % 22 as {S})) as chrom, o_orderkey * 10 as start0, o_orderkey * 10 + 1 + o_custkey % 500 as end0, o_orderstatus as source, o_orderpriority as feature_type,
   case when o_orderkey % 2 = 0 then '+' else '-' end as strand, concat('ID=f', cast(o_orderkey as {S}), ';Parent=c', cast(o_custkey as {S})) as attributes, o_orderkey as feature_id from orders""",

@@ -8,6 +8,7 @@ from locusgrid.operators import calls as C
 from locusgrid.operators import corpus as D
 from locusgrid.operators import intervals as I
 from locusgrid.operators import keyed as K
+from locusgrid.sources import sinks as W
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,10 +40,24 @@ def test_lists_of_large_groups_are_split_and_whole(spark):
     got = K.value_lists(pairs, "k", "v", "vs", limit=100).orderBy("k", "part_no").collect()
     hot = [r for r in got if r.k == "hot"]
     assert len(hot) > 1 and all(len(r.vs.split(",")) <= 100 for r in hot)
-    assert ",".join(r.vs for r in hot).split(",") == sorted(r.v for r in pairs.filter("k = 'hot'").collect())
+    assert [r.part_no for r in hot] == list(range(len(hot)))
+    assert sorted(",".join(r.vs for r in hot).split(",")) == sorted(r.v for r in pairs.filter("k = 'hot'").collect())
     assert len([r for r in got if r.k != "hot"]) == 50 and sum(len(r.vs.split(",")) for r in got) == 2000
 
 
+def test_index_rows_do_not_depend_on_partitions(spark, conf):
+    sources = spark.range(25_000).select(F.lit("rs1").alias("rsid"), F.concat(F.lit("d"), "id").alias("doc")).unionByName(
+        spark.sql("select 'rs2' as rsid, 'd1' as doc"))
+    index = spark.sql("select 'd1' as first_doc, 1 as first_pos, col1 as rsid, '1' as chromosome, '5' as position, "
+                      "'AG' as genotype, 'y' as found, 0 as discovered_in_phase from values ('rs1'), ('rs2')")
+    found = []
+    for n in (2, 4, 7):
+        conf(spark__sql__shuffle__partitions=str(n))
+        found.append(sorted(map(tuple, W.index_rows(index, sources).collect())))
+    assert found[0] == found[1] == found[2]
+    assert len({x for r in found[0] if r[3] == "rs1" for x in r[8].split(",")}) == 25_000
+
+
 def test_lookup_is_the_same_with_and_without_broadcast(spark, conf):
     calls = spark.range(3000).select(
         F.lit("s").alias("sample_id"), F.concat(F.lit("rs"), F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 700).cast("string")).alias("rsid"),
