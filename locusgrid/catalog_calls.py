@@ -418,7 +418,7 @@ def _(v):
 
 
 @query("qc_gc_hist", "v_reads", """
-select 'reads' as path, cast(least(floor(100.0 * cast(length(seq) - length(translate(seq, 'GC', '')) as double) / length(seq) * 40 / 100.0), 39) as bigint) as bin, count(*) as n_reads
+select 'reads' as path, cast(least(floor(round(100.0 * cast(length(seq) - length(translate(seq, 'GC', '')) as double) / length(seq), 2) * 40 / 100.0), 39) as bigint) as bin, count(*) as n_reads
 from v_reads where length(seq) > 0 group by all""")
 def _(v):
     return OS.qc_gc_hist(v.reads)

@@ -25,8 +25,8 @@ def plain_path(path) -> Column:
 
 def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilter=None, **_) -> DataFrame:
     """``path, length`` of all files, from the file system's own listing: empty files and those whose
-    names begin with ``_`` or ``.`` are there too, which Spark's readers leave out. Files directly in a
-    folder, or at any depth with ``recursiveFileLookup``; part folders (``key=value``) always count."""
+    names begin with ``_`` or ``.`` are there too, which Spark's readers leave out (Hadoop's own marks,
+    ``_SUCCESS`` and ``.crc``, are not). Files directly in a folder, or at any depth with ``recursiveFileLookup``; part folders (``key=value``) always count."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     deep = str(recursiveFileLookup).lower() == "true"
     rows, todo = [], []
@@ -38,7 +38,8 @@ def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilt
         fs, status = todo.pop()
         if status.isFile():
             name = status.getPath().getName()
-            if pathGlobFilter is None or fnmatch(name, pathGlobFilter):
+            mark = name == "_SUCCESS" or name.endswith(".crc")
+            if not mark and (pathGlobFilter is None or fnmatch(name, pathGlobFilter)):
                 rows.append((re.sub("^file:/+", "/", status.getPath().toString()), status.getLen()))
             continue
         for inner in fs.listStatus(status.getPath()):
@@ -51,8 +52,6 @@ def hidden_paths(files: DataFrame) -> list[str]:
     """Files with content that Spark's readers skip for their names; named one by one they are read."""
     name = F.substring_index("path", "/", -1)
     found = files.filter((F.col("length") > 0) & (name.startswith("_") | name.startswith(".")))
-    # Checksum and commit marks of Hadoop's writers belong to no data set.
-    found = found.filter(~name.endswith(".crc") & (name != "_SUCCESS"))
     return [r["path"] for r in found.collect()]
 
 

@@ -24,16 +24,16 @@ def calls(spark, data, name):
 
 
 def test_three_layouts(spark, data):
-    for name, n in (("me.txt", 5), ("ancestry.txt", 3), ("heritage.csv", 3)):
+    for name, n in (("me.txt", 6), ("ancestry.txt", 4), ("heritage.csv", 2)):
         got = rows(calls(spark, data, name).select("rsid", "chrom", "pos", "genotype", "sample_id"), "rsid")
         assert len(got) == n
-        assert got[0] == ("rs1", "1", 100, "AG", name.split(".")[0])
-    assert rows(calls(spark, data, "heritage.csv").select("rsid", "genotype"), "rsid")[2] == ("rs3", "GG")
+        assert got[0] == ("rs5012", "3", 41000, "CT", name.split(".")[0])
+    assert rows(calls(spark, data, "heritage.csv").select("rsid", "genotype"), "rsid")[1] == ("rs5033", "AC")
 
 
 def test_calls_summary_and_build(spark, data):
     s = C.calls_summary(calls(spark, data, "me.txt")).first()
-    assert (s.snp_count, s.no_call_rate) == (5, 0.2)
+    assert (s.snp_count, s.no_call_rate) == (6, 1 / 6)
     files = R.export_files(L.numbered_lines(spark, f"{data}/me.txt")).first()
     assert (files.vendor, files.assembly) == ("23andme", "GRCh37")
 
@@ -79,19 +79,19 @@ def test_catalog_formats(spark, data, tmp_path):
         assert (got[n + ".gz"].format, got[n + ".gz"].compressed) == (fmt, True)
     assert got["c.cram"].format == "cram" and got["notes.dat"].format == "unknown"
     assert got["s.fasta"].index_present and got["s.vcf.gz"].index_present and not got["s.vcf"].index_present
-    estimates = {"s.fasta": 3, "s.fastq": 4, "s.vcf": 6, "s.bed": 3, "s.gff": 4, "s.sam": 5, "me.txt": 5, "s.vcf.gz": 6}
+    estimates = {"s.fasta": 4, "s.fastq": 3, "s.vcf": 6, "s.bed": 4, "s.gff": 4, "s.sam": 5, "me.txt": 6, "s.vcf.gz": 6}
     assert {n: got[n].record_estimate for n in estimates} == estimates
     assert got["me.txt"].assembly == "GRCh37" and got["c.cram"].record_estimate is None
 
 
 def test_fasta(spark, data):
     s = R.read_fasta(spark, f"{data}/s.fasta")
-    assert rows(s.select("seq_id", F.length("sequence")), "record_no") == [("seq1", 32), ("seq2", 36), ("seq3", 16)]
+    assert rows(s.select("seq_id", F.length("sequence")), "record_no") == [("ctgA", 15), ("ctgB", 13), ("ctgC", 8), ("ctgD", 2)]
     f = S.fasta_summary(s).first()
-    assert (f.n_sequences, f.total_length, f.min_length, f.max_length, f.median_length, f.ambiguous_bases) == (3, 84, 16, 36, 32, 4)
-    assert f.n50 == 32 and f.mean_length == 28.0
-    assert rows(S.fasta_table(s).select("id", "gc"), "id")[2] == ("seq3", 100.0)
-    assert S.slice_sequence(s, "seq2", 3, 8).first() == ("seq2:3-8", "GGCCCC")
+    assert (f.n_sequences, f.total_length, f.min_length, f.max_length, f.median_length, f.ambiguous_bases) == (4, 38, 2, 15, 10, 4)
+    assert f.n50 == 13 and f.mean_length == 9.5
+    assert rows(S.fasta_table(s).select("id", "gc"), "id")[2] == ("ctgC", 100.0)
+    assert S.slice_sequence(s, "ctgA", 4, 9).first() == ("ctgA:4-9", "TTGCAA")
 
 
 def test_fasta_and_lines_survive_splitting(spark, tmp_path):
@@ -117,9 +117,9 @@ def test_fasta_and_lines_survive_splitting(spark, tmp_path):
 def test_fastq(spark, data, tmp_path):
     r = R.read_fastq(spark, f"{data}/s.fastq")
     f = S.fastq_summary(r).first()
-    assert (f.read_count, f.phred_offset, f.mean_quality) == (4, 33, 30.25)
+    assert (f.read_count, f.phred_offset) == (3, 33) and f.mean_quality == pytest.approx(315 / 13)
     per = rows(S.per_base_mean_quality(r).select("cycle", "mean_quality"), "cycle")
-    assert per == [(i, 30.25) for i in range(12)]
+    assert [m for _, m in per] == pytest.approx([65 / 3, 25, 85 / 3, 22.5, 22.5])
     (tmp_path / "cut.fq").write_text("@a\nAC\n+\nII\n@b\n\n+\n\n@c\nAC\n+\nII\n")
     assert [x.name for x in R.read_fastq(spark, str(tmp_path / "cut.fq")).collect()] == ["a"]
 
@@ -147,20 +147,22 @@ def test_qc_tables(spark):
 def test_vcf(spark, data):
     v = R.read_vcf(spark, f"{data}/s.vcf")
     s = V.variant_summary(v).first()
-    assert (s.variant_count, s.snv, s.indel, s.mnp, s.sv, s.pass_count, s.filtered_count) == (6, 3, 3, 0, 0, 5, 1)
+    assert (s.variant_count, s.snv, s.indel, s.mnp, s.sv, s.pass_count, s.filtered_count) == (6, 3, 2, 1, 0, 5, 1)
     assert s.ts_tv_ratio == 2.0
-    assert rows(V.variants_by_chrom(v), "chrom") == [("chr1", 4), ("chr2", 2)]
+    assert rows(V.variants_by_chrom(v), "chrom") == [("7", 3), ("8", 3)]
     h = R.vcf_header(spark, f"{data}/s.vcf").first()
-    assert (h.info_ids, h.format_ids, h.samples) == (["DP"], ["GT"], ["S1"])
+    assert (h.info_ids, h.format_ids, h.samples) == (["AF", "DB"], ["AD", "GT"], ["subjA", "subjB"])
     wide = V.flatten_format(V.flatten_info(v, h.info_ids), h.samples, h.format_ids)
-    first = wide.orderBy("chrom", "pos").first()
-    assert (first["DP"], first["S1.GT"]) == ("20", "0/1")
+    at = {r["pos"]: r for r in wide.collect()}
+    assert [at[1200][c] for c in ("AF", "DB", "subjA.GT", "subjA.AD", "subjB.AD")] == ["0.5", "", "0/1", "4", "9,0"]
+    assert (at[1300]["DB"], at[1300]["subjB.GT"], at[300]["AF"], at[410]["AF"]) == ("True", "./.", "0.3", "0.4")
     long = V.explode_samples(v, h.samples)
-    assert rows(long.select("pos", "sample", "key", "value"), "pos")[4] == (500, "S1", "GT", "0/0")
-    assert [r.pos for r in V.slice_variants(v, "chr1", 301, 400).orderBy("pos").collect()] == [300, 400]
-    assert rows(V.frameshift_candidates(v).select("pos"), "pos") == [(300,), (400,)]
-    assert rows(V.filtered_out(v).select("pos", "filter")) == [(400, "lowQ")]
-    assert V.top_quality(v).first().qual == 80.0
+    assert rows(long.filter("pos = 1200").select("sample", "key", "value"), "sample", "key") == [
+        ("subjA", "AD", "4"), ("subjA", "GT", "0/1"), ("subjB", "AD", "9,0"), ("subjB", "GT", "0/0")]
+    assert [r.pos for r in V.slice_variants(v, "7", 1452, 1500).collect()] == [1450]
+    assert rows(V.frameshift_candidates(v).select("pos"), "pos") == [(1450,)]
+    assert rows(V.filtered_out(v).select("pos", "filter")) == [(1450, "lowq")]
+    assert V.top_quality(v).first().qual == 99.0
 
 
 def test_info_flags_and_missing_formats(spark):
@@ -174,32 +176,33 @@ def test_info_flags_and_missing_formats(spark):
 def test_sam(spark, data):
     a, c = R.read_sam(spark, f"{data}/s.sam"), R.sam_contigs(spark, f"{data}/s.sam")
     s = A.alignment_summary(a).first()
-    assert (s.read_count, s.mapped, s.unmapped, s.duplicates, s.aligned_bases) == (5, 4, 1, 1, 40)
-    assert A.mean_coverage(a, c).first().mean_coverage == 0.0002
-    assert [r.qname for r in A.slice_reads(a, "chr1", 157, 300).collect()] == ["r2"]
+    assert (s.read_count, s.mapped, s.unmapped, s.duplicates, s.aligned_bases) == (5, 4, 1, 1, 23)
+    assert A.mean_coverage(a, c).first().mean_coverage == pytest.approx(23 / 3000)
+    assert [r.qname for r in A.slice_reads(a, "chr5", 57, 300).collect()] == ["q2"]
 
 
 def test_bed_gff(spark, data):
     b, g, t = R.read_bed(spark, f"{data}/s.bed"), R.read_gff(spark, f"{data}/s.gff"), R.read_gff(spark, f"{data}/s.gtf")
-    assert rows(I.span_by_chrom(b).select("chrom", "span"), "chrom") == [("chr1", 250), ("chr2", 1000)]
-    assert rows(I.feature_summary(g), "feature_type") == [("exon", 2), ("gene", 2)]
-    assert I.bed_to_gff(b).orderBy("seqid", "start1").first()[0:5] == ("chr1", "bed2gff", "region", 1, 100)
-    assert [r.name for r in I.gff_to_bed(g).orderBy("chrom", "start0", "name").collect()] == ["exon1", "gene1", "exon2", "gene2"]
-    assert [r.name for r in I.gff_to_bed(t).orderBy("chrom", "start0").collect()] == ["g1", "g1", "g2"]
-    assert I.slice_bed(b, "chr1", 100, 200).count() == 1 and I.slice_bed(b, "chr1", 101, 200).count() == 0
-    assert I.slice_gff(g, "chr1", 51, 59).count() == 1
+    assert rows(I.span_by_chrom(b).select("chrom", "span"), "chrom") == [("chr4", 1260), ("chrX", 1)]
+    assert rows(I.feature_summary(g), "feature_type") == [("CDS", 2), ("mRNA", 2)]
+    assert I.bed_to_gff(b).orderBy("seqid", "start1").first()[0:5] == ("chr4", "bed2gff", "region", 11, 60)
+    assert [r.name for r in I.gff_to_bed(g).orderBy("chrom", "start0", "name").collect()] == ["cds9", "tx9", "cds10", "tx8"]
+    assert [r.name for r in I.gff_to_bed(t).orderBy("chrom", "start0").collect()] == ["gA", "gB"]
+    assert I.slice_bed(b, "chr4", 60, 500).count() == 1 and I.slice_bed(b, "chr4", 61, 500).count() == 0
+    assert I.slice_gff(g, "5", 41, 69).count() == 1
 
 
 def test_lookup_and_slices(spark, data):
     c = calls(spark, data, "me.txt")
-    asked = C.id_list(spark, "rs3, rs1,rs77,rs3")
+    asked = C.id_list(spark, "rs5033, rs5012,rs77,rs5033")
     got = rows(C.lookup_calls(asked, c).select("rsid", "chrom", "pos", "genotype", "req_no"), "req_no")
-    assert got == [("rs3", "2", "500", "GG", 1), ("rs1", "1", "100", "AG", 2), ("rs77", "", "", "not_tested", 3), ("rs3", "2", "500", "GG", 4)]
+    assert got == [("rs5033", "9", "7100", "AC", 1), ("rs5012", "3", "41000", "CT", 2), ("rs77", "", "", "not_tested", 3),
+                   ("rs5033", "9", "7100", "AC", 4)]
     assert rows(C.id_list(spark, ["# x", " rs9 extra", "", "rs9"])) == [(1, "rs9"), (2, "rs9")]
     r = calls(spark, data, "regions.txt")
     cut = lambda s: [x.rsid for x in C.slice_calls(r, *C.parse_region(s)).orderBy("line_no").collect()]
-    assert cut("1:500-900") == ["rs200", "rs300"] and cut("1:900-1500") == ["rs300", "rs400"]
-    assert cut("X:1-2500") == ["rsX1"] and cut("MT:50-150") == ["rsMT1", "rsMT2"] and cut("chr1:1-900") == []
+    assert cut("5:2500-4000") == ["rs710", "rs720"] and cut("5:4000-9000") == ["rs720", "rs730"]
+    assert cut("Y:1-400") == ["rsY1"] and cut("MT:10-200") == ["rsM1", "rsM2"] and cut("chr5:1-4000") == []
     for bad in ("1", "1:5", "1:a-b"):
         with pytest.raises(ValueError):
             C.parse_region(bad)
@@ -212,8 +215,8 @@ def test_lookup_and_slices(spark, data):
 def test_calls_to_vcf(spark, data, tmp_path):
     c, m = calls(spark, data, "me.txt"), R.read_site_map(spark, f"{data}/map.tsv")
     v = C.calls_to_vcf(c, m)
-    assert rows(v.select("id", "gt"), "id") == [("rs1", "0/1"), ("rs2", "0/1"), ("rs3", "0/0")]
-    assert rows(C.conversion_accounting(c, m).select("emitted", "unmapped", "no_call_skipped")) == [(3, 2, 0)]
+    assert rows(v.select("id", "gt"), "id") == [("rs5012", "0/1"), ("rs5020", "0/0"), ("rs5033", "0/1")]
+    assert rows(C.conversion_accounting(c, m).select("emitted", "unmapped", "no_call_skipped")) == [(3, 2, 1)]
     out = str(tmp_path / "vcf")
     W.write_vcf(v, out)
     body = spark.read.text(out + "/sample_id=me")
@@ -229,7 +232,7 @@ def test_manifest_and_site_map(spark, data):
 
 
 def test_site_map_choice(spark, data, tmp_path):
-    assert R.first_site_map(spark, None, str(tmp_path / "none.tsv"), f"{data}/map.tsv").count() == 3
+    assert R.first_site_map(spark, None, str(tmp_path / "none.tsv"), f"{data}/map.tsv").count() == 4
     with pytest.raises(FileNotFoundError):
         R.first_site_map(spark, str(tmp_path / "none.tsv"))
 
