@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, stored
 
 CAPACITY = 2048
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 PLAIN_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
