@@ -220,11 +220,48 @@ def _(v):
     return c.select("doc", "lineno", "disposition", "missing_rsid_linkage", "missing_citation")
 
 
-@query("audit_summary", "v_docs v_calls", "select disposition, count(*) as n_claims from d_claims group by disposition", AUDIT)
+@query("audit_summary", "v_docs v_calls", """
+select d.disposition, count(c.doc) as n_claims from (values ('delete'), ('rewrite-with-citation'), ('keep')) d(disposition)
+  left join d_claims c using (disposition) group by d.disposition""", AUDIT)
 def _(v):
     return jobs.audit_claims(v.docs, v.index)["summary"]
 
 
+@query("audit_totals", "v_docs", """
+select (select count(*) from v_docs) as docs, (select count(*) from d_claim) as claims, (select count(*) from (
+  select rsu[1] from d_claim where stated_genotype is not null group by 1 having count(distinct stated_genotype) > 1)) as contradictions""", CLAIMS)
+def _(v):
+    lines = OD.claim_lines(v.docs)
+    return OE.audit_totals(v.docs, lines, OE.contradictions(lines))
+
+
+# Each document belongs to one of the first hundred samples.
+BY_SAMPLE = CLAIMS + "," + POOL + "," + LAST_SAMPLE + r""",
+idx_s as (select p.sample_id, p.rsid, coalesce(genotype, 'not_tested') as genotype,
+  case when coalesce(genotype, 'not_tested') in ('', 'not_tested', '--') then 'n' else 'y' end as found
+  from (select distinct 1 + doc % 100 as sample_id, rsid from d_tok) p left join c_last using (sample_id, rsid)),
+d_ids as (select doc, lineno, unnest(rsu) as rsid from d_claim),
+d_sup as (select doc, lineno, count(*) filter (where found = 'y') as sup, max(genotype) as gt, max(found) as fd
+  from d_ids left join idx_s on idx_s.rsid = d_ids.rsid and idx_s.sample_id = 1 + d_ids.doc % 100 group by doc, lineno)"""
+
+
+@query("audit_claims_by_sample", "v_docs v_calls", """
+select 1 + doc % 100 as sample_id, doc, lineno, case when len(tokens) > 0 then 'delete' when clinical and coalesce(sup, 0) = 0 then 'delete'
+    when coalesce(sup, 0) > 0 and not has_citation then 'rewrite-with-citation' else 'keep' end as disposition,
+  case when stated_genotype is not null and fd = 'y' then stated_genotype <> case when regexp_full_match(gt, '[ACGT]{2}') then list_aggregate(list_sort(string_split(gt, '')), 'string_agg', '') else gt end end as genotype_mismatch
+from d_claim left join d_sup using (doc, lineno)""", BY_SAMPLE)
+def _(v):
+    docs = v.docs.withColumn("sample_id", 1 + F.col("doc") % 100)
+    return _lineno(jobs.audit_claims_by_sample(docs, v.calls)).select(
+        "sample_id", "doc", "lineno", "disposition", "genotype_mismatch")
+
+
+@query("index_for_documents", "v_docs v_calls", "select sample_id, rsid, genotype, found from idx_s", BY_SAMPLE)
+def _(v):
+    docs = v.docs.withColumn("sample_id", 1 + F.col("doc") % 100)
+    return OE.index_for_documents(docs, v.calls).select("sample_id", "rsid", "genotype", "found")
+
+
 @query("contradictions", "v_docs", """
 select distinct rsu[1] as rsid, stated_genotype as genotype, doc from d_claim where stated_genotype is not null
   and rsu[1] in (select rsu[1] from d_claim where stated_genotype is not null group by 1 having count(distinct stated_genotype) > 1)""", CLAIMS)
@@ -286,6 +323,26 @@ def _(v):
     return jobs.verify_corpus(v.docs, v.index, live_hash="abc")
 
 
+ARTIFACTS = "select 'phase' || n || '_prompt.md' as name from (values (0), (1), (2), (3), (4), (5), (6), (7)) p(n)"
+
+
+@query("required_artifacts", "v_docs", f"""
+select name from ({ARTIFACTS}) where name not in (select 'phase' || doc_id % 6 || '_prompt.md' from v_docs)""")
+def _(v):
+    names = v.docs.select(F.concat(F.lit("phase"), (F.col("doc") % 6).cast("string"), F.lit("_prompt.md")).alias("name"))
+    return jobs.missing_artifacts(v.spark, names.distinct())
+
+
+# With all inputs: an archive of one file a sample, one file fewer than expected, and no prompt missing.
+@query("verify_corpus_all_inputs", "v_docs v_calls", """
+select ordinal, "check", case when "check" = 'archive_integrity' then 'fail' when "check" = 'continuation_prompts' then 'pass' else status end as status,
+  case when "check" = 'archive_integrity' then 1 else n_fail end as n_fail, n_note from chks""", VERIFY)
+def _(v):
+    prompts = v.docs.select(F.concat(F.lit("phase"), (F.col("doc") % 8).cast("string"), F.lit("_prompt.md")).alias("name")).distinct()
+    archive = v.calls.select(F.col("sample_id").alias("path")).distinct()
+    return jobs.verify_corpus(v.docs, v.index, "abc", prompts, archive, archive.count() + 1)
+
+
 @query("check_rollup", "v_docs v_calls", """
 select count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'fail') as failed, count(*) filter (where status = 'skip') as skipped from chks""", VERIFY)
 def _(v):
@@ -414,11 +471,19 @@ def _(v):
 
 
 @query("candidate_summary", ALL, """
-select (select count(*) from cand) as candidates, (select count(*) from cand where net_new) as net_new, (select count(*) from called where rsid in (select rsid from known)) as dropped_phase0""", KNOWN)
+select (select count(*) from cand) as candidates, (select count(*) from cand where net_new) as net_new, (select count(*) from called where rsid in (select rsid from known)) as dropped_phase0,
+  (select count(*) from univ) as universe_size, (select count(*) from v_clinvar where lower(significance) not in ('pathogenic', 'likely pathogenic')) as clinvar_skipped""", KNOWN)
 def _(v):
     return _discover(v)["summary"]
 
 
+@query("cpic_evidence", ALL, """
+select distinct c.sample_id, c.rsid, p.gene, p.lv as level, p.drug, false as in_ledger
+from called c join (select gene, drug, lv, unnest(list_distinct(rs)) as rsid from cp_ab) p using (rsid) where c.rsid not in (select rsid from known)""", KNOWN)
+def _(v):
+    return _discover(v)["cpic_evidence"].select("sample_id", "rsid", "gene", "level", "drug", "in_ledger")
+
+
 @query("citation_ledger_join", ALL, """
 select sample_id, pa.rsid, vcv, l.url, l.url_verified, l.url is not null as in_ledger from pa left join v_ledger l on l.identifier = pa.vcv where pa.rsid not in (select rsid from known)""", KNOWN)
 def _(v):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import AUDIT, INDEX, OD, OI, OS, OV, OA, jobs, query
+from .catalog import AUDIT, INDEX, LAST_SAMPLE, OC, OD, OI, OS, OV, OA, jobs, query
 from .catalog_docs import KNOWN, _discover
+from .operators.keyed import last_wins
 from .session import scratch_path
 from .sources import formats as R
 from .sources import lines as L
@@ -290,17 +291,97 @@ def _(v):
     return v.spark.read.parquet(path).select("rsid", "genotype", "discovered_in_phase")
 
 
-@query("write_claims", "v_docs v_calls", "select doc, lineno, disposition from d_claims", AUDIT)
+@query("write_vcf", "v_calls v_rsmap", """
+select c.sample_id, c.chrom, c.rsid as id, count(*) as n from c_last c join v_rsmap m using (rsid) where c.genotype <> '--' group by all""", LAST_SAMPLE)
+def _(v):
+    path = scratch_path(v.spark, "calls_vcf")
+    W.write_vcf(OC.calls_to_vcf(last_wins(v.calls, ["sample_id", "rsid"]), v("v_rsmap")), path)
+    got = R.read_vcf(v.spark, path, recursiveFileLookup="true")
+    sample = F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint")
+    return got.groupBy(sample.alias("sample_id"), "chrom", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vcf_header", "v_clinvar", """
+select string_agg(distinct replace(gene, '#', '_'), ',' order by replace(gene, '#', '_')) as info_ids from v_clinvar""")
+def _(v):
+    path = scratch_path(v.spark, "vcf_header")
+    gene = F.translate("gene", "#", "_")
+    v("v_clinvar").select(F.concat(F.lit("##INFO=<ID="), gene, F.lit(",Number=1,Type=String>")).alias("value")).coalesce(1).write.text(path)
+    return R.vcf_header(v.spark, path).select(F.array_join("info_ids", ",").alias("info_ids"))
+
+
+@query("sam_contigs", "v_rsmap", "select chrom as name, max(pos) as length from v_rsmap group by chrom")
+def _(v):
+    path = scratch_path(v.spark, "sam_header")
+    tops = v("v_rsmap").groupBy("chrom").agg(F.max("pos").alias("pos"))
+    tops.select(F.concat(F.lit("@SQ\tSN:"), "chrom", F.lit("\tLN:"), F.col("pos").cast("string")).alias("value")).write.text(path)
+    return R.sam_contigs(v.spark, path).drop("path")
+
+
+@query("quarantine_short_rows", "v_calls", """
+select count(*) filter (where line_no % 3 = 0) as short_rows, count(*) filter (where line_no % 3 <> 0) as rows from v_calls""")
+def _(v):
+    path = scratch_path(v.spark, "short_rows")
+    head = "# This data file generated by 23andMe\n# rsid\tchromosome\tposition\tgenotype\n"
+    row = F.when(F.col("line_no") % 3 == 0, F.concat_ws("\t", "rsid", "chrom")).otherwise(
+        F.concat_ws("\t", "rsid", "chrom", F.col("pos").cast("string"), "genotype"))
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # each part file carries the header lines
+    v.calls.select(F.when(first, F.concat(F.lit(head), row)).otherwise(row).alias("value")).write.text(path)
+    return R.short_rows(v.spark, path).agg(F.sum("short_rows").alias("short_rows"), F.sum("rows").alias("rows"))
+
+
+@query("read_id_list", "v_requests", "select rsid, count(*) as n from v_requests group by rsid")
+def _(v):
+    path = scratch_path(v.spark, "ids")
+    v("v_requests").select(F.concat(F.lit(" "), "rsid", F.lit(" # asked")).alias("value")).write.text(path)
+    return R.read_id_list(v.spark, path).groupBy("rsid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_specs", "v_docs", """
+select cast(doc_id as varchar) as doc_id, case when doc_id % 3 = 0 then 'missing title,missing provenance' else 'missing provenance' end as reasons from v_docs""")
+def _(v):
+    path = scratch_path(v.spark, "specs")
+    spec = F.struct(F.col("doc").cast("string").alias("doc_id"), F.when(F.col("doc") % 3 != 0, F.lit("t")).alias("title"),
+                    F.lit("g").alias("group"))
+    body = v.docs.select(F.to_json(spec).alias("j")).groupBy(F.spark_partition_id()).agg(F.collect_list("j").alias("j"))
+    body.select(F.concat(F.lit("["), F.array_join("j", ","), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return R.read_specs(v.spark, path).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+# Two files of one table whose columns are in another order, each under its own header.
+@query("mixed_headers", "v_clinvar", """
+select rsid, gene, vcv from v_clinvar union all select 'x' || rsid, gene, vcv from v_clinvar""")
+def _(v):
+    path = scratch_path(v.spark, "mixed")
+    c = v("v_clinvar").select("rsid", "gene", "vcv")
+    W.write_table(c, path + "/a")
+    W.write_table(c.select("vcv", "gene", F.concat(F.lit("x"), "rsid").alias("rsid")), path + "/b")
+    return R.read_table(v.spark, [path + "/a", path + "/b"], ("rsid", "gene", "vcv")).drop("line_no")
+
+
+@query("enforce_header", "v_clinvar", "select rsid, gene, vcv from v_clinvar")
+def _(v):
+    path = scratch_path(v.spark, "exact")
+    W.write_table(v("v_clinvar").select("rsid", "gene", "vcv"), path)
+    return R.read_table(v.spark, path, ("rsid", "gene", "vcv"), exact=True).drop("line_no")
+
+
+@query("write_claims", "v_docs v_calls", """
+select doc, lineno, disposition, array_to_string(supporting, ',') as supporting_rsids, array_to_string(absent, ',') as rsids_absent,
+  case when has_citation then 'y' else 'n' end as has_citation, array_to_string(tokens, ',') as blacklist_tokens, replace(text, chr(9), ' ') as text from d_claims""", AUDIT)
 def _(v):
     path = scratch_path(v.spark, "claims")
     W.write_claims(jobs.audit_claims(v.docs, v.index)["claims"], path)
-    return R.read_table(v.spark, path, ("doc", "lineno", "disposition")).select(
-        F.col("doc").cast("bigint").alias("doc"), F.col("lineno").cast("bigint").alias("lineno_"), "disposition"
-    ).withColumnRenamed("lineno_", "lineno")
+    columns = ("disposition", "supporting_rsids", "rsids_absent", "has_citation", "blacklist_tokens", "text")
+    got = R.read_table(v.spark, path, ("doc", "lineno", *columns)).select(
+        F.col("doc").cast("bigint").alias("doc"), F.col("lineno").cast("bigint").alias("lineno"), *columns)
+    # Ids stand in text order; the SQL has them sorted.
+    return got.withColumns({c: F.array_join(F.array_sort(F.split(c, ",")), ",") for c in ("supporting_rsids", "rsids_absent")})
 
 
-@query("write_candidates", "v_docs v_rsmap v_ledger v_calls v_clinvar v_cpic", "select rsid, genotype, 'phase6_discovery' as source_docs from cand", KNOWN)
+@query("write_candidates", "v_docs v_rsmap v_ledger v_calls v_clinvar v_cpic", """
+select rsid, chrom as chromosome, cast(pos as varchar) as position, genotype, 'y' as found, 'phase6_discovery' as source_docs, '6' as discovered_in_phase from cand""", KNOWN)
 def _(v):
     path = scratch_path(v.spark, "candidates")
     W.write_candidates(_discover(v)["candidates"], path)
-    return R.read_table(v.spark, path, ("rsid", "genotype", "source_docs")).drop("line_no")
+    return R.read_table(v.spark, path, ("rsid", "chromosome", "position", "genotype", "found", "source_docs", "discovered_in_phase")).drop("line_no")

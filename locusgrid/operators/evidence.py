@@ -47,6 +47,19 @@ def index_by_sample(pool: DataFrame, calls: DataFrame, group: str = "sample_id")
     )
 
 
+def index_for_documents(docs: DataFrame, calls: DataFrame, key: str = "doc", group: str = "sample_id") -> DataFrame:
+    """INDEX rows of many subjects with documents of their own: every id that a subject's documents cite,
+    with that subject's last call, ``not_tested`` if none. ``docs``: ``group, key, text``."""
+    cited = unnest(docs, [group], T.extract_rsids(F.col("text")), "rsid").distinct()
+    wanted = prefilter(calls, cited, [group, "rsid"])
+    last = last_wins(wanted.select(group, "rsid", "chrom", "pos", "genotype", "line_no"), [group, "rsid"])
+    genotype = F.coalesce("genotype", F.lit(K.NOT_TESTED))
+    return cited.join(last, [group, "rsid"], "left").select(
+        group, "rsid", F.coalesce("chrom", F.lit("")).alias("chromosome"),
+        F.coalesce(F.col("pos").cast("string"), F.lit("")).alias("position"), genotype.alias("genotype"),
+        G.genotype_found(genotype).alias("found"), F.lit(0).alias("discovered_in_phase"))
+
+
 def sample_coverage(sample_index: DataFrame, pool: DataFrame, group: str = "sample_id") -> DataFrame:
     """Per sample: pool size, found, present without a call, not tested."""
     per = sample_index.groupBy(group).agg(
@@ -89,24 +102,30 @@ def extend_index(index: DataFrame, candidates: DataFrame) -> DataFrame:
 
 # --- claims ----------------------------------------------------------------
 
-def claim_support(claims: DataFrame, index: DataFrame, key: str = "doc") -> DataFrame:
+DISPOSITIONS = ("delete", "rewrite-with-citation", "keep")
+
+
+def claim_support(claims: DataFrame, index: DataFrame, key: str = "doc", subject: str | None = None) -> DataFrame:
     """Claims with ``supporting`` (found in the INDEX) and ``absent`` (not in the INDEX) ids in
     text order, and the tri-state ``genotype_mismatch``.
 
     Every id of a claim meets the INDEX as a row of its own and the rows regroup by line, so the
     documents are read once and a much-cited id is spread over the lines that cite it. A claim
-    without ids travels under a key of its own that no rsID equals.
+    without ids travels under a key of its own that no rsID equals. With ``subject``, the key is a
+    struct that has it as a field, and a claim only meets the INDEX rows of its subject.
     """
     carried = F.struct(*[c for c in claims.columns if c not in (key, "lineno")])
     own_key = F.concat_ws(":", F.col(key).cast("string"), F.col("lineno").cast("string"))
     # The line's own columns ride on its first row only: a line full of ids is not copied per id.
     ids = claims.select("*", F.posexplode_outer("rsids").alias("pos", "_id")).select(
         key, "lineno", F.when(F.coalesce("pos", F.lit(0)) == 0, carried).alias("_claim"),
-        "pos", "_id", F.coalesce("_id", own_key).alias("_rsid"))
+        "pos", "_id", F.coalesce("_id", own_key).alias("_rsid"),
+        (F.lit(0) if subject is None else F.col(key)[subject]).alias("_subject"))
     truth = index.select(
-        F.col("rsid").alias("_rsid"), F.col("genotype").alias("_gt"), F.col("found").alias("_found"))
+        (F.lit(0) if subject is None else F.col(subject)).alias("_subject"), F.col("rsid").alias("_rsid"), F.col("genotype").alias("_gt"), F.col("found").alias("_found"))
     met = F.struct("pos", F.col("_id").alias("rsid"), "_found", "_gt")
-    j = ids.join(truth, "_rsid", "left").groupBy(key, "lineno").agg(
+    on = ["_rsid"] if subject is None else ["_rsid", "_subject"]
+    j = ids.join(truth, on, "left").groupBy(key, "lineno").agg(
         F.any_value("_claim", True).alias("_claim"),
         F.sort_array(F.collect_list(F.when(F.col("_id").isNotNull(), met))).alias("_ids"),
     ).select(key, "lineno", "_claim.*", "_ids")
@@ -152,7 +171,19 @@ def contradictions(claims: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def audit_summary(claims: DataFrame) -> DataFrame:
-    return claims.groupBy("disposition").agg(F.count(F.lit(1)).alias("n_claims"))
+    """Claims by disposition; a disposition without claims counts zero."""
+    every = fixed_rows(claims.sparkSession, [(d,) for d in DISPOSITIONS], "disposition string")
+    counts = claims.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "disposition", "left").select(
+        "disposition", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_claims"))
+
+
+def audit_totals(docs: DataFrame, claims: DataFrame, contradicted: DataFrame, key: str = "doc") -> DataFrame:
+    """One row: documents read, claims, and contradicted ids."""
+    one = F.lit(1).alias("_k")
+    return (docs.agg(F.count(F.lit(1)).alias("docs"), one)
+            .join(claims.agg(F.count(F.lit(1)).alias("claims"), one), "_k")
+            .join(contradicted.agg(F.count_distinct("rsid").alias("contradictions"), one), "_k").drop("_k"))
 
 
 # --- clinical references ---------------------------------------------------
@@ -231,6 +262,13 @@ def cpic_match(found: DataFrame, cpic_pairs: DataFrame) -> DataFrame:
     return found.join(cpic_pairs.select("rsid", F.col("gene").alias("cpic_gene")), "rsid")
 
 
+def cpic_evidence(found: DataFrame, cpic_ab: DataFrame) -> DataFrame:
+    """The level A/B rows behind pass C, one for each call, gene, level and drug, with the source and
+    identifier that a ledger cites them by."""
+    rows = unnest(cpic_ab, ["gene", "drug", "level"], F.col("rsids"), "rsid").distinct()
+    return found.join(rows, "rsid").withColumns({"source_key": F.lit("cpic"), "identifier": F.col("gene")})
+
+
 def pass_union(a: DataFrame, c: DataFrame, keys=("sample_id", "rsid")) -> DataFrame:
     """One row per key with the passes it met (``A``, ``B``, ``C`` in order). The call columns
     are the same on every row of a key."""

@@ -54,6 +54,16 @@ def audit_claims(docs: DataFrame, index: DataFrame, phrases=K.HEDGE_PHRASES, pro
     }
 
 
+def audit_claims_by_sample(docs: DataFrame, calls: DataFrame, phrases=K.HEDGE_PHRASES, project_terms=(),
+                           key: str = "doc", group: str = "sample_id") -> DataFrame:
+    """``group, key`` and the columns of ``claims``: every document is audited against the calls of its own
+    subject. ``docs``: ``group, key, text``; a document of a subject without calls finds none of its ids."""
+    unit = docs.select(F.struct(group, key).alias("_unit"), "text")
+    index = E.index_for_documents(docs, calls, key, group)
+    lines = C.claim_lines(unit, phrases, project_terms, "_unit")
+    return E.dispose(E.claim_support(lines, index, "_unit", group)).select(f"_unit.{group}", f"_unit.{key}", "*").drop("_unit")
+
+
 def discover_candidates(calls: DataFrame, index: DataFrame, clinvar: DataFrame | None,
                         cpic: DataFrame | None, reference_docs: DataFrame,
                         ledger: DataFrame | None = None, snapshot_date: str | None = None,
@@ -85,12 +95,20 @@ def discover_candidates(calls: DataFrame, index: DataFrame, clinvar: DataFrame |
         clinvar_rows = E.citation_ledger_join(cited, ledger)
     one = F.lit(1).alias("_k")
     known = called.join(index.select("rsid"), "rsid", "left_semi")
+    skipped = (E.clinvar_skipped(clinvar) if clinvar is not None else spark.sql("select 0L as skipped")).select(
+        F.col("skipped").alias("clinvar_skipped"), one)
     summary = candidates.agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if("net_new").alias("net_new"), one
-    ).join(known.agg(F.count(F.lit(1)).alias("dropped_phase0"), one), "_k").drop("_k")
+    ).join(known.agg(F.count(F.lit(1)).alias("dropped_phase0"), one), "_k").join(
+        universe.agg(F.count(F.lit(1)).alias("universe_size"), one), "_k").join(skipped, "_k").drop("_k")
     out = {"candidates": candidates, "clinvar": clinvar_rows, "cpic": c, "summary": summary}
     if ab is not None:
         out["cpic_members"] = E.cpic_gene_members(ab)
+        evidence = E.cpic_evidence(fresh, ab)
+        if ledger is not None:
+            evidence = E.citation_ledger_join(
+                evidence.withColumn("snapshot_date", F.lit(snapshot_date).cast("date")), ledger)
+        out["cpic_evidence"] = evidence
     return out
 
 

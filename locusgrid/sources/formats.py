@@ -263,9 +263,8 @@ def read_docs(spark: SparkSession, path: str) -> DataFrame:
     found = files.filter("length = 0").select(F.col("path").alias("full"), F.lit("").alias("value"))
     if not files.filter("length > 0").isEmpty():
         found = found.unionByName(texts(spark.read.options(**options).text(path, wholetext=True)))
-    hidden = L.hidden_paths(files)
-    if hidden:
-        found = found.unionByName(texts(spark.read.text(hidden, wholetext=True)))
+    hidden = L.hidden_files(files).select(F.col("path").alias("full"), F.decode("content", "utf-8").alias("value"))
+    found = found.unionByName(hidden)
     root, full = path.rstrip("/").removeprefix("file://") + "/", F.col("full")
     return found.select(
         F.when(full.contains(root), F.substr(full, F.locate(root, full) + len(root))).otherwise(full).alias("doc"),

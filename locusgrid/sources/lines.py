@@ -16,6 +16,7 @@ from ..operators.keyed import unnest
 BROADCAST_ROWS = 500_000
 SNIFF_BYTES = 4096
 SAMPLE_BYTES = 65536
+HIDDEN_BYTES = 64 << 20
 
 
 def plain_path(path) -> Column:
@@ -48,11 +49,24 @@ def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilt
     return spark.createDataFrame(rows, "path string, length bigint")
 
 
-def hidden_paths(files: DataFrame) -> list[str]:
-    """Files with content that Spark's readers skip for their names; named one by one they are read."""
+def hidden_files(files: DataFrame, most: int = HIDDEN_BYTES) -> DataFrame:
+    """``path, content`` of the files with content that Spark's readers skip for their names. They are the
+    exception in a folder and are read one by one; more than ``most`` bytes of them are refused."""
+    spark = files.sparkSession
     name = F.substring_index("path", "/", -1)
-    found = files.filter((F.col("length") > 0) & (name.startswith("_") | name.startswith(".")))
-    return [r["path"] for r in found.collect()]
+    hidden = files.filter((F.col("length") > 0) & (name.startswith("_") | name.startswith(".")))
+    if (hidden.agg(F.sum("length")).first()[0] or 0) > most:
+        raise ValueError(f"over {most} bytes in files whose names begin with _ or .; rename them to have them read")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for r in hidden.collect():
+        path = jvm.org.apache.hadoop.fs.Path(r["path"])
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            rows.append((r["path"], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, content binary")
 
 
 def _sizes(spark: SparkSession, path, **options) -> tuple[int, int]:

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions import sequence as S
 from ..operators.keyed import value_lists
 from ..session import fixed_rows
-from .lines import hidden_paths, listing, plain_path
+from .lines import hidden_files, listing, plain_path
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
@@ -126,7 +126,5 @@ def file_fingerprint(spark, path, **options) -> DataFrame:
         raise ValueError(f"too long to hash as one value (over {most} bytes): {', '.join(large)}")
     empty = files.filter("length = 0").select("path", F.sha2(F.lit(""), 256).alias("sha256"))
     read = spark.read.format("binaryFile").options(**options).load(path).select("path", "content")
-    hidden = hidden_paths(files)
-    if hidden:
-        read = read.unionByName(spark.read.format("binaryFile").load(hidden).select("path", "content"))
+    read = read.unionByName(hidden_files(files))
     return read.select(plain_path("path").alias("path"), F.sha2("content", 256).alias("sha256")).unionByName(empty)

@@ -41,6 +41,22 @@ def test_phrase_hits(spark, text, want):
 def test_custom_phrases(spark):
     got = C.phrase_hits(docs(spark, "colour color\nnone"), [r"\bcolou?r\b"]).orderBy("token").collect()
     assert [r.token for r in got] == ["color", "colour"]
+    cited = "most likely-benign and likely-benign per ClinVar VCV1"
+    assert [r.token for r in C.phrase_hits(docs(spark, cited), [r"\bmost likely\b", r"\blikely\b"]).collect()] == ["most likely"]
+
+
+def test_rows_without_significance_are_skipped_rows(spark):
+    ref = spark.createDataFrame([("Pathogenic",), ("benign",), (None,)], "significance string")
+    assert E.clinvar_skipped(ref).first().skipped == 2
+
+
+def test_audit_by_sample(spark):
+    d = spark.createDataFrame([(1, "a", "At rs0000001 AG the enzyme works, PMID 1."), (2, "a", "At rs0000001 AG the enzyme works, PMID 1."),
+                               (3, "b", "rs0000001 x")], "sample_id bigint, doc string, text string")
+    calls = spark.createDataFrame([(1, "rs0000001", "1", 5, "AG", 1), (2, "rs0000001", "1", 5, "GG", 1), (2, "rs0000001", "1", 5, "CC", 0)],
+                                  "sample_id bigint, rsid string, chrom string, pos bigint, genotype string, line_no bigint")
+    got = {(r.sample_id, r.doc): (r.disposition, r.genotype_mismatch) for r in jobs.audit_claims_by_sample(d, calls).collect()}
+    assert got == {(1, "a"): ("keep", False), (2, "a"): ("keep", True), (3, "b"): ("delete", None)}
 
 
 def test_lines_follow_every_break(spark):

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +270,70 @@ def test_tables_by_header(spark, tmp_path):
     assert R.read_allowlist(spark).count() == 8
 
 
+def test_headers_per_file(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("rsid\tgenotype\tfound\nrs1\tAG\ty\n")
+    (tmp_path / "b.tsv").write_text("found\textra\tgenotype\trsid\nn\tz\t--\trs2\nshort\n")
+    got = R.read_table(spark, str(tmp_path), ("rsid", "genotype")).drop("line_no")
+    assert rows(got, "rsid") == [("rs1", "AG"), ("rs2", "--")]
+    with pytest.raises(ValueError, match="is not .* in .*b.tsv"):
+        R.read_table(spark, str(tmp_path), ("rsid", "genotype", "found"), exact=True)
+    (tmp_path / "c.tsv").write_text("rsid\nrs3\n")
+    with pytest.raises(ValueError, match="missing column.*genotype.*c.tsv"):
+        R.read_table(spark, str(tmp_path), ("rsid", "genotype"))
+
+
+def test_files_as_they_are(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    texts = {"one.md": "first\nlines\n", "sub/two.md": "x", "empty.md": "", "sub/_hidden.md": "under", ".dot.md": "dotted", "no.txt": "n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = {r.doc: r.text for r in R.read_docs(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in texts.items() if k.endswith(".md")}
+    listed = L.listing(spark, str(tmp_path), recursiveFileLookup="true")
+    assert listed.count() == 6 and listed.filter("length = 0").count() == 1 and L.listing(spark, str(tmp_path)).count() == 4
+    sums = {r.path.removeprefix(f"{tmp_path}/"): r.sha256 for r in W.file_fingerprint(spark, str(tmp_path), recursiveFileLookup="true").collect()}
+    assert sums == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in texts.items()}
+
+
+def test_long_files_are_no_obstacle(spark, tmp_path):
+    (tmp_path / "c").write_bytes(b"CRAM" + b"x" * 4000)
+    (tmp_path / "z").write_bytes(gzip.compress(b"@a\nAC\n+\nII\n" * 50, mtime=0))
+    (tmp_path / "r.bed").write_text("chr1\t0\t5\n" * 20_000)
+    (tmp_path / "e.vcf").write_text("")
+    old = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")
+    try:
+        got = {r.path.rsplit("/", 1)[1]: r for r in L.file_catalog(spark, str(tmp_path)).collect()}
+        with pytest.raises(ValueError, match="too long to hash"):
+            W.file_fingerprint(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", old)
+    assert set(got) == {"c", "z", "r.bed", "e.vcf"} and got["c"].format == "cram"
+    assert got["z"].gzip_mismatch and not got["r.bed"].gzip_mismatch
+    assert got["r.bed"].record_estimate == pytest.approx(20_000, rel=0.01) and got["e.vcf"].size_bytes == 0
+
+
+def test_fastq_header_is_checked(spark, tmp_path):
+    (tmp_path / "x.fq").write_text("@a\nAC\n+\nII\n>b\nAC\n+\nII\n")
+    with pytest.raises(Exception, match="no FASTQ header: >b"):
+        R.read_fastq(spark, str(tmp_path / "x.fq")).collect()
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from locusgrid import session
+
+    conf = {}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
+    conf["spark.checkpoint.dir"] = "hdfs://shared"
+    assert session.scratch_path(cluster, "x").startswith("hdfs://shared/x-")
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.shared_dir(spark) and spark.conf.get("spark.checkpoint.dir", None) == before
+
+
 def test_specs(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"doc_id": "d", "title": "t", "group": "g", "provenance": {"doc_id": "d", "phase": 3}, "findings": [{"gene": "G", "tier": 1, "triples": [{"rsid": "rs1"}]}]}')
     (tmp_path / "b.json").write_text('{"doc_id": "e", "group": ""}')
