@@ -58,6 +58,21 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+ORACLES["op5_exact_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+    from s)
+select * from r where rank <= 5
+"""
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as an archive record, read back."""
@@ -126,12 +141,52 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.conversations(chat.linear(rows.unionByName(hard))))
 
 
+ORACLES["op9_chat_formatting"] = r"""
+with c as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (
+    select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+        coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as learnt,
+        -- each turn: <s>, role, newline, text, </s>, newline; three characters are written as two
+        cast(sum(9 + length(role) + length(regexp_replace(role, '[^\\<\[\n]', '', 'g'))
+                 + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))) as bigint) as formatted_chars
+    from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, formatted_chars
+from t
+"""
+
+
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each document occurs in benchmark items."""
     return positional.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("runs")
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op8_benchmark_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select item_id, w, least(13, len(w)) as k from (select item_id, {_WORDS} as w from benchmark) where len(w) > 0),
+iw as (
+    select distinct item_id, k, array_to_string(w[n:n + k - 1], ' ') as g
+    from (select *, unnest(generate_series(1, len(w) - k + 1)) as n from i)),
+dw as (
+    select doc_id, n, k, array_to_string(w[n:n + k - 1], ' ') as g
+    from (select *, unnest(generate_series(1, len(w) - k + 1)) as n from d, (select distinct k from iw) where len(w) >= k)),
+hits as (select doc_id, n, dw.k, item_id from dw join iw on dw.k = iw.k and dw.g = iw.g),
+covered as (
+    select doc_id, count(distinct p) as n_hit
+    from (select doc_id, unnest(generate_series(n, n + k - 1)) as p from hits) group by doc_id),
+items as (
+    select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids
+    from (select distinct doc_id, cast(item_id as varchar) as x from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
