@@ -199,12 +199,17 @@ def fastq_summary(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None
     )
 
 
+def _coded(reads: DataFrame, group: str) -> DataFrame:
+    """``group, _l, cycle, code``: a row for each quality character. The length is taken below the
+    explode; beside it, it would be counted anew for every character."""
+    sized = reads.select(group, F.length("seq").alias("_l"), "qual")
+    return unnest(sized, [group, "_l"], S.quality_codes(F.col("qual")), "code", "cycle")
+
+
 def base_histogram(reads: DataFrame, group: str = "path") -> DataFrame:
     """``group, cycle (0-based), code, n, n_inside``: quality characters per cycle, with the
     part that lies inside the sequence. The size is cycles x characters per file."""
-    keep = [group, F.length("seq").alias("_l")]
-    coded = unnest(reads, keep, S.quality_codes(F.col("qual")), "code", "cycle")
-    return coded.groupBy(group, "cycle", "code").agg(
+    return _coded(reads, group).groupBy(group, "cycle", "code").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("cycle") < F.col("_l")).alias("n_inside")
     )
 
@@ -217,10 +222,13 @@ def _with_offset(hist: DataFrame, group: str) -> DataFrame:
 
 def per_base_mean_quality(reads: DataFrame, group: str = "path") -> DataFrame:
     """Mean quality per cycle; characters past the end of the sequence are ignored."""
-    agg = _with_offset(base_histogram(reads, group), group).groupBy(group, "cycle", "_offset").agg(
-        F.sum(F.col("code") * F.col("n_inside")).alias("_s"), F.sum("n_inside").alias("n_reads")
-    )
-    return agg.filter(F.col("n_reads") > 0).select(
+    inside = F.col("cycle") < F.col("_l")
+    agg = _coded(reads, group).groupBy(group, "cycle").agg(
+        F.sum(F.when(inside, F.col("code"))).alias("_s"), F.count_if(inside).alias("n_reads"),
+        F.min("code").alias("_lo"), F.max("code").alias("_hi"))
+    offsets = agg.groupBy(group).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select(
+        group, S.phred_offset(F.col("_lo"), F.col("_hi")).alias("_offset"))
+    return agg.join(offsets, group).filter(F.col("n_reads") > 0).select(
         group, F.col("cycle").cast("bigint").alias("cycle"), "n_reads",
         (F.col("_s") / F.col("n_reads") - F.col("_offset")).alias("mean_quality"),
     )
