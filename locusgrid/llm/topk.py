@@ -91,10 +91,10 @@ class Queries:
         return scores
 
     def search(self, best: Best, ids: np.ndarray, vectors: np.ndarray, length: np.ndarray) -> None:
-        """One bucket, longest vector first."""
+        """One bucket, in any order: a task may read several files, and a bucket may span their ends."""
         theta = np.maximum(best.theta(), self.start)
         theta = theta - SLACK * np.abs(theta)  # rounding never prunes; ties at theta stay
-        reach = self.length * length[0]
+        reach = self.length * length.max()
         with np.errstate(divide="ignore", invalid="ignore"):
             cosine = np.where(reach > 0, theta / reach, np.where(theta > 0, np.inf, -np.inf))
         focused = np.flatnonzero((cosine >= FOCUS_FROM) & (cosine <= 1))
@@ -103,9 +103,9 @@ class Queries:
             # Length: what is too short for every query of the bucket isn't multiplied.
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.where(self.length[plain] > 0, theta[plain] / self.length[plain], -np.inf).min()
-            n = int(np.searchsorted(-length, -least, side="right")) if least > 0 else len(length)
-            if n:
-                best.add(plain, self.products(plain, ids[:n], vectors[:n]), ids[:n])
+            long = length >= least
+            if long.any():
+                best.add(plain, self.products(plain, ids[long], vectors[long]), ids[long])
         if len(focused):
             unit = vectors / np.maximum(length, 1e-300)[:, None]
             for q in focused:

@@ -54,3 +54,19 @@ def test_repeated_ids_and_few_rows(spark):
     got = search(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])])
     assert got == {(0, 1): (1, 131072), (0, 2): (1, 131072)}
     assert search(spark, [(0, [1.0])]) == {} and search(spark, []) == {}
+
+
+def test_buckets_span_files_of_unequal_norms(spark, monkeypatch):
+    monkeypatch.setattr(K, "SEEDS", 10)
+    monkeypatch.setattr(K, "VECTORS_PER_FILE", 20)
+    r = np.random.default_rng(5)
+    # Short vectors fill the larger files, which a task reads first; the longest repeat and pack well.
+    rows = [(i, [float(x) for x in (r.normal(size=8) * 0.5 if i % 4 else np.full(8, 40.0 + i % 7))]) for i in range(1000)]
+    one_task = {"maxPartitionBytes": "1g", "minPartitionNum": "1", "openCostInBytes": "0"}
+    for key, value in one_task.items():
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        assert search(spark, rows) == slow(rows)
+    finally:
+        for key in one_task:
+            spark.conf.unset(f"spark.sql.files.{key}")
