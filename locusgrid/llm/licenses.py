@@ -19,27 +19,123 @@ from .common import let
 
 LEAST = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# The usual notices of public licenses, by SPDX name.
+# Words that most texts have, so they are taken as signals last.
+FREQUENT = frozenset("a an and any by for from in is it of on or that the this to under with work".split())
+# Parts of templates.
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction")
+_MIT_GRANT = (_MIT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+              "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to "
+              "do so, subject to the following conditions:")
+_MIT_NOTICE = ("The above copyright notice and this permission notice shall be included in all copies or substantial "
+               "portions of the Software.")
+_MIT_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+                 "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+                 "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+                 "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+                 "THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+_ISC_GRANT = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+              "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+                 "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+                 "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+                 "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+                 "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_0BSD_GRANT = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+               "hereby granted.")
+_BSD_GRANT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+              "that the following conditions are met:")
+_BSD_TWO = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list "
+            "of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+            "distribution.")
+_BSD_THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+              "promote products derived from this software without specific prior written permission.")
+_BSD_WARRANTY = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+                 "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                 "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR "
+                 "ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+                 "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+                 "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+                 "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+                 "POSSIBILITY OF SUCH DAMAGE.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
+           "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0")
+_APACHE_WARRANTY = ("Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                    "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                    "implied. See the License for the specific language governing permissions and limitations under the "
+                    "License.")
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+def _gnu(name: str, kind: str, version: str, dated: str, opening: str) -> tuple[tuple[str, str], ...]:
+    """The notice of a GNU license, its heading and short variants."""
+    return (
+        (name, f"{opening} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the "
+               f"Free Software Foundation, either version {version} of the License, or (at your option) any later "
+               "version."),
+        (name, f"GNU {kind} Version {version}, {dated}"),
+        (name, f"This work is licensed under the GNU {kind}, version {version}."),
+        (name, f"Licensed under the GNU {kind}, version {version}."),
+    )
+
+
+def _creative(name: str, short: str, long: str) -> tuple[tuple[str, str], ...]:
+    return ((name, f"Licensed under CC {short} 4.0."), (name, f"This work is licensed under CC {short} 4.0."),
+            (name, f"This work is licensed under a Creative Commons {long} 4.0 International License."))
+
+
+# Fixed values by SPDX name: the texts of the short licenses, whole and by paragraphs, and the notices, headings
+# and short variants of all. A paragraph that licenses share (a disclaimer, BSD's first clause) names none.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
-                   "except in compliance with the License. You may obtain a copy of the License at "
-                   "http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
-                "GNU General Public License as published by the Free Software Foundation, either version 3 of "
-                "the License, or (at your option) any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the "
-                "GNU General Public License as published by the Free Software Foundation; either version 2 of "
-                "the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE_WARRANTY),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_WARRANTY}"),
+    *_gnu("GPL-3.0", "General Public License", "3", "29 June 2007", "This program is free software:"),
+    *_gnu("GPL-2.0", "General Public License", "2", "June 1991", "This program is free software;"),
+    *_gnu("LGPL-3.0", "Lesser General Public License", "3", "29 June 2007", "This library is free software:"),
+    *_gnu("LGPL-2.1", "Lesser General Public License", "2.1", "February 1999", "This library is free software;"),
+    *_gnu("AGPL-3.0", "Affero General Public License", "3", "19 November 2007", "This program is free software:"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", _MIT),
+    ("MIT", _MIT_GRANT),
+    ("MIT", f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_WARRANTY}"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC_GRANT),
+    ("ISC", f"{_ISC_GRANT} {_ISC_WARRANTY}"),
+    ("0BSD", _0BSD_GRANT),
+    ("0BSD", f"{_0BSD_GRANT} {_ISC_WARRANTY}"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE "
                      "file."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD_THIRD),
+    ("BSD-3-Clause", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THIRD}"),
+    ("BSD-3-Clause", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_THIRD} {_BSD_WARRANTY}"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", f"{_BSD_GRANT} {_BSD_TWO}"),
+    ("BSD-2-Clause", f"{_BSD_GRANT} {_BSD_TWO} {_BSD_WARRANTY}"),
+    *_creative("CC-BY-4.0", "BY", "Attribution"),
+    *_creative("CC-BY-SA-4.0", "BY-SA", "Attribution-ShareAlike"),
+    *_creative("CC-BY-ND-4.0", "BY-ND", "Attribution-NoDerivatives"),
+    *_creative("CC-BY-NC-4.0", "BY-NC", "Attribution-NonCommercial"),
+    *_creative("CC-BY-NC-SA-4.0", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    *_creative("CC-BY-NC-ND-4.0", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    ("MPL-2.0", _MPL),
+    ("MPL-2.0", f"{_MPL} If a copy of the MPL was not distributed with this file, You can obtain one at "
+                "http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
 )
 
 
@@ -53,10 +149,10 @@ def bigram_list(text: str) -> list[str]:
 
 
 def signal_words(template: str, least: float) -> list[str]:
-    """Words, longest first, whose bigrams are more of a template's than a match may lack."""
+    """Words whose bigrams are more of a template's than a match may lack: rare ones, then longest first."""
     bigrams = bigram_list(template)
     chosen: list[str] = []
-    for word in sorted(set(word_list(template)), key=lambda w: (-len(w), w)):
+    for word in sorted(set(word_list(template)), key=lambda w: (w in FREQUENT, -len(w), w)):
         chosen.append(word)
         if sum(any(c in b.split() for c in chosen) for b in bigrams) > len(bigrams) * (2 - 2 * least) / (2 - least):
             break
@@ -82,7 +178,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
     """
     known = [(name, b) for name, text in templates if (b := bigram_list(text))]
     words = sorted({w for _, text in templates for w in signal_words(text, least)})
-    signal = "(?i)" + "|".join(words) if words else "a^"
+    signal = f"(?i)(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])" if words else "a^"
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def similarities(unit: Column) -> Column:
@@ -91,7 +187,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, id_col: str
             for name, b in known:
                 fits = F.size(own).between(math.ceil(len(b) * least / (2 - least) - 1e-9),
                                            math.floor(len(b) * (2 - least) / least + 1e-9))
-                shared = F.size(F.array_intersect(own, F.array(*map(F.lit, b))))
+                shared = F.size(F.array_intersect(own, F.split(F.lit("|".join(b)), r"\|")))
                 dice = shared.cast("double") * 2.0 / (F.size(own) + len(b))
                 found.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
             return F.filter(F.array(*found), lambda s: s["dice"] >= least)

@@ -56,3 +56,25 @@ def test_odd_tables(spark, docs):
     got = sorted(str((x.doc_id, x.license, x.n_units)) for x in L.scan(docs(rows)).collect())
     assert got == ["(1, None, 0)", "(1, None, 0)", "(2, None, 0)", "(None, 'MIT', 1)"]
     assert L.scan(docs([])).count() == 0 and L.scan(docs(rows), templates=()).filter("license is not null").count() == 0
+
+
+def test_published_forms(spark, docs):
+    cases = [
+        ("MIT", L._MIT_GRANT), ("MIT", "Licensed under the MIT License."), ("Apache-2.0", "Apache License, Version 2.0"),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the "
+                    "MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+        ("LGPL-2.1", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU "
+                     "Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the "
+                     "License, or (at your option) any later version."),
+        ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007"),
+        ("ISC", f"ISC License\n\nCopyright 2020 A. Person\n\n{L._ISC_GRANT}\n\n{L._ISC_WARRANTY}"),
+        ("0BSD", f"{L._0BSD_GRANT}\n\n{L._ISC_WARRANTY}"),
+        ("BSD-2-Clause", f"Copyright 2020 A. Person\n\n{L._BSD_GRANT}\n\n{L._BSD_TWO}\n\n{L._BSD_WARRANTY}"),
+        ("BSD-3-Clause", f"{L._BSD_GRANT}\n\n{L._BSD_TWO}\n{L._BSD_THIRD}\n\n{L._BSD_WARRANTY}"),
+    ]
+    rows = [(i, f"Some prose first.\n\n{t}\n\nAnd more.") for i, (_, t) in enumerate(cases)]
+    got = {x.doc_id: x.license for x in L.scan(docs(rows)).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
