@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, packing, pii, positional, simhash, topk, toxicity, urlfilter, warc
+from . import chat, langid, lexical, licenses, packing, pii, positional, simhash, topk, toxicity, urlfilter, warc, whitening
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,42 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_lexical_search"] = f"""
+with d as (
+    select row_number() over () as k, doc_id, w, len(w) as n from (select doc_id, {_WORDS} as w from documents) where len(w) > 0),
+s as (select count(*) as docs, cast(sum(n) as bigint) as terms from d),
+m as (select k, doc_id, 25 + (75 * n * docs) // terms as m from d, s),
+tf as (select k, t, count(*) as tf from (select k, unnest(w) as t from d) group by all),
+q as (select item_id, t, count(*) as qf from (select item_id, unnest({_WORDS}) as t from benchmark) group by all),
+w as (
+    select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w
+    from (select t, count(*) as df from tf where t in (select t from q) group by t), s),
+found as (
+    select item_id, k, doc_id, cast(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+    from q join tf using (t) join w using (t) join m using (k) group by all),
+r as (
+    select item_id, doc_id, score,
+        cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank
+    from found where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding on the unit principal components of all, whitened."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return langid.identify(table(spark, sf_dir, "documents")).drop("phrases")
