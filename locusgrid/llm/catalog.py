@@ -138,7 +138,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = spark.sql("select -1L as conv_id, posexplode(array('user', 'assistant')) as (turn, role)").select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.lit(said).alias("text"))
-    return chat.read_back(chat.conversations(chat.linear(rows.unionByName(hard))))
+    return chat.read_back(chat.named(chat.conversations(chat.linear(rows.unionByName(hard)))))
 
 
 ORACLES["op9_chat_formatting"] = r"""

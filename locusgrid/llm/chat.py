@@ -46,11 +46,13 @@ def branches(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, depth, role, text, score): every node of every root-to-leaf path, the root at depth 0.
 
     ``nodes``: tree, node, parent, role, text, score. A node whose parent is null or missing is a root.
-    Nodes that never reach a root (a cycle) are in no path. A node that repeats is kept once.
+    Nodes that never reach a root (a cycle) are in no path. Of a node that repeats, the row that comes first by
+    parent, role, text and score is kept.
     """
     picked = nodes.select("tree", "node", "parent", "role", "text", "score").filter(
         F.col("tree").isNotNull() & F.col("node").isNotNull())
-    nodes = stored(picked.dropDuplicates(["tree", "node"]), "tree-nodes")
+    first = F.row_number().over(Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score"))
+    nodes = stored(picked.withColumn("nth", first).filter("nth = 1").drop("nth"), "tree-nodes")
     known = nodes.select("tree", F.col("node").alias("parent"))
     links = nodes.select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi")
     parents = links.select("tree", F.col("parent").alias("node")).distinct()
@@ -111,15 +113,22 @@ def formatted(chosen: DataFrame) -> DataFrame:
 def linear(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
            text: str = "text") -> DataFrame:
     """Conversations as trees of one branch: each row answers the one before it by turn. Rows with
-    equal turns follow in the order of role and text."""
+    equal turns follow in the order of role and text. A tree is (none, id): rows with a null ``conv`` are one
+    conversation as well; see ``named``."""
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    picked = rows.select(F.col(conv).cast("long").alias("tree"), F.col(turn).alias("turn"),
+    tree = F.struct(F.col(conv).isNull().alias("none"), F.col(conv).cast("long").alias("id"))
+    picked = rows.select(tree.alias("tree"), F.col(turn).alias("turn"),
                          F.col(role).alias("role"), F.col(text).alias("text"))
     numbered = picked.withColumn("node", F.row_number().over(order).cast("long"))
     return numbered.select("tree", "node", (F.col("node") - 1).alias("parent"), "role", "text",
                            F.lit(0.0).alias("score"))
 
 
+def named(conversations: DataFrame) -> DataFrame:
+    """Conversations of ``linear`` trees, by the id they had; null stays null."""
+    return conversations.withColumn("tree", F.col("tree.id"))
+
+
 def read_back(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from the
     formatted text and its mask alone."""

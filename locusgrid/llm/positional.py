@@ -169,15 +169,14 @@ def phrase_runs(index: DataFrame, block: list[tuple[str, list[bytes]]], window:
                     held[term] = segment.posting(term)
                 return held[term]
 
-            starts = defaultdict(list)  # item -> (begins, how long)
+            starts = defaultdict(list)  # (item, window length) -> begins; a repeated item may have two lengths
             for w, of in by_window.items():
                 if all(t in segment.number for t in w) and len(found := segment.phrase(w, posting)):
                     for item in of:
-                        starts[item].append((found, len(w)))
+                        starts[item, len(w)].append(found)
             runs = defaultdict(list)
-            for item, several in starts.items():
-                begins = np.sort(np.concatenate([x for x, _ in several]))
-                size = several[0][1]  # all windows of an item have one size
+            for (item, size), several in starts.items():
+                begins = np.sort(np.concatenate(several))
                 first = np.concatenate([[True], begins[1:] > begins[:-1] + size])
                 last = np.concatenate([first[1:], [True]])
                 for a, z, doc in zip(begins[first], begins[last] + size, segment.doc_of(begins[first])):
@@ -209,7 +208,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs) for each row of ``docs``.
 
     A null text has no words; such a document is clean, as is one that no window occurs in. Items with
-    a null id or without words are left out; items with equal texts all count. A repeated row is
+    a null id or without words are left out; items with equal texts all count. Rows that repeat an item_id
+    are one item with the windows of all its texts, each text by its own window length. A repeated row is
     repeated in the result, a null doc_id stays null. Other columns are ignored. Empty tables give no
     rows, or rows without hits.
     """

@@ -53,14 +53,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. A null text has no words."""
+    """(doc_id, tie, fp) of every row; ``fp`` is the fingerprint as a signed long, ``tie`` a hash of the
+    text. A null text has no words."""
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                yield doc.as_py(), fingerprint(text.as_py())
+            for doc, text, tie in zip(*batch.columns):
+                yield doc.as_py(), tie.as_py(), fingerprint(text.as_py())
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(picked, rows, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                         F.xxhash64(text_col).alias("tie"))
+    return map_rows(picked, rows, "doc_id long, tie long, fp long")
 
 
 def cell_of(fp) -> F.Column:
@@ -157,6 +159,19 @@ def roots(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, fp, root, component_id) for each row of ``docs``; ``root`` is one fingerprint of the
+    component, also where no row of it has an id."""
+    rows = stored(fingerprints(docs, id_col, text_col), "simhash-rows")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    known = stored(roots(links(nodes)), "simhash-roots")
+    named = known.join(nodes, known.node == nodes.fp).groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = known.join(named, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    classes = stored(nodes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id")), "simhash-classes")
+    return rows.join(classes, "fp").select("doc_id", "tie", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``.
 
@@ -165,26 +180,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A repeated row is repeated in the result. A null doc_id never names a component: a component of
     such rows alone has a null component_id. Other columns are ignored. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "simhash-rows")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    known = stored(roots(links(nodes)), "simhash-roots")
-    named = known.join(nodes, known.node == nodes.fp).groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = known.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = stored(nodes.join(moved, "fp", "left").select(
-        "fp", F.coalesce("component_id", "rep").alias("component_id")), "simhash-classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classified(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest doc_id; the columns stay.
+    """``docs`` with one row of each component; the columns stay.
 
-    Of rows that repeat that doc_id the one with the smallest text hash stays. Rows with a null doc_id
-    can't be told apart by it, so they stay.
+    It is the row with the smallest doc_id, a null one after all others; of rows that repeat it in the component,
+    the one with the smallest text hash, and of rows that repeat both, the one with the smallest hash of
+    the whole row. An id that repeats with texts of several components has a row in each that it names.
     """
-    keep = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select("doc_id").distinct()
+    none = F.col("doc_id").isNull().alias("none")
+    first = F.min(F.struct(none, F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")).alias("first")
+    keep = stored(classified(docs, id_col, text_col).groupBy("root").agg(first).select("first.*"), "simhash-kept")
     # The row is carried as one column, so its names can't clash with those used here.
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"),
-                       F.struct("*").alias("row"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
-    kept = rows.join(keep, "doc_id").withColumn("nth", order).filter("nth = 1").select("row.*")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    doc = F.col(id_col).cast("long")
+    rows = docs.select(doc.isNull().alias("none"), F.coalesce(doc, F.lit(0)).alias("id"), F.xxhash64(text_col).alias("tie"),
+                       F.xxhash64(*docs.columns).alias("all"), F.struct("*").alias("row"))
+    # The group limit of this window works before the shuffle, so repeated rows don't gather in one task.
+    order = F.row_number().over(Window.partitionBy("none", "id", "tie").orderBy("all"))
+    single = rows.withColumn("nth", order).filter("nth = 1")
+    return single.join(keep, ["none", "id", "tie"]).select("row.*")

@@ -7,8 +7,8 @@ that it passes in a second one, the listed keys that pass that in a third, and s
 wrongly. Over the universe membership is exact, and testing a URL needs no join: every task holds the
 filters. There is one cascade for blocking and one for allowing rules.
 
-The filters' size follows the rules (about log2(universe / rules) bits for each) and is bounded by
-``MAX_RULES``; the universe is only ever a table.
+The filters' size follows the rules (about log2(universe / rules) bits for each). Keys are dealt by hash to as many
+cascades as it takes for none to list more than ``SHARD_RULES``; the universe is only ever a table.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, stored
 
-MAX_RULES = 1_000_000
-MAX_LEVELS = 64
+SHARD_RULES = 1_000_000
+SHARD_SEED = 1 << 40
 DEFAULT = "allow"
 
 
@@ -90,15 +90,30 @@ def parts(url_col: str) -> tuple[F.Column, F.Column]:
             F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1))
 
 
-def keys_of(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
-    """The keys a rule may have to fit, longest first; of equal ones that with the longer host."""
-    labels = host.split(".")
-    domains = [".".join(labels[i:]) for i in range(len(labels))]
+class Shards(list):
+    """Cascades, each of the keys whose hash names it."""
+
+    def shard(self, keys: list[bytes]) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(k, SHARD_SEED) % max(1, len(self)) for k in keys], np.int64)
+
+    def listed(self, keys: list[bytes]) -> np.ndarray:
+        out, of = np.zeros(len(keys), bool), self.shard(keys)
+        for n, cascade in enumerate(self):
+            own = np.flatnonzero(of == n)
+            out[own] = cascade.listed([keys[i] for i in own])
+        return out
+
+
+def keys_of(host: str, path: str, lengths: tuple[int, ...], labels: int) -> list[str]:
+    """The keys a rule may have to fit, longest first; of equal ones that with the longer host. Domains have
+    at most ``labels`` labels, as many as the hosts of the rules."""
+    last = host.rsplit(".", labels)[-labels:] if labels else []
+    domains = [".".join(last[i:]) for i in range(len(last))]
     found = [(d, path[:n]) for d in domains for n in lengths if n <= len(path)]
     return [d + p for d, p in sorted(found, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))]
 
 
-def universe(urls: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+def universe(urls: DataFrame, lengths: tuple[int, ...], labels: int) -> DataFrame:
     """The distinct keys of all (host, path). Only the beginning of a path matters, so equal ones are
     put together first."""
     most = max(lengths, default=0)
@@ -107,7 +122,7 @@ def universe(urls: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for key in keys_of(host, path, lengths):
+                for key in keys_of(host, path, lengths, labels):
                     yield (key,)
 
     return map_rows(short, rows, "key string").distinct()
@@ -150,7 +165,6 @@ def cascade(listed: list[str], keys: DataFrame) -> Cascade:
     """The cascade of ``listed`` over the universe ``keys`` (in files). The first filter passes about as
     many unlisted keys as there are listed ones, each further one half of what it is tested with."""
     listed = sorted(set(listed))
-    assert len(listed) <= MAX_RULES, "more rules than one filter may hold; cut the list by domain"
     out = Cascade()
     if not listed:
         out.append(Bloom(1, 0.5, 0))
@@ -165,7 +179,6 @@ def cascade(listed: list[str], keys: DataFrame) -> Cascade:
     out.append(bloom)
     wrong = stored(passing(others, bloom), "url-level")
     while n := wrong.count():
-        assert len(out) < MAX_LEVELS, "the cascade doesn't end"
         bloom = Bloom(n, 0.5, len(out))
         filled(wrong, bloom)
         out.append(bloom)
@@ -179,6 +192,26 @@ def cascade(listed: list[str], keys: DataFrame) -> Cascade:
     return out
 
 
+def of_shard(keys: DataFrame, shards: Shards, n: int) -> DataFrame:
+    def rows(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i in np.flatnonzero(shards.shard([k.encode() for k in names]) == n):
+                yield (names[i],)
+
+    return map_rows(keys, rows, "key string")
+
+
+def sharded(listed: list[str], keys: DataFrame, most: int = SHARD_RULES) -> Shards:
+    """As many cascades as it takes for each to list about ``most`` keys, each over its part of the universe."""
+    out = Shards([None] * max(1, -(-len(set(listed)) // most)))
+    if len(out) == 1:
+        return Shards([cascade(listed, keys)])
+    of = out.shard([k.encode() for k in listed])
+    return Shards([cascade([k for k, s in zip(listed, of) if s == n], stored(of_shard(keys, out, n), "url-shard"))
+                   for n in range(len(out))])
+
+
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``; the longest fitting rule wins.
 
@@ -189,9 +222,10 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     host, path = parts(url_col)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     lengths = tuple(sorted({len(r.path) for r in rules}))
-    keys = stored(universe(urls, lengths), "url-universe")
+    labels = max((len(r.host.split(".")) for r in rules), default=0)
+    keys = stored(universe(urls, lengths, labels), "url-universe")
     verdicts = sorted({r.verdict for r in rules})
-    cascades = {v: cascade([r.key for r in rules if r.verdict == v], keys) for v in verdicts}
+    cascades = {v: sharded([r.key for r in rules if r.verdict == v], keys) for v in verdicts}
     held = pages.sparkSession.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("struct<rule: string, verdict: string>")
@@ -201,7 +235,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
         most = max(lengths, default=0)
         for h, p in zip(hosts, paths):
             if (h, p[:most]) not in known:
-                own = known[h, p[:most]] = keys_of(h, p, lengths)
+                own = known[h, p[:most]] = keys_of(h, p, lengths, labels)
                 for key in own:
                     asked.setdefault(key, len(asked))
         names = [k.encode() for k in asked]

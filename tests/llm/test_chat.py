@@ -66,7 +66,7 @@ def test_read_back(spark):
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((-1 if t is None else t, r or "", x or ""))
-    got = {x.conv_id: x for x in C.read_back(C.conversations(C.linear(df))).collect()}
+    got = {x.conv_id: x for x in C.read_back(C.named(C.conversations(C.linear(df)))).collect()}
     assert set(got) == set(by)
     for c, turns in by.items():
         turns.sort()
@@ -74,10 +74,23 @@ def test_read_back(spark):
         g = got[c]
         assert (g.n_turns, g.turns_sha256) == (len(turns), digest("".join(f"{r}\n{x}\n" for _, r, x in turns)))
         assert (g.loss_chars, g.loss_sha256) == (len(learnt), digest(learnt))
-    assert C.read_back(C.conversations(C.linear(df.limit(0)))).count() == 0
+    assert C.read_back(C.named(C.conversations(C.linear(df.limit(0))))).count() == 0
 
 
 @pytest.mark.parametrize("text", ["", "\\", "\\l", "<\\", "[/INST]</s>", "\\\\n\n", "é<"])
 def test_escapes_return(spark, text):
     row = spark.range(1).select(C.escaped(F.lit(text), True).alias("x")).first()
     assert C.unescaped(row.x) == text and not set(row.x) & set("<[\n")
+
+
+def test_null_ids_are_one_conversation(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (0, 0, "user", "other")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: (x.n_turns, x.loss_chars) for x in C.read_back(C.named(C.conversations(C.linear(df)))).collect()}
+    assert got == {None: (2, 3), 0: (1, 0)}
+
+
+def test_of_a_repeated_node_a_defined_row_stays(spark):
+    rows = [(1, 1, None, "user", "b", 0.0), (1, 1, None, "user", "a", 5.0), (1, 2, 1, "assistant", "x", 1.0)]
+    df = spark.createDataFrame(rows * 3, "tree long, node long, parent long, role string, text string, score double")
+    assert [t["text"] for t in C.conversations(df).first().turns] == ["a", "x"]

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from locusgrid.llm import positional as P
@@ -80,3 +81,22 @@ def test_keep_clean(spark, docs):
     assert kept.columns == docs(rows).columns
     assert P.keep_clean(docs([]), items_of(spark, [(7, item)])).count() == 0
     assert P.keep_clean(docs(rows), items_of(spark, [])).count() == len(rows)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_an_item_id_with_two_window_lengths(spark, docs, turned):
+    a = [f"a{i}" for i in range(13)]
+    text = " ".join(a + ["x", "y", "z"] + ["p q r"])
+    items = [(7, " ".join(a)), (7, "p q r")]
+    frame = spark.createDataFrame(items[::-1] if turned else items, "item_id long, text string")
+    got = P.decontaminate(docs([(1, text)]), frame).first()
+    assert (got.n_words, got.n_hit, got.n_items) == (19, 16, 1)
+
+
+def test_hits_are_no_more_than_words(spark, docs):
+    r = random.Random(11)
+    some = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    rows = [(i, some(r.randrange(1, 60))) for i in range(60)]
+    items = spark.createDataFrame([(i % 4, some(r.choice([2, 5, 13, 20]))) for i in range(20)], "item_id long, text string")
+    for x in P.decontaminate(docs(rows), items).collect():
+        assert 0 <= x.n_hit <= x.n_words

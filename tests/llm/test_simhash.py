@@ -103,6 +103,34 @@ def test_null_empty_repeated_and_clashing(spark, docs):
     kept = S.keep_one(docs(rows)).collect()
     assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [
         (3, "a b c d"), (6, "entirely other words of a text"), (7, "")]
-    assert sum(r.doc_id is None for r in kept) == 2
+    assert [r.text for r in kept if r.doc_id is None] == ["lonely words here now"]  # the other repeats 3
     assert S.keep_one(docs(rows)).columns == docs(rows).columns and {r["row"] for r in kept} == {"clash"}
     assert S.near_duplicates(docs([])).count() == 0 and S.keep_one(docs([])).count() == 0
+
+
+def test_a_repeated_id_doesnt_cost_another_text(spark, docs):
+    rows = [(1, "a b c d e"), (3, "a b c d e"), (3, "quite another text of words")]
+    assert sorted((r.doc_id, r.text) for r in S.keep_one(docs(rows)).collect()) == [
+        (1, "a b c d e"), (3, "quite another text of words")]
+
+
+def test_keep_one_equals_brute_force_with_repeated_ids(spark, docs):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    base = [" ".join(r.choice(words) for _ in range(60)) for _ in range(12)] + ["", None]
+    rows = [(r.choice([None, *range(9)]), r.choice(base)) for _ in range(150)]
+    fp = {t: S.fingerprint(t) for _, t in rows}
+    root = {f: f for f in fp.values()}
+    find = lambda f: f if root[f] == f else find(root[f])
+    for a in root:
+        for b in root:
+            if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 2:
+                root[find(a)] = find(b)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(find(fp[t]), []).append((i is None, i))
+    kept = S.keep_one(docs(rows)).collect()
+    got = {}
+    for k in kept:
+        got.setdefault(find(fp[k.text]), []).append((k.doc_id is None, k.doc_id))
+    assert got == {g: [min(own, key=lambda x: (x[0], x[1] or 0))] for g, own in groups.items()}

@@ -43,3 +43,20 @@ def test_cascade_is_exact_over_its_universe(spark):
     got = cascade.listed([f"k{i}".encode() for i in range(5000)])
     assert [bool(x) for x in got] == [i % 13 == 0 for i in range(5000)] and len(cascade) > 1
     assert not U.cascade([], keys).listed([b"k1"]).any()
+
+
+def test_shards_are_exact(spark, monkeypatch):
+    keys = U.stored(spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string"), "keys")
+    listed = [f"k{i}" for i in range(0, 3000, 7)]
+    shards = U.sharded(listed, keys, most=100)
+    assert len(shards) == 5
+    names = [f"k{i}".encode() for i in range(3000)]
+    assert [bool(x) for x in shards.listed(names)] == [i % 7 == 0 for i in range(3000)]
+
+
+def test_hosts_of_many_labels_have_few_keys(spark):
+    host = ".".join(["a"] * 50_000) + ".www.example.com"
+    assert sum(map(len, U.keys_of(host, "/en/x", (1, 4), 3))) < 200
+    pages = spark.createDataFrame([(1, f"http://{host}/en/"), (2, f"http://{host}.net/es/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judge(pages, URL_RULES).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: ("net/es/", "block")}
