@@ -64,8 +64,7 @@ def _(v):
 @query("export_files", "v_calls", """
 select sample_id, 'ancestrydna' as vendor, 'GRCh38' as assembly, 3::bigint as first_data_line from v_calls group by sample_id""")
 def _(v):
-    lines = L.numbered_lines(v.spark, _export(v, "ancestrydna"), recursiveFileLookup="true")
-    files = R.export_files(lines)
+    files = R.export_facts(v.spark, _export(v, "ancestrydna"), recursiveFileLookup="true")
     return files.select(F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint").alias("sample_id"),
                         "vendor", "assembly", "first_data_line")
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions.text import strip
 from ..operators.keyed import last_wins, unnest
 from ..session import fixed_rows
 from . import lines as L
+from . import ranges
 
 
 # A phrase list becomes part of expressions; a longer file isn't one.
@@ -24,30 +30,49 @@ def _field(parts: Column, i: int) -> Column:
 # --- genotype exports --------------------------------------------------------
 
 def export_files(lines: DataFrame) -> DataFrame:
-    """Per file ``path, vendor, assembly, first_data_line``."""
+    """Per file ``path, vendor, assembly, first_data_line, first_line``, from its lines; see ``export_facts``."""
     head = L.heads(lines)
     data = ~(strip(F.col("value")) == "") & ~strip(F.col("value")).startswith("#")
-    first = lines.groupBy("path").agg(F.min(F.when(data, F.col("line_no"))).alias("first_data_line"))
+    at = F.when(data, F.col("line_no"))
+    first = lines.groupBy("path").agg(F.min(at).alias("first_data_line"), F.min_by("value", at).alias("first_line"))
     return head.join(first, "path").select(
         "path", L.vendor_of(F.col("head")).alias("vendor"),
-        L.assembly_of(F.col("head")).alias("assembly"), "first_data_line",
+        L.assembly_of(F.col("head")).alias("assembly"), "first_data_line", "first_line",
     )
 
 
-def parse_calls(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """All rows of all layouts with ``ok``: false for data rows that are too short.
+def export_facts(spark: SparkSession, path, **options) -> DataFrame:
+    """``export_files`` of the files at ``path`` that have content, from a bounded read of each. Files in a store that
+    tasks can't open are read as lines."""
+    if not ranges.opens(spark, path):
+        return export_files(L.numbered_lines(spark, path, **options))
+    files = L.listing(spark, path, **options).filter("length > 0")
+    h = ranges.heads(files, L.SAMPLE_BYTES, L.SNIFF_BYTES, data_line=True)
+    return h.select(F.col("scan_path").alias("path"), L.vendor_of(F.col("head")).alias("vendor"),
+                    L.assembly_of(F.col("head")).alias("assembly"), "first_data_line", "first_line")
+
+
+def parse_calls(lines: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
+    """All rows of all layouts with ``ok``: false for data rows that are too short. With ``strict`` a row of a file
+    without a known layout fails, else such files are left out. A MyHeritage file's first data line is its header
+    if it begins with RSID, and so is any repetition of it.
     Columns ``path, sample_id, rsid, chrom, pos, genotype, line_no, ok``; ``pos`` is null where
     it is no whole number and ``pos_text`` keeps it as written."""
-    j = lines.join(files.select("path", "vendor", "first_data_line"), "path").filter(
-        F.col("vendor").isNotNull())
-    my = F.col("vendor") == "myheritage"
+    j = lines.join(files.select("path", "vendor", "first_line"), "path")
+    if not strict:
+        j = j.filter(F.col("vendor").isNotNull())
+    my = F.coalesce(F.col("vendor") == "myheritage", F.lit(False))
     v = F.when(my, strip(F.col("value"))).otherwise(F.col("value"))
     j = j.withColumn("_p", F.when(my, F.split(v, ",")).otherwise(F.split(v, "\t")))
     p = F.col("_p")
-    first = F.col("line_no") == F.col("first_data_line")
+    first = F.coalesce(F.col("value") == F.col("first_line"), F.lit(False))
     header = F.when(my, first & (F.upper(_field(p, 0)) == "RSID")).otherwise(F.lower(_field(p, 0)) == "rsid")
     need = F.when(F.col("vendor") == "ancestrydna", 5).otherwise(4)
     rows = j.filter((v != "") & ~v.startswith("#") & ~header)
+    # The test stands where both sides of the join are used, so only rows that are read can fail.
+    wide = F.size(p) >= need
+    unknown = F.concat(F.lit("not a recognized consumer DNA file: "), "path")
+    ok = F.when(F.col("vendor").isNull() & (F.size(p) > 0), F.raise_error(unknown).cast("boolean")).otherwise(wide) if strict else wide
 
     def text(i):
         return F.when(my, F.btrim(_field(p, i), F.lit('"'))).otherwise(_field(p, i))
@@ -56,27 +81,42 @@ def parse_calls(lines: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(
         "path", F.regexp_extract("path", r"([^/]+?)(\.[^/.]*)?(\.gz)?$", 1).alias("sample_id"),
         text(0).alias("rsid"), text(1).alias("chrom"), text(2).try_cast("bigint").alias("pos"),
-        text(2).alias("pos_text"), genotype.alias("genotype"), "line_no", (F.size(p) >= need).alias("ok"),
+        text(2).alias("pos_text"), genotype.alias("genotype"), "line_no", ok.alias("ok"),
     )
 
 
+def _of_group(facts: DataFrame, files, path) -> DataFrame:
+    """The rows of ``facts`` (path, ...) for one of ``file_groups``, small enough to be broadcast. Scans of local
+    files begin their paths with one slash or three, so there is a row for each form."""
+    if files is not path:
+        own = facts.sparkSession.createDataFrame([(f,) for f in files], "own string").select(L.plain_path("own").alias("own"))
+        facts = facts.join(own, L.plain_path(facts["path"]) == F.col("own"), "left_semi")
+    plain = L.plain_path("path")
+    forms = F.when(plain.startswith("/"), F.array(F.concat(F.lit("file:"), plain), F.concat(F.lit("file://"), plain))).otherwise(
+        F.array("path"))
+    return F.broadcast(facts.withColumn("path", F.explode(forms)))
+
+
+def _parsed(spark: SparkSession, path, options: dict, strict: bool) -> DataFrame:
+    facts = export_facts(spark, path, **options)
+
+    def read(files) -> DataFrame:
+        lines = L.split_lines(spark, files, **options).select("path", "value", F.struct("_block", "_id").alias("line_no"))
+        return parse_calls(lines, _of_group(facts, files, path), strict)
+
+    return L.by_group(spark, path, options, read)
+
+
 def read_calls(spark: SparkSession, path, **options) -> DataFrame:
     """Genotype calls of 23andMe, AncestryDNA and MyHeritage exports; the layout is found per
-    file. Short rows are left out (see ``short_rows``); files of another kind fail the read."""
-    lines = L.numbered_lines(spark, path, **options)
-    files = export_files(lines)
-    stop = F.when(F.col("vendor").isNull(), F.raise_error(
-        F.concat(F.lit("not a recognized consumer DNA file: "), "path"))).otherwise(F.col("vendor"))
-    files = files.withColumn("vendor", stop)
-    if L.few_files(spark, path, **options):
-        files = F.broadcast(files)
-    return parse_calls(lines, files).filter("ok").drop("ok")
+    file, from its head. Short rows are left out (see ``short_rows``); files of another kind fail the read. The data
+    are read once: ``line_no`` orders the rows of a file by where they stand, as (split, row)."""
+    return _parsed(spark, path, options, True).filter("ok").drop("ok")
 
 
 def short_rows(spark: SparkSession, path, **options) -> DataFrame:
     """Per file: data rows that were too short to use."""
-    lines = L.numbered_lines(spark, path, **options)
-    return parse_calls(lines, export_files(lines)).groupBy("path").agg(
+    return _parsed(spark, path, options, False).groupBy("path").agg(
         F.count_if(~F.col("ok")).alias("short_rows"), F.count_if(F.col("ok")).alias("rows"))
 
 
@@ -122,26 +162,57 @@ def read_fasta(spark: SparkSession, path, **options) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path, **options) -> DataFrame:
     """``path, read_no, header, name, seq, qual`` of four-line records. Reading a file ends at
-    its first empty quality line; a record before it whose header has no ``@`` fails the read. One
-    shuffle brings the four lines of a record together."""
-    lines = L.numbered_lines(spark, path, **options)
-    at = (F.col("line_no") - 1) % 4
-    recs = lines.groupBy("path", F.expr("(line_no - 1) div 4 + 1").alias("read_no")).agg(*[
-        F.max(F.when(at == i, F.col("value"))).alias(n)
-        for i, n in ((0, "header"), (1, "seq"), (3, "qual"))])
-    empty = F.coalesce(F.col("qual"), F.lit("")) == ""
-    ends = lines.filter((at == 3) & (F.col("value") == "")).groupBy("path").agg(
-        F.min(F.expr("(line_no - 1) div 4 + 1")).alias("_end"))
-    if L.few_files(spark, path, **options):
-        ends = F.broadcast(ends)
-    kept = recs.filter(~empty).join(ends, "path", "left").filter(
-        F.col("_end").isNull() | (F.col("read_no") < F.col("_end")))
+    its first empty quality line; a record before it whose header has no ``@`` fails the read.
+
+    A task joins the records that lie in its split from their consecutive lines. Only the lines of a record that
+    crosses the border of splits, at most three on each side of it, are shuffled.
+    """
+    def read(files) -> DataFrame:
+        scan = L.split_lines(spark, files, **options)
+        # The first empty line of each remainder of the id by four: which of them is a quality line is known once
+        # the lines before the split are.
+        empty = [F.min(F.when((F.col("value") == "") & (F.col("_id") % 4 == r), F.col("_id"))).alias(f"_e{r}") for r in range(4)]
+        splits = L.counted_splits(scan, *empty)
+        at = F.pmod(F.col("_first") - F.col("_before") + 3, F.lit(4))
+        ends = F.coalesce(*[F.when(at == r, F.col(f"_e{r}")) for r in range(4)])
+        ends = F.expr("_before - _first").cast("bigint") + ends  # lines before it in the file
+        whole = Window.partitionBy("path")
+        splits = splits.select("path", "_block", "_first", "_n", "_before", F.min(ends).over(whole).alias("_stop"))
+        lines = scan.join(F.broadcast(splits), ["path", "_block"]).select(
+            "path", "_block", (F.col("_before") + F.col("_id") - F.col("_first")).alias("_no"), "_before", "_n", "_stop", "value")
+        lines = lines.filter(F.col("_stop").isNull() | (F.col("_no") < F.col("_stop") - 3))
+        # The first and last line numbers of the records that are whole in the split.
+        low = F.expr("_before + pmod(-_before, 4)")
+        high = F.expr("_before + _n - pmod(_before + _n, 4)")
+        inside = (F.col("_no") >= low) & (F.col("_no") < high)
+        records = lines.filter(inside).select("path", "_no", "value").mapInArrow(
+            _stitched, "path string, read_no bigint, header string, seq string, qual string")
+        at = F.col("_no") % 4
+        across = lines.filter(~inside).groupBy("path", F.expr("_no div 4 + 1").alias("read_no")).agg(*[
+            F.max(F.when(at == i, F.col("value"))).alias(n) for i, n in ((0, "header"), (1, "seq"), (3, "qual"))])
+        return records.unionByName(across)
+
+    kept = L.by_group(spark, path, options, read).filter(F.coalesce(F.col("qual"), F.lit("")) != "")
     checked = F.when(F.col("header").startswith("@"), F.col("header")).otherwise(F.raise_error(
         F.concat(F.lit("no FASTQ header: "), F.coalesce("header", F.lit("")), F.lit(" in "), "path")))
     return kept.withColumn("header", checked).select(
         "path", "read_no", "header", F.substr("header", F.lit(2)).alias("name"), "seq", "qual")
 
 
+def _stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from lines that come in order, four for each; a batch may end within a record."""
+    rest = None
+    for batch in batches:
+        lines = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        n = lines.num_rows // 4 * 4
+        rest = lines.slice(n).to_batches()[0] if lines.num_rows > n else None
+        if n:
+            first, value = np.arange(0, n, 4), lines.column("value")
+            numbers = lines.column("_no").take(first).to_numpy() // 4 + 1
+            columns = [lines.column("path").take(first), pa.array(numbers), *[value.take(first + i) for i in (0, 1, 3)]]
+            yield from pa.table(columns, ["path", "read_no", "header", "seq", "qual"]).to_batches()
+
+
 # --- variants and alignments -----------------------------------------------------
 
 def read_vcf(spark: SparkSession, path, **options) -> DataFrame:
@@ -223,22 +294,25 @@ def read_gff(spark: SparkSession, path, **options) -> DataFrame:
 def read_chip_manifest(spark: SparkSession, path, **options) -> DataFrame:
     """``path, rsid``: distinct ``rs`` names of the ``[Assay]`` section. Sections are found from
     the few bracketed lines of a file, so its rows stay where they were read."""
+    return L.by_group(spark, path, options, lambda files: _assay_names(spark, files, options)).distinct()
+
+
+def _assay_names(spark: SparkSession, path, options: dict) -> DataFrame:
     lines = L.numbered_lines(spark, path, **options).withColumn("value", strip(F.col("value")))
     marks = lines.filter(F.col("value").startswith("[") & F.col("value").endswith("]"))
     start = marks.filter(F.col("value") == "[Assay]").groupBy("path").agg(F.min("line_no").alias("_from"))
     end = marks.filter(F.col("value") != "[Assay]").join(start, "path").filter(
         F.col("line_no") > F.col("_from")).groupBy("path").agg(F.min("line_no").alias("_to"))
     span = start.join(end, "path", "left")
-    few = L.few_files(spark, path, **options)
-    body = lines.join(F.broadcast(span) if few else span, "path").filter(
+    body = lines.join(F.broadcast(span), "path").filter(
         (F.col("line_no") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to")))
         & (F.col("value") != "[Assay]"))
     names = F.transform(F.split("value", ","), lambda c: F.lower(strip(c)))
     head = body.withColumn("_at", F.array_position(names, "name")).filter(F.col("_at") > 0).groupBy("path").agg(
         F.min(F.struct("line_no", "_at")).alias("_h"))
-    rows = body.join(F.broadcast(head) if few else head, "path").filter(F.col("line_no") > F.col("_h.line_no"))
+    rows = body.join(F.broadcast(head), "path").filter(F.col("line_no") > F.col("_h.line_no"))
     name = strip(F.get(F.split("value", ","), F.col("_h._at").cast("int") - 1))
-    return rows.select("path", name.alias("rsid")).filter(F.col("rsid").startswith("rs")).distinct()
+    return rows.select("path", name.alias("rsid")).filter(F.col("rsid").startswith("rs"))
 
 
 def read_dbsnp_sites(spark: SparkSession, path, **options) -> DataFrame:
@@ -276,6 +350,12 @@ def read_table(spark: SparkSession, path, required, exact: bool = False) -> Data
     its own, and its columns are found by that. A missing column fails; with ``exact`` any other column,
     order or width fails too. Short rows are left out otherwise. ``line_no`` orders the rows of a file."""
     required = list(required)
+    if not spark.read.text(path).inputFiles() and L.listing(spark, path).isEmpty():
+        raise ValueError(f"empty table: {path}")
+    return L.by_group(spark, path, {}, lambda files: _table_rows(spark, files, required, exact))
+
+
+def _table_rows(spark: SparkSession, path, required: list, exact: bool) -> DataFrame:
     want = F.array(*map(F.lit, required))
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
@@ -289,12 +369,8 @@ def read_table(spark: SparkSession, path, required, exact: bool = False) -> Data
         raise ValueError(f"missing column(s): {','.join(wrong[0]['missing'])} in {wrong[0]['path']}")
     if wrong:
         raise ValueError(f"header {list(wrong[0]['columns'])} is not {required} in {wrong[0]['path']}")
-    if L.listing(spark, path).isEmpty():
-        raise ValueError(f"empty table: {path}")
-    if L.few_files(spark, path):
-        heads = F.broadcast(heads)
     p, width = F.col("parts"), F.size("columns")
-    rows = scan.join(heads.drop("head"), "path").filter(
+    rows = scan.join(F.broadcast(heads.drop("head")), "path").filter(
         (F.col("at") != F.col("first")) & (strip(F.col("value")) != "")).withColumn("parts", F.split("value", "\t"))
     if exact:
         rows = rows.filter(F.when(F.size(p) != width, F.raise_error(

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
-from fnmatch import fnmatch
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
-from ..operators.keyed import unnest
+from ..operators.keyed import estimated_bytes, unnest
+from . import ranges
 
-# One small row per input split or file is broadcast up to this many rows (about 100 MB).
-BROADCAST_ROWS = 500_000
+# One small row per input split or file is broadcast, for groups of files with about this many of them (100 MB).
+SPLITS_PER_GROUP = 500_000
 SNIFF_BYTES = 4096
 SAMPLE_BYTES = 65536
-HIDDEN_BYTES = 64 << 20
+LINE_END = r"\r\n|\n|\r"
 
 
 def plain_path(path) -> Column:
@@ -27,7 +28,11 @@ def plain_path(path) -> Column:
 def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilter=None, **_) -> DataFrame:
     """``path, length`` of all files, from the file system's own listing: empty files and those whose
     names begin with ``_`` or ``.`` are there too, which Spark's readers leave out (Hadoop's own marks,
-    ``_SUCCESS`` and ``.crc``, are not). Files directly in a folder, or at any depth with ``recursiveFileLookup``; part folders (``key=value``) always count."""
+    ``_SUCCESS`` and ``.crc``, are not). Files directly in a folder, or at any depth with ``recursiveFileLookup``; part folders (``key=value``) always count.
+
+    Tasks list the folders. Only a store that tasks can't open is listed from the driver."""
+    if ranges.opens(spark, path):
+        return ranges.listing(spark, path, recursiveFileLookup, pathGlobFilter)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     deep = str(recursiveFileLookup).lower() == "true"
     rows, todo = [], []
@@ -38,9 +43,7 @@ def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilt
     while todo:
         fs, status = todo.pop()
         if status.isFile():
-            name = status.getPath().getName()
-            mark = name == "_SUCCESS" or name.endswith(".crc")
-            if not mark and (pathGlobFilter is None or fnmatch(name, pathGlobFilter)):
+            if ranges.counts(status.getPath().getName(), pathGlobFilter):
                 rows.append((re.sub("^file:/+", "/", status.getPath().toString()), status.getLen()))
             continue
         for inner in fs.listStatus(status.getPath()):
@@ -49,38 +52,48 @@ def listing(spark: SparkSession, path, recursiveFileLookup="false", pathGlobFilt
     return spark.createDataFrame(rows, "path string, length bigint")
 
 
-def hidden_files(files: DataFrame, most: int = HIDDEN_BYTES) -> DataFrame:
-    """``path, content`` of the files with content that Spark's readers skip for their names. They are the
-    exception in a folder and are read one by one; more than ``most`` bytes of them are refused."""
-    spark = files.sparkSession
+def hidden_files(files: DataFrame) -> DataFrame:
+    """``path, content`` of the files with content that Spark's readers skip for their names. Tasks read them; in a
+    store that tasks can't open they are refused by name."""
     name = F.substring_index("path", "/", -1)
     hidden = files.filter((F.col("length") > 0) & (name.startswith("_") | name.startswith(".")))
-    if (hidden.agg(F.sum("length")).first()[0] or 0) > most:
-        raise ValueError(f"over {most} bytes in files whose names begin with _ or .; rename them to have them read")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for r in hidden.collect():
-        path = jvm.org.apache.hadoop.fs.Path(r["path"])
-        stream = path.getFileSystem(conf).open(path)
-        try:
-            rows.append((r["path"], bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        finally:
-            stream.close()
-    return spark.createDataFrame(rows, "path string, content binary")
-
-
-def _sizes(spark: SparkSession, path, **options) -> tuple[int, int]:
-    """(files, upper bound of input splits), from the listing alone."""
-    smallest = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.openCostInBytes", "4194304")))
-    row = listing(spark, path, **options).agg(
-        F.count(F.lit(1)), F.sum(F.expr(f"length div {smallest} + 1"))
-    ).first()
-    return row[0], row[1] or 0
-
-
-def few_files(spark: SparkSession, path, **options) -> bool:
-    return _sizes(spark, path, **options)[0] <= BROADCAST_ROWS
+    first = hidden.first()
+    if first and not ranges.opens(files.sparkSession, first["path"]):
+        raise ValueError(f"a name that begins with _ or . can't be read in this store: {first['path']}")
+    return ranges.texts(hidden)
+
+
+def most_splits(lines: DataFrame) -> int:
+    """An upper bound of the input splits of a text scan, from what Spark has listed for it."""
+    size = lines.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    conf = lines.sparkSession.conf
+    least = min(size(conf.get(f"spark.sql.files.{k}", d)) for k, d in (("openCostInBytes", "4194304"), ("maxPartitionBytes", "134217728")))
+    return len(lines._jdf.inputFiles()) + estimated_bytes(lines) // max(1, least)
+
+
+def file_groups(spark: SparkSession, path, **options) -> list:
+    """``path`` itself, or, where its files have more splits than are broadcast at once, lists of files with
+    about ``SPLITS_PER_GROUP`` each. A file is in one group whole. What a reader broadcasts for one group so has
+    a bound, and lines need no shuffle however many files there are."""
+    scan = spark.read.options(**options).text(path)
+    if most_splits(scan) <= SPLITS_PER_GROUP:
+        return [path]
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    least = size(spark.conf.get("spark.sql.files.openCostInBytes", "4194304"))
+    files = spark.read.options(**options).format("binaryFile").load(path).select("path", F.expr(f"length div {least} + 1").alias("n"))
+    groups, room = [], 0
+    for file, n in files.toLocalIterator():
+        if not groups or n > room:
+            groups.append([])
+            room = SPLITS_PER_GROUP
+        groups[-1].append(file)
+        room -= n
+    return groups
+
+
+def by_group(spark: SparkSession, path, options: dict, read) -> DataFrame:
+    """The rows of ``read(files)`` over all ``file_groups``."""
+    return reduce(DataFrame.unionByName, [read(group) for group in file_groups(spark, path, **options)])
 
 
 def raw_lines(spark: SparkSession, path, line_sep: str | None = None, **options) -> DataFrame:
@@ -91,32 +104,42 @@ def raw_lines(spark: SparkSession, path, line_sep: str | None = None, **options)
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def numbered_lines(spark: SparkSession, path, line_sep: str | None = None, **options) -> DataFrame:
-    """``path, line_no, value``, 1-based over each whole file.
-
-    A file may be read in several splits. Rows of one split keep their order, so a line's number
-    is its place in the split plus the lines of the splits before it. The per-split counts are
-    one small row per split and are broadcast while the listing proves them few; past that they
-    are joined like any other table. The lines themselves are not shuffled to be numbered.
-    """
+def split_lines(spark: SparkSession, path, line_sep: str | None = None, **options) -> DataFrame:
+    """``path, _block, _id, value``: lines with the start of their input split, in the order of ``_id`` there."""
     reader = spark.read.options(**options)
     if line_sep:
         reader = reader.option("lineSep", line_sep)
-    scan = reader.text(path).select(
+    return reader.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
+
+
+def counted_splits(scan: DataFrame, *extra: Column) -> DataFrame:
+    """``path, _block, _first, _n, _before`` and ``extra`` for each split of ``split_lines``: its first id, its lines and
+    the lines of its file before it."""
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = scan.groupBy("path", "_block").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
-    ).select("path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if _sizes(spark, path, **options)[1] <= BROADCAST_ROWS:
-        splits = F.broadcast(splits)
-    return scan.join(splits, ["path", "_block"]).select(
-        "path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value"
-    )
+    splits = scan.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), *extra)
+    return splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def numbered_lines(spark: SparkSession, path, line_sep: str | None = None, **options) -> DataFrame:
+    """``path, line_no, value``, 1-based over each whole file.
+
+    A file may be read in several splits. Rows of one split keep their order, so a line's number
+    is its place in the split plus the lines of the splits before it. The per-split counts are
+    one small row per split and are broadcast, by ``file_groups`` of bounded size. The lines
+    themselves are not shuffled to be numbered.
+    """
+    def read(files) -> DataFrame:
+        scan = split_lines(spark, files, line_sep, **options)
+        splits = counted_splits(scan).select("path", "_block", "_first", "_before")
+        return scan.join(F.broadcast(splits), ["path", "_block"]).select(
+            "path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
+
+    return by_group(spark, path, options, read)
 
 
 def heads(lines: DataFrame, n_bytes: int = SNIFF_BYTES) -> DataFrame:
@@ -169,20 +192,24 @@ _INDEXES = {"fasta": ("fai",), "vcf": ("tbi", "csi"), "bam": ("bai", "csi"), "cr
 
 def file_catalog(spark: SparkSession, path, **options) -> DataFrame:
     """One row per file: ``path, format, compressed, size_bytes, index_present, gzip_mismatch,
-    assembly, record_estimate``. Format and estimate follow the first 4 KB and 64 KB; no file is read as
-    one value, so its length doesn't matter. Empty files are ``unknown`` without an estimate."""
+    assembly, record_estimate``. Format and estimate follow the first 4 KB and 64 KB, and no more is read of
+    a file (in a store that tasks can't open, its lines are). An estimate goes by the size as it reads: of a
+    gzip file the one that the file states. Empty files are ``unknown`` without an estimate."""
     files = listing(spark, path, **options)
-    lines = numbered_lines(spark, path, **options)
-    head = heads(lines).withColumn("path", plain_path("path"))
-    d = files.join(head, "path", "left").withColumn("head", F.coalesce("head", F.lit("")))
-    d = d.join(_sample_counts(lines), "path", "left")
+    if ranges.opens(spark, path):
+        d = sampled(files)
+    else:
+        lines = numbered_lines(spark, path, **options)
+        head = heads(lines).withColumn("path", plain_path("path"))
+        d = files.join(head, "path", "left").withColumn("head", F.coalesce("head", F.lit("")))
+        d = d.join(_sample_counts(lines), "path", "left")
     name = F.lower(F.substring_index("path", "/", -1))
     gz = name.endswith(".gz")
     stem = F.when(gz, F.regexp_replace(name, r"\.gz$", "")).otherwise(name)
     d = d.withColumns({"_gz": gz, "_ext": F.when(stem.contains("."), F.substring_index(stem, ".", -1)).otherwise(F.lit(""))})
     ext, h = F.col("_ext"), F.col("head")
     text = F.ltrim(h)
-    ls = F.split(h, "\n")
+    ls = F.split(h, LINE_END)
     fastq = (F.size(ls) >= 4) & F.get(ls, F.lit(0)).startswith("@") & F.get(ls, F.lit(2)).startswith("+")
     fmt = (
         F.when((F.col("_magic") == "4352414D") | (ext == "cram"), F.lit("cram"))
@@ -223,6 +250,24 @@ def file_catalog(spark: SparkSession, path, **options) -> DataFrame:
     )
 
 
+def sampled(files: DataFrame) -> DataFrame:
+    """``path, length, head``, the first four bytes, line-kind counts over the first 64 KB, and the size as the file
+    reads, from one bounded read of each file."""
+    d = ranges.heads(files, SAMPLE_BYTES, SNIFF_BYTES)
+    ls = F.split("sample", LINE_END)
+
+    def n(test) -> Column:
+        return F.size(F.filter(ls, test))
+
+    return d.select(
+        "path", "length", "head", "magic", F.col("magic").alias("_magic"), F.col("total").alias("_bytes"), "bytes_read",
+        n(lambda v: v.startswith(">")).alias("_fasta"), n(lambda v: v != "").alias("_full"),
+        n(lambda v: (v != "") & ~v.startswith("#")).alias("_vcf"),
+        n(lambda v: (v != "") & ~v.startswith("#") & ~v.startswith("track")).alias("_bed"),
+        n(lambda v: (v != "") & ~v.startswith("#") & ~F.lower(v).startswith("rsid")).alias("_dna"),
+        n(lambda v: (v != "") & ~v.startswith("@")).alias("_sam"))
+
+
 def _sample_counts(lines: DataFrame) -> DataFrame:
     """Line-kind counts over the first 64 KB of every file, its unpacked size in bytes, and its first
     bytes. A line's bytes are kept as they are, so this holds for files that are no text."""

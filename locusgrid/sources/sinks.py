@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions import sequence as S
 from ..operators.keyed import value_lists
 from ..session import fixed_rows
+from . import ranges
 from .lines import hidden_files, listing, plain_path
 
 
@@ -117,10 +118,13 @@ def append_index(rows: DataFrame, path: str) -> None:
 
 
 def file_fingerprint(spark, path, **options) -> DataFrame:
-    """``path, sha256`` of every file's bytes, empty and hidden files too. A hash runs over a file from
-    its start, so a file longer than Spark reads as one value is refused by name."""
-    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    """``path, sha256`` of every file's bytes, empty and hidden files too. A task runs a file through its hash block by
+    block, so its length doesn't matter. In a store that tasks can't open, a file longer than Spark reads as one
+    value is refused by name."""
     files = listing(spark, path, **options)
+    if ranges.opens(spark, path):
+        return ranges.digests(files)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     large = [r["path"] for r in files.filter(F.col("length") > most).limit(5).collect()]
     if large:
         raise ValueError(f"too long to hash as one value (over {most} bytes): {', '.join(large)}")
