@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions import sequence as S
 from ..functions import text as T
-from .keyed import top_per_group, unnest
+from ..session import scratch_path
+from .batches import character_histogram, character_range
+from .keyed import top_per_group
 
 
 # --- projections -----------------------------------------------------------
@@ -156,10 +158,8 @@ def adapter_hits(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None,
 def quality_range(reads: DataFrame, group: str = "path") -> DataFrame:
     """Per file: lowest and highest quality character, the offset they imply, and whether the
     range leaves the encoding open."""
-    codes = reads.select(group, S.quality_codes(F.col("qual")).alias("_c"))
-    agg = codes.groupBy(group).agg(
-        F.min(F.array_min("_c")).alias("min_code"), F.max(F.array_max("_c")).alias("max_code")
-    )
+    codes = reads.select(group, character_range("qual").alias("_c"))
+    agg = codes.groupBy(group).agg(F.min("_c.low").alias("min_code"), F.max("_c.high").alias("max_code"))
     lo, hi = F.col("min_code"), F.col("max_code")
     return agg.withColumns({
         "phred_offset": S.phred_offset(lo, hi),
@@ -171,15 +171,15 @@ def fastq_summary(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None
                   group: str = "path") -> DataFrame:
     """Per file; adapters are counted in all reads, or in the first ``head``."""
     coded = reads.filter(F.length("qual") > 0).select(
-        group, "seq", "read_no", S.quality_codes(F.col("qual")).alias("_c")
+        group, "seq", "read_no", character_range("qual").alias("_c")
     )
     sampled = F.lit(True) if head is None else F.col("read_no") <= head
     hist = coded.groupBy(group, _length("seq").alias("length")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, c: a + c)).alias("q"),
-        F.sum(F.size("_c")).alias("qn"),
-        F.min(F.array_min("_c")).alias("lo"),
-        F.max(F.array_max("_c")).alias("hi"),
+        F.sum("_c.total").alias("q"),
+        F.sum("_c.n").alias("qn"),
+        F.min("_c.low").alias("lo"),
+        F.max("_c.high").alias("hi"),
         F.count_if(sampled & _adapter_found(adapters)).alias("ad"),
         F.count_if(sampled).alias("sm"),
     )
@@ -199,19 +199,11 @@ def fastq_summary(reads: DataFrame, adapters=K.ADAPTERS, head: int | None = None
     )
 
 
-def _coded(reads: DataFrame, group: str) -> DataFrame:
-    """``group, _l, cycle, code``: a row for each quality character. The length is taken below the
-    explode; beside it, it would be counted anew for every character."""
-    sized = reads.select(group, F.length("seq").alias("_l"), "qual")
-    return unnest(sized, [group, "_l"], S.quality_codes(F.col("qual")), "code", "cycle")
-
-
 def base_histogram(reads: DataFrame, group: str = "path") -> DataFrame:
     """``group, cycle (0-based), code, n, n_inside``: quality characters per cycle, with the
-    part that lies inside the sequence. The size is cycles x characters per file."""
-    return _coded(reads, group).groupBy(group, "cycle", "code").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("cycle") < F.col("_l")).alias("n_inside")
-    )
+    part that lies inside the sequence. The size is cycles x characters per file; so is what a task shuffles."""
+    sized = reads.select(group, F.length("seq").alias("_l"), "qual")
+    return character_histogram(sized, group, "qual", "_l")
 
 
 def _with_offset(hist: DataFrame, group: str) -> DataFrame:
@@ -222,9 +214,8 @@ def _with_offset(hist: DataFrame, group: str) -> DataFrame:
 
 def per_base_mean_quality(reads: DataFrame, group: str = "path") -> DataFrame:
     """Mean quality per cycle; characters past the end of the sequence are ignored."""
-    inside = F.col("cycle") < F.col("_l")
-    agg = _coded(reads, group).groupBy(group, "cycle").agg(
-        F.sum(F.when(inside, F.col("code"))).alias("_s"), F.count_if(inside).alias("n_reads"),
+    agg = base_histogram(reads, group).groupBy(group, "cycle").agg(
+        F.sum(F.col("code") * F.col("n_inside")).alias("_s"), F.sum("n_inside").alias("n_reads"),
         F.min("code").alias("_lo"), F.max("code").alias("_hi"))
     offsets = agg.groupBy(group).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select(
         group, S.phred_offset(F.col("_lo"), F.col("_hi")).alias("_offset"))
@@ -288,8 +279,8 @@ def _qc_reads(reads: DataFrame) -> DataFrame:
 def qc_read_quality_hist(reads: DataFrame, group: str = "path") -> DataFrame:
     """40 bins of mean read quality. Reads collapse to (sum, length) pairs first; the encoding
     offset shifts values and edges alike, so it does not change a bin."""
-    sums = _qc_reads(reads).groupBy(
-        group, S.quality_sum(F.col("qual")).alias("_s"), F.length("qual").alias("_l")
+    sums = _qc_reads(reads).select(group, "qual", character_range("qual")["total"].alias("_s")).groupBy(
+        group, "_s", F.length("qual").alias("_l")
     ).agg(F.count(F.lit(1)).alias("n"))
     means = sums.select(group, (F.col("_s") / F.col("_l")).alias("q"), "n")
     return equal_bins(means, "q", "n", group)
@@ -316,10 +307,10 @@ def qc_gc_hist(reads: DataFrame, group: str = "path") -> DataFrame:
 
 def qc_n_content(reads: DataFrame, group: str = "path") -> DataFrame:
     """Percentage of N per cycle of the sequence."""
-    bases = unnest(_qc_reads(reads), [group], F.split("seq", ""), "base", "cycle")
+    bases = character_histogram(_qc_reads(reads), group, "seq")
+    is_n = F.col("code").isin(ord("N"), ord("n"))
     agg = bases.groupBy(group, "cycle").agg(
-        F.count(F.lit(1)).alias("n_reads"), F.count_if(F.col("base").isin("N", "n")).alias("n_count")
-    )
+        F.sum("n").alias("n_reads"), F.sum(F.when(is_n, F.col("n")).otherwise(0)).alias("n_count"))
     return agg.select(
         group, F.col("cycle").cast("bigint").alias("cycle"), "n_reads", "n_count",
         (F.lit(100.0) * F.col("n_count") / F.col("n_reads")).alias("n_pct"),
@@ -337,8 +328,39 @@ def qc_totals(reads: DataFrame, group: str = "path") -> DataFrame:
 
 def overrepresented(reads: DataFrame, n: int = K.TOP_SEQUENCES, group: str = "path") -> DataFrame:
     """Most frequent exact sequences per file; ties go to the one seen first."""
-    counts = _qc_reads(reads).groupBy(group, "seq").agg(
-        F.count(F.lit(1)).alias("n_reads"), F.min("read_no").alias("first_read")
-    )
+    return top_texts(_qc_reads(reads), group, n, F.xxhash64("seq"))
+
+
+def top_texts(reads: DataFrame, group: str, n: int, digest: Column) -> DataFrame:
+    """``group, seq, n_reads, first_read, rank``: counted by ``digest`` first, which is all that is shuffled of a text;
+    then the texts of the ``n`` first digests of each file are fetched and counted as they are.
+
+    A digest counts at least as much, and is first seen as early, as any text that has it. Where texts share one
+    of these digests, the n-th best text so far is a bound: all digests up to it are looked at as well.
+    """
+    rows = reads.select(group, "seq", "read_no", digest.alias("_d"))
+    counts = rows.groupBy(group, "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("read_no").alias("_first"))
+    top = top_per_group(counts, [group], [F.col("_n").desc(), F.col("_first")], n, "_rank").select(group, "_d")
+    texts = _texts_of(rows, _kept(top, "top-digests"), group)
     order = [F.col("n_reads").desc(), F.col("first_read").asc()]
-    return top_per_group(counts, [group], order, n)
+    best = _kept(top_per_group(texts, [group], order, n), "top-texts")
+    shared = texts.groupBy(group, "_d").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if not shared.isEmpty():
+        last = best.groupBy(group).agg(F.max_by(F.struct("n_reads", "first_read"), "rank").alias("_b"))
+        near = (F.col("_n") > F.col("_b.n_reads")) | ((F.col("_n") == F.col("_b.n_reads")) & (F.col("_first") <= F.col("_b.first_read")))
+        more = _kept(counts.join(last, group).filter(near).select(group, "_d"), "more-digests")
+        best = top_per_group(_texts_of(rows, more, group), [group], order, n)
+    return best.drop("_d")
+
+
+def _texts_of(rows: DataFrame, digests: DataFrame, group: str) -> DataFrame:
+    """Counts of the texts that have one of ``digests`` (few for each group)."""
+    return rows.join(digests, [group, "_d"], "left_semi").groupBy(group, "seq").agg(
+        F.count(F.lit(1)).alias("n_reads"), F.min("read_no").alias("first_read"), F.first("_d").alias("_d"))
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A few rows for each file, stored, so that their size is known to the joins that use them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
