@@ -36,8 +36,8 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def __call__(self, name: str) -> DataFrame:
-        return views.view(self.spark, self.sf_dir, name)
+    def __call__(self, name: str, **prepare) -> DataFrame:
+        return views.view(self.spark, self.sf_dir, name, **prepare)
 
     def table(self, name: str) -> DataFrame:
         return views.table(self.spark, self.sf_dir, name)
@@ -48,11 +48,11 @@ class Views:
 
     @property
     def docs(self):
-        return spread(self("v_docs").withColumnRenamed("doc_id", "doc"))
+        return self("v_docs", prepare=spread).withColumnRenamed("doc_id", "doc")
 
     @property
     def reads(self):
-        r = spread(self("v_reads"))
+        r = self("v_reads", prepare=spread)
         return r.select(
             F.lit("reads").alias("path"), F.col("read_id").alias("read_no"),
             F.concat(F.lit("r"), F.col("read_id").cast("string")).alias("name"), "seq", "qual",

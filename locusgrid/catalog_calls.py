@@ -321,6 +321,31 @@ def _(v):
     return OS.translate_sequences(s)
 
 
+@query("translate_chunks", "v_reads", _T1[1], _T1[0])
+def _(v):
+    parts = OS.translate_chunks(OS.sequence_chunks(v.sequences, 3 * 100))
+    order = F.when(F.col("frame") > 0, F.col("chunk_no")).otherwise(-F.col("chunk_no"))
+    whole = parts.groupBy("seq_id", "frame").agg(F.sort_array(F.collect_list(F.struct(order.alias("no"), "protein"))).alias("p"))
+    return whole.select(F.substr("seq_id", F.lit(2)).cast(BIG).alias("read_id"), "frame", F.array_join("p.protein", "").alias("protein"))
+
+
+@query("chunk_summary", "v_reads", """
+select 'r' || read_id as seq_id, length(seq) as length, case when length(seq) = 0 then 0.0 else 100.0 * cast(length(seq) - length(translate(seq, 'GC', '')) as double) / length(seq) end as gc,
+  length(seq) - length(translate(seq, 'N', '')) as ambiguous_bases from v_reads""")
+def _(v):
+    return OS.chunk_summary(OS.sequence_chunks(v.sequences, 3 * 100), 3 * 100).drop("path")
+
+
+@query("slice_chunks", "v_reads", """
+select 'r' || read_id as seq_id, 201::bigint as start1, 900::bigint as end1, substr(seq, 201, 700) as bases from v_reads where length(seq) > 200""")
+def _(v):
+    size = 3 * 100
+    regions = v.sequences.select(F.col("seq_id").alias("chrom"), F.lit(201).cast(BIG).alias("start1"), F.lit(900).cast(BIG).alias("end1"))
+    parts = OS.slice_chunks(OS.sequence_chunks(v.sequences, size), regions, size)
+    whole = parts.groupBy("seq_id", "start1", "end1").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "bases"))).alias("p"))
+    return whole.select("seq_id", "start1", "end1", F.array_join("p.bases", "").alias("bases")).filter("bases <> ''")
+
+
 @query("genetic_code", "v_reads", _T5[1], _T5[0])
 def _(v):
     s = v.sequences.select(F.substr("seq_id", F.lit(2)).cast(BIG).alias("read_id"), "sequence")

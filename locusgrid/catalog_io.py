@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .catalog import AUDIT, INDEX, LAST_SAMPLE, OC, OD, OI, OS, OV, OA, jobs, query
 from .catalog_docs import KNOWN, _discover
@@ -384,3 +387,110 @@ def _(v):
     path = scratch_path(v.spark, "candidates")
     W.write_candidates(_discover(v)["candidates"], path)
     return R.read_table(v.spark, path, ("rsid", "chromosome", "position", "genotype", "found", "source_docs", "discovered_in_phase")).drop("line_no")
+
+
+# --- documents and lists that go through files -------------------------------------------
+
+def _docs(v, **names):
+    """The folder of all documents, one file each; ``names`` may give the expression of a file's name."""
+    path = scratch_path(v.spark, "docs")
+    name = names.get("name", F.concat(F.lit("d"), (F.col("doc") % 7).cast("string"), F.lit("/"), F.col("doc").cast("string")))
+    W.write_docs(v.docs.select(name.alias("doc"), "text"), path)
+    return path
+
+
+@query("read_docs", "v_docs", """
+select doc_id, 'd' || doc_id % 7 || '/' || doc_id || '.md' as doc, doc_id || '.md' as name, text from v_docs""")
+def _(v):
+    got = R.read_docs(v.spark, _docs(v))
+    return got.select(F.regexp_extract("name", "^([0-9]+)", 1).cast("bigint").alias("doc_id"), "doc", "name", "text")
+
+
+@query("file_fingerprint", "v_docs", "select doc_id, sha256(text) as sha256 from v_docs")
+def _(v):
+    got = W.file_fingerprint(v.spark, _docs(v), recursiveFileLookup="true")
+    return got.select(F.regexp_extract("path", "([0-9]+)[.]md$", 1).cast("bigint").alias("doc_id"), "sha256")
+
+
+@query("project_context", "v_docs", r"""
+select doc_id, case when doc_id % 2 = 0 then 'first ' || doc_id || chr(10) || '### Later' || chr(10) || 'more' else '' end as timeline from v_docs""")
+def _(v):
+    n = F.col("doc").cast("string")
+    head = F.when(F.col("doc") % 2 == 0, F.lit("Project Timeline")).otherwise(F.lit("Project Scope"))
+    text = F.concat(F.lit("intro\n## Other\nx\n## "), head, F.lit("\nfirst "), n, F.lit("\n### Later\nmore\n## Last\ny"))
+    got = OD.project_context(v.docs.select("doc", text.alias("text")))
+    return got.select(F.col("doc").alias("doc_id"), F.btrim("timeline", F.lit("\n")).alias("timeline"))
+
+
+@query("read_allowlist", "", """
+select 'k' || n_nationkey as source_key, 'https://' || lower(r_name) || '/{id}' as url_template, 'https://' || lower(r_name) || '/' as url_root, n_name as ext
+from nation join region on n_regionkey = r_regionkey""")
+def _(v):
+    path = scratch_path(v.spark, "allowlist")
+    both = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    root = F.concat(F.lit("https://"), F.lower("r_name"), F.lit("/"))
+    entry = F.struct(F.concat(root, F.lit("{id}")).alias("url_template"), root.alias("url_root"), F.col("n_name").alias("ext"))
+    keyed = both.select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("k"), entry.alias("e"))
+    note = keyed.select(F.concat(F.lit("_"), "k").alias("k"), "e")  # keys that begin with _ are comments
+    registry = keyed.unionByName(note).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "e")))).alias("value"))
+    registry.write.text(path)
+    return R.read_allowlist(v.spark, path)
+
+
+@query("read_phrases", "v_docs", """
+select lower(substr(r_name, 1, 2)) as phrase, (select count(*) from v_docs where contains(text, lower(substr(r_name, 1, 2)))) as n_docs from region""")
+def _(v):
+    path = scratch_path(v.spark, "phrases")
+    lines = F.concat(F.lit("# "), "r_name", F.lit("\n\n  "), F.lower(F.substring("r_name", 1, 2)), F.lit("  "))
+    v.table("region").select(lines.alias("value")).write.text(path)
+    found = [F.struct(F.lit(p).alias("phrase"), F.count_if(F.col("text").contains(p)).alias("n_docs"))
+             for p in R.read_phrases(v.spark, path)]
+    return v.docs.agg(F.array(*found).alias("f")).select(F.inline("f"))
+
+
+@query("export_summary", "v_calls", """
+select sample_id, '23andme' as vendor, 'GRCh37' as build, count(*) as snp_count, count(*) filter (where trim(genotype) in ('', '-', '--', '0', '00', '0 0')) as no_calls,
+  count(*) filter (where trim(genotype) in ('', '-', '--', '0', '00', '0 0')) / count(*) as no_call_rate from v_calls group by sample_id""")
+def _(v):
+    got = jobs.export_summary(v.spark, _export(v, "23andme"), recursiveFileLookup="true")
+    sample = F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint")
+    return got.select(sample.alias("sample_id"), "vendor", "build", "snp_count", "no_calls", "no_call_rate")
+
+
+@query("vcf_summary", "v_variants", """
+select chrom, 'one,two' as samples, count(*) as variant_count, count(*) filter (where filter = 'PASS' or filter = '.') as pass_count from v_variants group by chrom""")
+def _(v):
+    path = scratch_path(v.spark, "vcf_samples")
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\ttwo"
+    x = v("v_variants").repartition("chrom").sortWithinPartitions("chrom")
+    row = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), "filter", F.lit("."), F.lit("GT"), F.lit("0/1"), F.lit("."))
+    # Each chromosome's file begins with the header lines.
+    order = F.lag("chrom").over(Window.partitionBy("chrom").orderBy("row_id")).isNull()
+    x.select("chrom", F.when(order, F.concat(F.lit(head + "\n"), row)).otherwise(row).alias("value")).write.partitionBy("chrom").text(path)
+    got = jobs.vcf_summary(v.spark, path)
+    chrom = F.regexp_extract("path", "chrom=([^/]+)", 1)
+    return got.select(chrom.alias("chrom"), F.array_join("samples", ",").alias("samples"), "variant_count", "pass_count")
+
+
+@query("qc_report_tables", "v_reads", """
+select 'gc' as name, count(*) as n_rows, sum(n_reads)::bigint as n from (
+  select least(floor(round(100.0 * (length(seq) - length(translate(seq, 'GC', ''))) / length(seq), 2) * 40 / 100), 39) as bin, count(*) as n_reads from v_reads where length(seq) > 0 group by 1)
+union all select 'totals', 1, count(*) from v_reads where length(seq) > 0
+union all select 'per_base_quality', (select max(length(qual)) from v_reads), (select sum(length(qual))::bigint from v_reads)
+union all select 'overrepresented', least(20, count(*)), null from (select seq from v_reads where length(seq) > 0 group by seq)""")
+def _(v):
+    tables = jobs.qc_report_tables(v.reads)
+    counted = {"gc": F.sum("n_reads"), "totals": F.sum("reads"), "per_base_quality": F.sum("n_reads"), "overrepresented": F.lit(None).cast("bigint")}
+    parts = [tables[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), n.alias("n")) for name, n in counted.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("variant_report_tables", "v_variants", """
+select 'by_chromosome' as name, count(distinct chrom) as n_rows from v_variants
+union all select 'summary', 6
+union all select 'filtered_out', count(*) filter (where filter not in ('PASS', '.')) from v_variants""")
+def _(v):
+    tables = jobs.variant_report_tables(v("v_variants"))
+    parts = [tables[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"))
+             for name in ("by_chromosome", "summary", "filtered_out")]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -142,3 +142,88 @@ def character_range(texts: pa.Array) -> pa.Array:
     empty = lengths == 0
     ends = [pa.array(x.astype(np.int32), mask=empty) for x in out[1:]]
     return pa.StructArray.from_arrays([pa.array(out[0]), pa.array(lengths), *ends], ["total", "n", "low", "high"])
+
+
+# --- codons ------------------------------------------------------------------------------
+
+#: Bases by number; any other character is number 4, and a codon with one is unknown.
+BASES = "ACGT"
+UNKNOWN = "X"
+
+
+def codon_numbers(table: dict[str, str]) -> np.ndarray:
+    """The amino acid, as a byte, of each of 5 x 5 x 5 codons of base numbers."""
+    out = np.full(125, ord(UNKNOWN), np.uint8)
+    for codon, amino in table.items():
+        a, b, c = (BASES.index(x) for x in codon)
+        out[25 * a + 5 * b + c] = ord(amino)
+    return out
+
+
+def base_numbers() -> np.ndarray:
+    out = np.full(256, 4, np.uint8)
+    for i, base in enumerate(BASES):
+        out[[ord(base), ord(base.lower())]] = i
+    out[[ord("U"), ord("u")]] = BASES.index("T")
+    return out
+
+
+def proteins(codes: np.ndarray, numbers: np.ndarray, aminos: np.ndarray, frames=(0, 1, 2)) -> list[bytes]:
+    """The proteins of one strand from each of its first bases, trailing partial codons dropped."""
+    base = numbers[codes] if codes.dtype == np.uint8 else numbers[np.where(codes < 256, codes, 255)]
+    out = []
+    for f in frames:
+        n = max(0, len(base) - f) // 3
+        part = base[f:f + 3 * n].reshape(n, 3)
+        out.append(aminos[25 * part[:, 0] + 5 * part[:, 1] + part[:, 2]].tobytes())
+    return out
+
+
+def three_frames(table: dict[str, str]):
+    """A function of a column of strands: the array of its three proteins; null for a null strand. Memory follows the
+    strand, with no array of codons."""
+    numbers, aminos = base_numbers(), codon_numbers(table)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def translated(strands: pa.Array) -> pa.Array:
+        rows = []
+        for one in strands:
+            text = one.as_py()
+            if text is not None and not text.isascii():
+                text = text.upper()  # may change the number of characters
+            rows.append(None if text is None else [p.decode("ascii") for p in proteins(
+                code_points(pa.array([text]))[0], numbers, aminos)])
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return translated
+
+
+def frame_chunks(table: dict[str, str], forward: bool):
+    """Translates chunks of a sequence. Column function of (bases, start, length of the sequence): an array of
+    (frame, protein) with the codons that begin in the chunk; ``bases`` has two more than the chunk where the sequence goes on.
+    On the reverse strand a codon counts to the chunk in which it ends, read from the forward strand's start."""
+    numbers, aminos = base_numbers(), codon_numbers(table)
+    kind = T.ArrayType(T.StructType([T.StructField("frame", T.IntegerType()), T.StructField("protein", T.StringType())]))
+    turned = np.array([3, 2, 1, 0, 4], np.uint8)
+
+    @F.arrow_udf(kind)
+    def translated(bases: pa.Array, starts: pa.Array, lengths: pa.Array) -> pa.Array:
+        rows = []
+        for one, start, length in zip(bases, starts.to_pylist(), lengths.to_pylist()):
+            base = numbers[code_points(pa.array([one.as_py()]))[0].astype(np.uint8)]
+            out = []
+            for f in range(3):
+                n = max(0, len(base) - f) // 3
+                part = base[f:f + 3 * n].reshape(n, 3)
+                if forward:
+                    frame = (start + f) % 3 + 1
+                    amino = aminos[25 * part[:, 0] + 5 * part[:, 1] + part[:, 2]]
+                else:
+                    frame = -((length - start - f) % 3 + 1)
+                    part = turned[part][::-1]
+                    amino = aminos[25 * part[:, 2] + 5 * part[:, 1] + part[:, 0]]
+                out.append({"frame": frame, "protein": amino.tobytes().decode("ascii")})
+            rows.append(out)
+        return pa.array(rows, pa.list_(pa.struct([("frame", pa.int32()), ("protein", pa.string())])))
+
+    return translated

@@ -15,7 +15,7 @@ from .. import constants as K
 from ..functions import sequence as S
 from ..functions import text as T
 from ..session import scratch_path
-from .batches import character_histogram, character_range
+from .batches import character_histogram, character_range, frame_chunks, three_frames
 from .keyed import top_per_group
 
 
@@ -55,18 +55,63 @@ def reads_to_sequences(reads: DataFrame) -> DataFrame:
 
 
 def translate_sequences(sequences: DataFrame, frames=(1, 2, 3, -1, -2, -3), table_id="1") -> DataFrame:
-    """One protein per sequence and frame. Both strands are made once per sequence."""
-    both = sequences.withColumn("_rc", S.reverse_complement(F.col("sequence")))
-    starts = F.array(*[
-        F.struct(
-            F.lit(f).alias("frame"),
-            F.substr("sequence" if f > 0 else "_rc", F.lit(abs(f))).alias("dna"),
-        )
-        for f in frames
-    ])
+    """One protein per sequence and frame. Both strands are made once per sequence, and each is translated in its
+    three frames at once."""
+    three = three_frames(S.codon_table(table_id))
     keep = [c for c in sequences.columns if c != "sequence"]
-    per_frame = both.select(*keep, F.inline(starts))
-    return per_frame.select(*keep, "frame", S.translate(F.col("dna"), table_id).alias("protein"))
+    both = sequences.select(*keep, three("sequence").alias("_fw"), three(S.reverse_complement(F.col("sequence"))).alias("_rc"))
+    parts = F.array(*[F.struct(F.lit(f).alias("frame"), F.get("_fw" if f > 0 else "_rc", F.lit(abs(f) - 1)).alias("protein"))
+                      for f in frames])
+    return both.select(*keep, F.inline(parts))
+
+
+CHUNK = 3 << 18
+
+
+def sequence_chunks(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``path, seq_id, length, chunk_no, start, bases`` of ``sequences`` (path, seq_id, sequence): stretches of ``size`` bases
+    (a multiple of three) from ``start`` (0-based) on, and the two bases behind each. No later step holds
+    a whole sequence. A sequence must be ASCII; another fails the read."""
+    if size % 3:
+        raise ValueError("the size of a chunk must be a multiple of three")
+    plain = F.when(F.octet_length("sequence") == F.length("sequence"), F.col("sequence").cast("binary")).otherwise(
+        F.raise_error(F.concat(F.lit("not an ASCII sequence: "), "seq_id")).cast("binary"))
+    held = sequences.select("path", "seq_id", F.length("sequence").cast("bigint").alias("length"), plain.alias("_b"))
+    # Places first, as the last explode; a cut of bytes doesn't walk the sequence from its start.
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("bigint"))
+    each = held.select("path", "seq_id", "length", "_b", F.posexplode(starts).alias("chunk_no", "start"))
+    cut = F.substring(F.col("_b"), (F.col("start") + 1).cast("int"), F.lit(size + 2)).cast("string")
+    return each.select("path", "seq_id", "length", F.col("chunk_no").cast("bigint").alias("chunk_no"), "start", cut.alias("bases"))
+
+
+def translate_chunks(chunks: DataFrame, table_id: str = "1") -> DataFrame:
+    """``path, seq_id, frame, chunk_no, protein``: six frames of each chunk. The parts of a forward frame follow each other
+    by chunk number, those of a reverse frame against it; joined so they are ``translate_sequences``."""
+    table = S.codon_table(table_id)
+    both = F.concat(frame_chunks(table, True)("bases", "start", "length"), frame_chunks(table, False)("bases", "start", "length"))
+    return chunks.select("path", "seq_id", "chunk_no", F.inline(both)).select("path", "seq_id", "frame", "chunk_no", "protein")
+
+
+def slice_chunks(chunks: DataFrame, regions: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``seq_id, start1, end1, chunk_no, bases`` for each chunk that a region (chrom, start1, end1; 1-based, inclusive) meets:
+    its part of the slice. Only those chunks are joined, by sequence and number."""
+    first = F.expr(f"(greatest(start1, 1) - 1) div {size}")
+    r = regions.select(F.col("chrom").alias("seq_id"), "start1", "end1").filter("end1 >= greatest(start1, 1)")
+    r = r.select("*", F.explode(F.sequence(first, F.expr(f"(end1 - 1) div {size}"))).alias("chunk_no"))
+    own = F.substring("bases", 1, size)
+    low = F.greatest(F.col("start1") - 1 - F.col("start"), F.lit(0))
+    high = F.least(F.col("end1") - F.col("start"), F.lit(size))
+    return chunks.join(r, ["seq_id", "chunk_no"]).select(
+        "seq_id", "start1", "end1", "chunk_no", F.substr(own, (low + 1).cast("int"), (high - low).cast("int")).alias("bases"))
+
+
+def chunk_summary(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``path, seq_id, length, gc, ambiguous_bases`` from the chunks of each sequence."""
+    own = F.substring("bases", 1, size)
+    return chunks.groupBy("path", "seq_id", "length").agg(
+        F.sum(S.gc_count(own)).alias("_gc"), F.sum(S.ambiguous_bases(own)).alias("ambiguous_bases")).select(
+        "path", "seq_id", "length", F.when(F.col("length") > 0, F.lit(100.0) * F.col("_gc") / F.col("length")).otherwise(0.0).alias("gc"),
+        "ambiguous_bases")
 
 
 # --- summaries over histograms ---------------------------------------------

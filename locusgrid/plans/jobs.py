@@ -12,8 +12,11 @@ from ..operators import corpus as C
 from ..operators import evidence as E
 from ..operators import sequences as S
 from ..operators import variants as V
+from ..operators.calls import calls_summary
 from ..operators.gates import phrase_gate
 from ..session import fixed_rows
+from ..sources import formats as R
+from ..sources import lines as L
 
 
 def build_truth_index(docs: DataFrame, calls: DataFrame, files: DataFrame | None = None,
@@ -238,3 +241,18 @@ def build_site_map(manifests: list[DataFrame], dbsnp_sites: DataFrame) -> dict[s
 
 def publishable(docs: DataFrame, phrases=K.HEDGE_PHRASES, key: str = "doc") -> DataFrame:
     return phrase_gate(docs, phrases, key)[0]
+
+
+def export_summary(spark, path, **options) -> DataFrame:
+    """Per genotype export: ``path, vendor, build, snp_count, no_calls, no_call_rate``. The build comes from the file's
+    head and is null where that names none; files that hold no call have no row."""
+    facts = R.export_facts(spark, path, **options).select(L.plain_path("path").alias("path"), "vendor", F.col("assembly").alias("build"))
+    counts = calls_summary(R.read_calls(spark, path, **options), "path").withColumn("path", L.plain_path("path"))
+    return counts.join(facts, "path").select("path", "vendor", "build", "snp_count", "no_calls", "no_call_rate")
+
+
+def vcf_summary(spark, path, **options) -> DataFrame:
+    """Per VCF file the counts of ``variant_summary`` and the ``samples`` of its header, in order."""
+    header = R.vcf_header(spark, path, **options).select("path", "samples")
+    return V.variant_summary(R.read_vcf(spark, path, **options), ["path"]).join(header, "path", "left").withColumn(
+        "samples", F.coalesce("samples", F.array().cast("array<string>")))

@@ -275,3 +275,18 @@ def texts(files: DataFrame) -> DataFrame:
                 yield f["path"], stream.read()
 
     return _tuples(dealt(files.select("path")), rows, "path string, content binary", 16)
+
+
+def write_each(files: DataFrame, root: str) -> DataFrame:
+    """Writes each row of ``files`` (name, content) to a file of that name below ``root`` and returns ``name, length``.
+    Lazy: the files are there once the result is used. A task that runs again writes the same files again."""
+    def rows(given: Iterator[dict]):
+        store, top = store_of(root)
+        for f in given:
+            where = f"{top.rstrip('/')}/{f['name']}"
+            store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(where, compression=None) as stream:
+                stream.write(f["content"])
+            yield f["name"], len(f["content"])
+
+    return _tuples(files.select("name", F.col("content").cast("binary").alias("content")), rows, "name string, length bigint")

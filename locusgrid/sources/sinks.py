@@ -112,6 +112,13 @@ def write_candidates(candidates: DataFrame, path: str, evidence: dict[str, DataF
         df.write.json(f"{path}_{name}")
 
 
+def write_docs(docs: DataFrame, path: str, name: str = "doc", text: str = "text") -> int:
+    """One file for each document, named ``<name>.md`` (a name may hold folders); the number of files. Names must be
+    unique: of documents with one name any may be the one that stays."""
+    named = docs.select(F.concat(F.col(name).cast("string"), F.lit(".md")).alias("name"), F.coalesce(text, F.lit("")).alias("content"))
+    return ranges.write_each(named, ranges.qualified(docs.sparkSession, path)).count()
+
+
 def append_index(rows: DataFrame, path: str) -> None:
     """Adds rows to an INDEX table kept as Parquet by phase; earlier phases stay as they are."""
     rows.write.mode("append").partitionBy("discovered_in_phase").parquet(path)

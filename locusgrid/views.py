@@ -71,12 +71,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a DataFrame; the driver table is read under its own name for this query only."""
+def view(spark: SparkSession, sf_dir: str, name: str, prepare=lambda df: df) -> DataFrame:
+    """The view as a DataFrame; the driver table is read under its own name for this query only. ``prepare`` is
+    applied to that table, below the view's expressions."""
     text = sql(name)
     source = text.split(" from ")[-1].split()[0]
     return spark.sql(text.rsplit(f" from {source}", 1)[0] + " from {src}" +
-                     text.rsplit(f" from {source}", 1)[1], src=table(spark, sf_dir, source))
+                     text.rsplit(f" from {source}", 1)[1], src=prepare(table(spark, sf_dir, source)))
 
 
 def duckdb_ctes(*names: str) -> str:

@@ -102,3 +102,65 @@ def test_top_texts_with_shared_digests(spark, modulo):
         best = sorted(counts, key=lambda t: (-counts[t], first[t]))[:7]
         want |= {(g, k + 1): (t, counts[t], first[t]) for k, t in enumerate(best)}
     assert got == want
+
+
+def row_wise(df, table_id="1"):
+    """Proteins by the column expressions, one frame at a time."""
+    from locusgrid.functions import sequence as X
+
+    return {(x.seq_id, f): x.p for f in (1, 2, 3, -1, -2, -3)
+            for x in df.select("seq_id", X.translate_frame(F.col("sequence"), f, table_id).alias("p")).collect()}
+
+
+def some_sequences(spark, odd=True):
+    r = random.Random(4)
+    rows = [("f", f"s{i}", "".join(r.choice("ACGTUNacgtnRY-") for _ in range(r.randrange(70)))) for i in range(60)]
+    rows += [("f", "none", ""), ("f", "one", "A"), ("f", "six", "ATGTAA")] + ([("f", "odd", "ATGßATGéA")] if odd else [])
+    return spark.createDataFrame(rows, "path string, seq_id string, sequence string")
+
+
+@pytest.mark.parametrize("table_id", ["1", "2"])
+def test_translation_equals_the_expressions(spark, table_id):
+    df = some_sequences(spark)
+    got = {(x.seq_id, x.frame): x.protein for x in S.translate_sequences(df, table_id=table_id).collect()}
+    assert got == row_wise(df, table_id)
+
+
+@pytest.mark.parametrize("size", [3, 9, 30, 3000])
+def test_chunks_join_to_whole_sequences(spark, size):
+    df = some_sequences(spark, odd=False)
+    chunks = S.sequence_chunks(df, size)
+    parts = {}
+    for x in S.translate_chunks(chunks).collect():
+        parts.setdefault((x.seq_id, x.frame), []).append((x.chunk_no, x.protein))
+    got = {k: "".join(p for _, p in sorted(v, reverse=k[1] < 0)) for k, v in parts.items()}
+    assert got == row_wise(df)
+    whole = {x.seq_id: x.sequence for x in df.collect()}
+    summary = {x.seq_id: (x.length, x.gc, x.ambiguous_bases) for x in S.chunk_summary(chunks, size).collect()}
+    want = {x.id: (x.length, x.gc) for x in S.fasta_table(df).collect()}
+    assert {k: v[:2] for k, v in summary.items()} == want
+    regions = spark.createDataFrame([("s1", 1, 5), ("s2", 4, 40), ("s3", 60, 90), ("nope", 1, 2), ("six", 2, 2), ("six", 5, 4)],
+                                    "chrom string, start1 long, end1 long")
+    cut = {}
+    for x in S.slice_chunks(chunks, regions, size).collect():
+        cut.setdefault((x.seq_id, x.start1, x.end1), []).append((x.chunk_no, x.bases))
+    joined = {k: "".join(b for _, b in sorted(v)) for k, v in cut.items()}
+    for name, a, z in [("s1", 1, 5), ("s2", 4, 40), ("s3", 60, 90), ("six", 2, 2)]:
+        assert joined.get((name, a, z), "") == whole[name][a - 1:z]
+    assert not set(joined) & {("nope", 1, 2), ("six", 5, 4)}
+
+
+def test_a_long_sequence_translates_by_chunks(spark):
+    unit = "ATGGCCTAACGTTTGACNATG"
+    df = spark.range(1).select(F.lit("f").alias("path"), F.lit("long").alias("seq_id"), F.repeat(F.lit(unit), 200_000).alias("sequence"))
+    chunks = S.sequence_chunks(df, 3 * 7 * 10_000)
+    got = S.translate_chunks(chunks).groupBy("frame").agg(F.sum(F.length("protein")).alias("n")).collect()
+    n = len(unit) * 200_000
+    assert {r.frame: r.n for r in got} == {f: (n - abs(f) + 1) // 3 for f in (1, 2, 3, -1, -2, -3)}
+    first = S.translate_chunks(chunks).filter("frame = 1 and chunk_no = 3").first().protein
+    assert first == "MA*RLXM" * 10_000
+
+
+def test_non_ascii_chunks_are_refused(spark):
+    with pytest.raises(Exception, match="not an ASCII sequence: odd"):
+        S.sequence_chunks(some_sequences(spark), 30).collect()
