@@ -343,6 +343,39 @@ def _(v):
     return jobs.verify_corpus(v.docs, v.index, "abc", prompts, archive, archive.count() + 1)
 
 
+# Subjects by document: the first holds half of all, the others share the rest. Live hashes of two in three subjects.
+VERIFY_SAMPLE = CLAIMS + "," + POOL + "," + LAST_SAMPLE + """,
+dk as (select doc_id as doc, case when doc_id % 2 = 0 then 1 else 1 + doc_id % 100 end as sample_id, doc_id, text from v_docs),
+s_pool as (select distinct sample_id, rsid from d_tok join dk using (doc) where cast(substr(rsid, 3) as bigint) % 3 <> 0),
+idx_s as (select p.sample_id, p.rsid, coalesce(genotype, 'not_tested') as genotype,
+  case when coalesce(genotype, 'not_tested') in ('', 'not_tested', '--') then 'n' else 'y' end as found from s_pool p left join c_last using (sample_id, rsid)),
+live as (select distinct sample_id, case when sample_id % 3 = 0 then 'abc' else 'def' end as h from v_calls where sample_id % 3 <> 2),
+d_cite as (select distinct doc, unnest(regexp_extract_all(line, '\\brs[0-9]+\\b')) as rsid from d_s where not archive_quote and not mk),
+tri as (select doc, regexp_extract(t, 'rs\\d+') as rsid, regexp_extract(t, '(--|[ACGTDI]{1,2})`$', 1) as cited
+  from (select doc_id as doc, unnest(regexp_extract_all(text, '`rs\\d+\\s+[0-9XYMT]+:[\\d,]+\\s+(?:--|[ACGTDI]{1,2})`')) as t from v_docs)),
+f as (select sample_id, 1 as ordinal, count(*) filter (where doc % 11 = 0 and case when doc % 2 = 0 then 'abc' else 'def' end <> h) as n_fail, count(*) filter (where doc % 11 <> 0) as n_note
+  from dk join live using (sample_id) group by sample_id
+ union all select sample_id, 2, count(*) filter (where not contains(text, '## Provenance Summary')), 0 from dk group by sample_id
+ union all select sample_id, 3, count(*), 0 from d_s join dk using (doc) where not fenced and not archive_quote and not mk
+   and regexp_matches(line, '(?i)may benefit|might consider|could be helpful|future possibility|patients with this variant often') group by sample_id
+ union all select sample_id, 4, count(*), 0 from d_hit join dk using (doc) group by sample_id
+ union all select sample_id, 5, count(*) filter (where found is null), count(*) filter (where found <> 'y') from d_cite join dk using (doc) left join idx_s using (sample_id, rsid) group by sample_id
+ union all select sample_id, 6, count(*), 0 from tri join dk using (doc) join idx_s using (sample_id, rsid) where cited <> genotype group by sample_id),
+subj as (select distinct sample_id from dk),
+names(ordinal, "check") as (values (0, 'archive_integrity'), (1, 'genome_sha'), (2, 'provenance_coverage'), (3, 'aspirational_narrow'), (4, 'aspirational_blacklist'), (5, 'rsid_traceability'), (6, 'genotype_consistency'), (7, 'continuation_prompts')),
+r as (select subj.sample_id, names.ordinal, "check", coalesce(n_fail, 0) as n_fail, coalesce(n_note, 0) as n_note, h from subj, names left join f on f.sample_id = subj.sample_id and f.ordinal = names.ordinal left join live on live.sample_id = subj.sample_id)"""
+
+
+@query("verify_corpus_by_sample", "v_docs v_calls", """
+select sample_id, ordinal, "check", case when ordinal in (0, 7) or (ordinal = 1 and h is null) then 'skip' when n_fail > 0 then 'fail' else 'pass' end as status, n_fail, n_note from r""", VERIFY_SAMPLE)
+def _(v):
+    docs = v.docs.withColumn("sample_id", F.when(F.col("doc") % 2 == 0, F.lit(1).cast("bigint")).otherwise(1 + F.col("doc") % 100))
+    index = OE.index_for_documents(docs, v.calls).filter(F.substr("rsid", F.lit(3)).cast("bigint") % 3 != 0)
+    live = v.calls.select("sample_id").distinct().filter("sample_id % 3 <> 2").withColumn(
+        "live_hash", F.when(F.col("sample_id") % 3 == 0, "abc").otherwise("def"))
+    return jobs.verify_corpus_by_sample(docs, index, live)
+
+
 @query("check_rollup", "v_docs v_calls", """
 select count(*) filter (where status = 'pass') as passed, count(*) filter (where status = 'fail') as failed, count(*) filter (where status = 'skip') as skipped from chks""", VERIFY)
 def _(v):
@@ -451,6 +484,21 @@ def _(v):
     return OE.net_new(OE.pass_union(a, c), v.docs)
 
 
+# Ids of five shapes: plain, with a space, with a colon and a comma, with a hyphen, and one of another registry.
+SHAPES = """
+case p_partkey % 5 when 0 then concat('rs', cast(p_partkey as {S})) when 1 then concat('Doc ', cast(p_partkey as {S}))
+  when 2 then concat(cast(1 + p_partkey % 22 as {S}), ':', cast(1 + p_partkey % 9 as {S}), ',000') when 3 then 'likely-pathogenic' else concat('VCV', lpad(cast(p_partkey % 130 as {S}), 9, '0')) end"""
+
+
+@query("net_new_any_id", "v_docs", f"""
+select p_partkey as part, {SHAPES.replace("{S}", "varchar").strip()} as rsid, coalesce(n, 0) as observed, coalesce(n, 0) = 0 as net_new from part left join
+(select t as rsid, count(*) as n from (select unnest(regexp_extract_all(text, '\\brs[0-9]+\\b|\\bDoc [0-9]+\\b|\\b[0-9]+:[0-9],000\\b|\\blikely-pathogenic\\b|\\bVCV[0-9]+\\b')) as t from v_docs) group by t) c
+on c.rsid = {SHAPES.replace("{S}", "varchar").strip()}""")
+def _(v):
+    rows = v.table("part").select(F.col("p_partkey").alias("part"), F.expr(SHAPES.replace("{S}", "string")).alias("rsid"))
+    return OE.net_new(rows, v.docs)
+
+
 KNOWN = POOL + "," + PASSES + """,
 known as (select rsid from v_rsmap where cast(substr(rsid, 3) as bigint) % 2 = 0),
 cand as (select pu.*, coalesce(n, 0) as observed, coalesce(n, 0) = 0 as net_new from pu left join (select rsid, count(*) as n from d_tok group by rsid) using (rsid) where rsid not in (select rsid from known))"""
@@ -472,7 +520,9 @@ def _(v):
 
 @query("candidate_summary", ALL, """
 select (select count(*) from cand) as candidates, (select count(*) from cand where net_new) as net_new, (select count(*) from called where rsid in (select rsid from known)) as dropped_phase0,
-  (select count(*) from univ) as universe_size, (select count(*) from v_clinvar where lower(significance) not in ('pathogenic', 'likely pathogenic')) as clinvar_skipped""", KNOWN)
+  (select count(*) from univ) as universe_size, (select count(*) from v_clinvar where lower(significance) not in ('pathogenic', 'likely pathogenic')) as clinvar_skipped,
+  (select count(*) from v_cpic where upper(trim(level)) not in ('A', 'B', 'LEVEL A', 'LEVEL B')) as cpic_skipped, (select count(distinct rsid) from cv) as clinvar_rsids,
+  (select count(distinct gene) from cp_ab) as cpic_ab_genes, 2::bigint as acmg_genes""", KNOWN)
 def _(v):
     return _discover(v)["summary"]
 

@@ -21,6 +21,7 @@ OTHER_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028",
 
 # (?U): word, digit and space classes and \b follow Unicode on every Java version.
 # The look-ahead keeps the costly Unicode \b off most positions.
+WORD_START = r"(?U)^\w"
 RSID = r"(?U)(?=rs[0-9])\brs[0-9]+\b"
 GENOTYPE_TOKEN = (
     r"(?<![A-Za-z0-9])([ACGT]{2}|[ACGT][/|][ACGT]|[DI]{2}|--)(?![A-Za-z0-9])"
@@ -95,6 +96,11 @@ def all_rsids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(RSID), F.lit(0))
 
 
+def word_runs(text: Column) -> Column:
+    """A text as its runs of word characters and of other characters, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?sU)\w+|\W+"), F.lit(0))
+
+
 def token_count(text: Column, token: Column) -> Column:
     """Whole-word occurrences of a token made of word characters."""
     words = F.split(text, r"(?U)\W+")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..functions.genotype import norm_genotype
-from .keyed import unnest
+from .keyed import prefilter, unnest
 
 LINE_FLAGS = ("fenced", "code", "front_matter", "exempt_section", "archive_quote", "heading")
 
@@ -191,20 +191,24 @@ def declared_hash(text: Column) -> Column:
     return F.try_element_at(front_matter(text), F.lit("source_genome_sha256"))
 
 
-def hash_status(declared: Column, live_hash: str) -> Column:
+def hash_status(declared: Column, live_hash: str | Column) -> Column:
+    """``ok``, ``drift`` or ``undeclared``; ``ok`` as well where there is no live hash to compare with."""
+    live = live_hash if isinstance(live_hash, Column) else F.lit(live_hash)
     return (
-        F.when(F.coalesce(declared, F.lit("")) == "", F.lit("undeclared"))
-        .when(F.lower(declared) == live_hash.lower(), F.lit("ok"))
-        .otherwise(F.lit("drift"))
-    )
+        F.when(live.isNull(), F.lit("ok")).otherwise(
+            F.when(F.coalesce(declared, F.lit("")) == "", F.lit("undeclared"))
+            .when(F.lower(declared) == F.lower(live), F.lit("ok"))
+            .otherwise(F.lit("drift"))))
 
 
 def doc_findings(docs: DataFrame, phrases=K.HEDGE_PHRASES, live_hash: str | None = None,
-                 key: str = "doc") -> DataFrame:
+                 key: str = "doc", live_column: str | None = None) -> DataFrame:
     """Everything the corpus checks look for, in one pass over the documents:
     ``key, kind, lineno, value, detail`` with kind ``phrase``, ``narrow``, ``no_summary``,
-    ``hash`` (drift or undeclared), ``rsid`` (distinct on live lines) or ``triple``."""
-    d = _line_flags(docs, ["fenced", "exempt_section", "archive_quote"], key, ["text"])
+    ``hash`` (drift or undeclared), ``rsid`` (distinct on live lines) or ``triple``. The live hash is one for all
+    documents or stands in a column of theirs."""
+    kept = ["text"] if live_column is None else ["text", live_column]
+    d = _line_flags(docs, ["fenced", "exempt_section", "archive_quote"], key, kept)
 
     def found(kind, value, lineno=None, detail=None):
         none = F.lit(None)
@@ -240,8 +244,9 @@ def doc_findings(docs: DataFrame, phrases=K.HEDGE_PHRASES, live_hash: str | None
         F.when(F.contains("text", F.lit(K.PROVENANCE_HEADING)), nothing).otherwise(
             F.array(found("no_summary", blank))),
     ]
-    if live_hash is not None:
-        status = T.let(declared_hash(F.col("text")), lambda h: hash_status(h, live_hash))
+    live_value = live_hash if live_column is None else F.col(live_column)
+    if live_value is not None:
+        status = T.let(declared_hash(F.col("text")), lambda h: hash_status(h, live_value))
         parts.append(F.filter(F.array(found("hash", status)), lambda x: x["value"] != "ok"))
     return unnest(d, [key], F.concat(*parts), "_f").select(key, "_f.*")
 
@@ -272,6 +277,38 @@ def token_counts(docs: DataFrame) -> DataFrame:
     )
 
 
+def literal_counts(docs: DataFrame, ids: DataFrame, column: str = "rsid") -> DataFrame:
+    """``column, occurrences`` of ids of any shape that occur between word borders, over all documents.
+
+    A text falls into runs of word characters and runs of others, in turn. A border lies between two
+    runs or at an edge beside a word, so an id of ``m`` runs occurs where ``m`` runs in a row spell it.
+    Only the numbers of runs that the ids have are tried (one row, sent to all tasks). What is no id
+    is dropped before anything is shuffled while the ids are small enough to broadcast; else equal
+    strings are counted within each task first. Occurrences of an id in itself (``a-a`` in ``a-a-a``)
+    count each. Null and empty ids occur nowhere; without ids the documents aren't read.
+    """
+    keys = ids.select(column).distinct().filter(F.length(column) > 0)
+    sizes = keys.agg(F.sort_array(F.collect_set(F.size(T.word_runs(F.col(column))))).alias("_sizes")).filter(
+        F.size("_sizes") > 0).withColumn("_k", F.pmod(F.size("_sizes"), F.lit(1)))
+    # A key that is 0 everywhere, but no literal: those would be folded into a nested loop.
+    cut = docs.select(T.word_runs(F.col("text")).alias("_runs"), F.pmod(F.length("text"), F.lit(1)).alias("_k")).join(
+        F.broadcast(sizes), "_k")
+    runs, n = F.col("_runs"), F.size("_runs")
+
+    def spelled(m):
+        def at(i):
+            first, last = F.get(runs, i), F.get(runs, i + m - 1)
+            whole = (first.rlike(T.WORD_START) | (i > 0)) & (last.rlike(T.WORD_START) | (i + m < n))
+            return F.when(whole, F.array_join(F.slice(runs, i + 1, m), ""))
+
+        return F.when(n >= m, F.transform(F.sequence(F.lit(0), n - m), at))
+
+    grams = F.flatten(F.array_compact(F.transform("_sizes", spelled)))
+    found = unnest(cut, [], grams, column)
+    return prefilter(found, keys, column).groupBy(column).agg(F.count(F.lit(1)).alias("occurrences")).join(
+        keys, column, "left_semi")
+
+
 def sections(docs: DataFrame, key: str = "doc") -> DataFrame:
     """``key, section_no, heading, body`` split at ``## `` lines; text before the first is left
     out, bodies are trimmed."""

@@ -200,6 +200,11 @@ def clinvar_skipped(clinvar: DataFrame) -> DataFrame:
     return clinvar.agg(F.count_if(~F.coalesce(E.is_pathogenic(F.col("significance")), F.lit(False))).alias("skipped"))
 
 
+def cpic_skipped(cpic: DataFrame) -> DataFrame:
+    """Rows that are neither level A nor B."""
+    return cpic.agg(F.count_if(E.norm_level(F.col("level")).isNull()).alias("skipped"))
+
+
 def cpic_reference(cpic: DataFrame) -> DataFrame:
     """Level A/B rows: ``gene, drug, level, rsids``."""
     level = E.norm_level(F.col("level"))
@@ -284,9 +289,12 @@ def drop_known(rows: DataFrame, index: DataFrame) -> DataFrame:
     return rows.join(index.select("rsid"), "rsid", "left_anti")
 
 
-def net_new(rows: DataFrame, reference_docs: DataFrame) -> DataFrame:
-    """Adds ``observed`` (whole-word occurrences in the reference documents) and ``net_new``."""
-    counts = corpus.token_counts(reference_docs)
+def net_new(rows: DataFrame, reference_docs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Adds ``observed`` (occurrences between word borders in the reference documents) and ``net_new``.
+    Ids of the usual shape are read off the texts by one pattern; any others are looked for as they are. ``ids`` is
+    a superset of the rows' ids where one is cheaper to read than the rows themselves."""
+    others = (rows if ids is None else ids).select("rsid").filter(~F.col("rsid").rlike("^rs[0-9]+$"))
+    counts = corpus.token_counts(reference_docs).unionByName(corpus.literal_counts(reference_docs, others))
     j = rows.join(counts, "rsid", "left")
     observed = F.coalesce("occurrences", F.lit(0).cast("bigint"))
     return j.withColumns({"observed": observed, "net_new": observed == 0}).drop("occurrences")

@@ -4,6 +4,8 @@ read and variant reports, site maps. Each returns lazy DataFrames; sinks decide
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def discover_candidates(calls: DataFrame, index: DataFrame, clinvar: DataFrame |
     fresh = E.drop_known(called, index)
     a = E.acmg_flag(E.clinvar_match(fresh, cv), acmg_genes)
     c = E.cpic_match(fresh, pairs)
-    candidates = E.net_new(E.pass_union(a, c, keys), reference_docs)
+    candidates = E.net_new(E.pass_union(a, c, keys), reference_docs, universe)
     clinvar_rows = a
     if ledger is not None:
         cited = a.withColumns({
@@ -98,12 +100,19 @@ def discover_candidates(calls: DataFrame, index: DataFrame, clinvar: DataFrame |
         clinvar_rows = E.citation_ledger_join(cited, ledger)
     one = F.lit(1).alias("_k")
     known = called.join(index.select("rsid"), "rsid", "left_semi")
-    skipped = (E.clinvar_skipped(clinvar) if clinvar is not None else spark.sql("select 0L as skipped")).select(
+    none = spark.sql("select 0L as skipped")
+    skipped = (E.clinvar_skipped(clinvar) if clinvar is not None else none).select(
         F.col("skipped").alias("clinvar_skipped"), one)
+    cpic_skipped = (E.cpic_skipped(cpic) if cpic is not None else none).select(
+        F.col("skipped").alias("cpic_skipped"), one)
+    # The scope of the scan: distinct ids and genes of the references.
+    scope = cv.agg(F.count_distinct("rsid").alias("clinvar_rsids"), one).join(
+        (ab if ab is not None else pairs).agg(F.count_distinct("gene").alias("cpic_ab_genes"), one), "_k")
     summary = candidates.agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if("net_new").alias("net_new"), one
     ).join(known.agg(F.count(F.lit(1)).alias("dropped_phase0"), one), "_k").join(
-        universe.agg(F.count(F.lit(1)).alias("universe_size"), one), "_k").join(skipped, "_k").drop("_k")
+        universe.agg(F.count(F.lit(1)).alias("universe_size"), one), "_k").join(skipped, "_k").join(
+        cpic_skipped, "_k").join(scope, "_k").withColumn("acmg_genes", F.lit(len(set(acmg_genes))).cast("bigint")).drop("_k")
     out = {"candidates": candidates, "clinvar": clinvar_rows, "cpic": c, "summary": summary}
     if ab is not None:
         out["cpic_members"] = E.cpic_gene_members(ab)
@@ -121,28 +130,27 @@ CHECKS = (
 )
 
 
-def verify_items(docs: DataFrame, index: DataFrame | None = None, live_hash: str | None = None,
-                 prompt_names: DataFrame | None = None, phrases=K.HEDGE_PHRASES,
-                 key: str = "doc") -> DataFrame:
-    """Long table ``check, severity (fail or note), doc, item`` of everything the checks found."""
-    found = C.doc_findings(docs, phrases, live_hash, key)
+def _with_truth(found: DataFrame, index: DataFrame, key: str, group: str | None = None) -> DataFrame:
+    """Findings with the INDEX row of the id they cite (``_found, _gt``), in one join. Rows that cite no id get
+    a key that no rsID equals and that differs by row, so they spread over the reducers and match nothing."""
+    kind = F.col("kind")
+    truth = index.select(*([F.col(group).alias("_group")] if group else []), F.col("rsid").alias("_rsid"),
+                         F.col("found").alias("_found"), F.col("genotype").alias("_gt"))
+    spread_null = F.concat_ws(":", F.col(key).cast("string"), F.col("lineno").cast("string"))
+    cited = F.when(kind.isin("rsid", "triple"), F.col("value")).otherwise(spread_null)
+    same = F.col("_cited") == F.col("_rsid")
+    if group:
+        same = same & (F.col(group) == F.col("_group"))
+    return found.withColumn("_cited", cited).join(truth, same, "left")
+
+
+def _judged(found: DataFrame, names) -> DataFrame:
+    """``check, severity, *names, item`` of the findings that are none of the good ones."""
     kind = F.col("kind")
     check = F.expr("""case kind when 'no_summary' then 'provenance_coverage'
         when 'narrow' then 'aspirational_narrow' when 'phrase' then 'aspirational_blacklist'
         when 'hash' then 'genome_sha' when 'rsid' then 'rsid_traceability'
         when 'triple' then 'genotype_consistency' end""")
-    if index is None:
-        found = found.filter(~kind.isin("rsid", "triple")).withColumns(
-            {"_found": F.lit(None).cast("string"), "_gt": F.lit(None).cast("string")})
-    else:
-        # One pass and one join. Rows that cite no id get a key that no rsID equals and that
-        # differs by row, so they spread over the reducers and match nothing.
-        truth = index.select(F.col("rsid").alias("_rsid"), F.col("found").alias("_found"),
-                             F.col("genotype").alias("_gt"))
-        spread_null = F.concat_ws(":", F.col(key).cast("string"), F.col("lineno").cast("string"))
-        cited = F.when(kind.isin("rsid", "triple"), F.col("value")).otherwise(spread_null)
-        found = found.withColumn("_cited", cited).join(
-            truth, F.col("_cited") == F.col("_rsid"), "left")
     ok = (
         ((kind == "rsid") & (F.coalesce("_found", F.lit("")) == "y"))
         | ((kind == "triple") & (F.col("_gt").isNull() | (F.col("detail") == F.col("_gt"))))
@@ -150,10 +158,23 @@ def verify_items(docs: DataFrame, index: DataFrame | None = None, live_hash: str
     note = ((kind == "hash") & (F.col("value") == "undeclared")) | (
         (kind == "rsid") & F.col("_found").isNotNull())
     item = F.concat_ws(" ", F.col("lineno").cast("string"), "value", "detail", "_gt")
-    out = found.filter(~ok).select(
+    return found.filter(~ok).select(
         check.alias("check"), F.when(note, F.lit("note")).otherwise(F.lit("fail")).alias("severity"),
-        F.col(key).cast("string").alias("doc"), item.alias("item"),
-    )
+        *names, item.alias("item"))
+
+
+def verify_items(docs: DataFrame, index: DataFrame | None = None, live_hash: str | None = None,
+                 prompt_names: DataFrame | None = None, phrases=K.HEDGE_PHRASES,
+                 key: str = "doc") -> DataFrame:
+    """Long table ``check, severity (fail or note), doc, item`` of everything the checks found."""
+    found = C.doc_findings(docs, phrases, live_hash, key)
+    kind = F.col("kind")
+    if index is None:
+        found = found.filter(~kind.isin("rsid", "triple")).withColumns(
+            {"_found": F.lit(None).cast("string"), "_gt": F.lit(None).cast("string")})
+    else:
+        found = _with_truth(found, index, key)
+    out = _judged(found, [F.col(key).cast("string").alias("doc")])
     if prompt_names is not None:
         gone = missing_artifacts(docs.sparkSession, prompt_names)
         out = out.unionByName(gone.select(
@@ -204,6 +225,71 @@ def verify_corpus(docs: DataFrame, index: DataFrame | None = None, live_hash: st
     )
 
 
+def verify_items_by_sample(docs: DataFrame, index: DataFrame, live: DataFrame | None = None,
+                           phrases=K.HEDGE_PHRASES, key: str = "doc", group: str = "sample_id") -> DataFrame:
+    """``verify_items`` of documents of many subjects: ``check, severity, group, doc, item``, each document against
+    its own subject's INDEX rows and live hash. ``docs``: ``group, key, text``; ``index``: ``group, rsid, found,
+    genotype``; ``live``: ``group, live_hash``, at most one row a subject. A null subject has no INDEX rows."""
+    rows = docs.select(group, key, "text")
+    rows = rows.withColumn("_live", F.lit(None).cast("string")) if live is None else rows.join(
+        live.select(group, F.col("live_hash").alias("_live")), group, "left")
+    unit = rows.select(F.struct(group, key).alias("_unit"), "text", "_live")
+    found = C.doc_findings(unit, phrases, None, "_unit", "_live").withColumn(group, F.col(f"_unit.{group}"))
+    return _judged(_with_truth(found, index, "_unit", group), [group, F.col(f"_unit.{key}").cast("string").alias("doc")])
+
+
+def verify_corpus_by_sample(docs: DataFrame, index: DataFrame, live: DataFrame | None = None,
+                            prompt_names: DataFrame | None = None, archive_files: DataFrame | None = None,
+                            expected_archive: DataFrame | None = None, phrases=K.HEDGE_PHRASES,
+                            key: str = "doc", group: str = "sample_id") -> DataFrame:
+    """``verify_corpus`` for every subject that has documents: ``group, ordinal, check, status, n_fail, n_note``.
+
+    Besides ``verify_items_by_sample``'s inputs, ``prompt_names``: ``group, name``; ``archive_files``: ``group,
+    path``; ``expected_archive``: ``group, expected``. ``genome_sha`` is skipped for a subject without a live
+    hash, ``archive_integrity`` fails where the number of files is another than expected (a subject without a
+    number passes). Subjects are compared null-safely, so documents of no subject are a subject of their own.
+    """
+    spark = docs.sparkSession
+    zero = F.lit(0).cast("bigint")
+    subjects = docs.select(group).distinct()
+    counts = verify_items_by_sample(docs, index, live, phrases, key, group).groupBy(group, "check").agg(
+        F.count_if(F.col("severity") == "fail").alias("n_fail"), F.count_if(F.col("severity") == "note").alias("n_note"))
+
+    def add(failures, check):
+        return counts.unionByName(failures.select(group, F.lit(check).alias("check"), F.col("n_fail").cast("bigint").alias("n_fail"),
+                                                  zero.alias("n_note")))
+
+    if prompt_names is not None:
+        wanted = fixed_rows(spark, [(n,) for n in K.CONTINUATION_PROMPTS], "name string")
+        there = prompt_names.join(wanted, "name", "left_semi").groupBy(group).agg(F.count_distinct("name").alias("_n"))
+        counts = add(_null_safe(subjects, there, group).withColumn(
+            "n_fail", F.lit(len(K.CONTINUATION_PROMPTS)) - F.coalesce("_n", zero)), "continuation_prompts")
+    if archive_files is not None and expected_archive is not None:
+        n = archive_files.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+        both = _null_safe(_null_safe(subjects, n, group), expected_archive.select(group, "expected"), group)
+        counts = add(both.withColumn("n_fail", F.coalesce((F.coalesce("_n", zero) != F.col("expected")).cast("int"), F.lit(0))),
+                     "archive_integrity")
+    given = {"archive_integrity": archive_files is not None, "continuation_prompts": prompt_names is not None}
+    checks = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("check"), F.lit(given.get(c, True)).alias("given"))
+                       for i, c in enumerate(CHECKS)])
+    has_live = subjects.withColumn("_has", F.lit(False)) if live is None else _null_safe(
+        subjects, live.select(group, F.col("live_hash").isNotNull().alias("_has")), group)
+    plan = has_live.select(group, "_has", F.explode(checks).alias("_c")).select(
+        group, "_c.*", F.coalesce("_has", F.lit(False)).alias("_has"))
+    j = _null_safe(plan, counts, group, "check")
+    status = F.when(~F.col("given") | ((F.col("check") == "genome_sha") & ~F.col("_has")), F.lit("skip")).when(
+        F.coalesce("n_fail", zero) > 0, F.lit("fail")).otherwise(F.lit("pass"))
+    return j.select(group, "ordinal", "check", status.alias("status"), F.coalesce("n_fail", zero).alias("n_fail"),
+                    F.coalesce("n_note", zero).alias("n_note"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Left join on keys of which nulls equal each other; the right keys are dropped."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(r, same, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def check_rollup(checks: DataFrame) -> DataFrame:
     return checks.agg(*[F.count_if(F.col("status") == s).alias(n)
                         for s, n in (("pass", "passed"), ("fail", "failed"), ("skip", "skipped"))])
