@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from .catalog import AUDIT, INDEX, LAST_SAMPLE, OC, OD, OI, OS, OV, OA, jobs, query
 from .catalog_docs import KNOWN, _discover
+from .operators import keyed as OK
 from .operators.keyed import last_wins
 from .session import scratch_path
 from .sources import formats as R
@@ -16,9 +17,14 @@ from .sources import lines as L
 from .sources import sinks as W
 
 
-def _export(v, layout):
-    """The calls of the whole view as one file per task in a vendor layout; each file carries its
-    own header lines because a file's layout is found from its head."""
+# About the calls of one exported file; a sample of more has several files.
+EXPORT_ROWS = 1_000_000
+
+
+def _export(v, layout, file_rows=EXPORT_ROWS):
+    """The calls of the whole view in a vendor layout, under ``sample_id=/part=``: a sample's calls are dealt by line
+    number over as many files as they need, so no task writes a whole large sample. Each file carries its own header
+    lines because a file's layout is found from its head."""
     c = v.calls.withColumn("rsid", F.concat_ws("_", "rsid", F.col("line_no").cast("string")))
     a1, a2 = F.substring("genotype", 1, 1), F.substring("genotype", 2, 1)
     pos = F.col("pos").cast("string")
@@ -32,10 +38,12 @@ def _export(v, layout):
         head = "# MyHeritage DNA raw data.\nRSID,CHROMOSOME,POSITION,RESULT"
         row = F.concat(F.lit('"'), F.concat_ws('","', "rsid", "chrom", pos, "genotype"), F.lit('"'))
     path = scratch_path(v.spark, layout)
-    body = c.select(F.col("sample_id"), F.lit(1).alias("k"), row.alias("value"))
-    heads = c.select("sample_id").distinct().select("sample_id", F.lit(0).alias("k"), F.lit(head).alias("value"))
-    both = heads.unionByName(body).repartition("sample_id").sortWithinPartitions("sample_id", "k")
-    both.select("sample_id", "value").write.partitionBy("sample_id").text(path)
+    sizes = c.groupBy("sample_id").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_parts"))
+    c = c.join(sizes, "sample_id").withColumn("part", F.pmod("line_no", "_parts"))
+    body = c.select("sample_id", "part", F.lit(1).alias("k"), row.alias("value"))
+    heads = c.select("sample_id", "part").distinct().select("sample_id", "part", F.lit(0).alias("k"), F.lit(head).alias("value"))
+    both = heads.unionByName(body).repartition("sample_id", "part").sortWithinPartitions("sample_id", "part", "k")
+    both.select("sample_id", "part", "value").write.partitionBy("sample_id", "part").text(path)
     return path
 
 
@@ -169,6 +177,14 @@ def _sam(v):
     return path
 
 
+def _sam_header(v):
+    """Contigs of the test alignments as a header file; lengths follow the furthest read."""
+    path = scratch_path(v.spark, "sam_header")
+    far = v.reads.groupBy((1 + F.col("read_no") % 3).alias("k")).agg(F.max(F.col("read_no") * 10 + F.length("seq")).alias("ln"))
+    far.select(F.concat(F.lit("@SQ\tSN:chr"), F.col("k").cast("string"), F.lit("\tLN:"), F.col("ln").cast("string")).alias("value")).write.text(path)
+    return path
+
+
 @query("read_sam", "v_reads", """
 select 'r' || read_id as qname, case when read_id % 5 = 0 then 4 when read_id % 7 = 0 then 1024 else 0 end as flag, 'chr' || (1 + read_id % 3) as rname,
   read_id * 10 + 1 as pos, length(seq) || 'M' as cigar, seq from v_reads""")
@@ -186,10 +202,11 @@ def _(v):
 
 @query("mean_coverage", "v_reads", """
 select aligned_bases, reference_length, aligned_bases / reference_length as mean_coverage from
-(select cast(sum(length(seq)) filter (where read_id % 5 <> 0) as bigint) as aligned_bases, 3000000::bigint as reference_length from v_reads)""")
+(select cast(sum(length(seq)) filter (where read_id % 5 <> 0) as bigint) as aligned_bases, 
+  (select cast(sum(ln) as bigint) from (select max(read_id * 10 + length(seq)) as ln from v_reads group by read_id % 3)) as reference_length from v_reads)""")
 def _(v):
     a = R.read_sam(v.spark, _sam(v)).withColumn("path", F.lit("all"))
-    contigs = a.select("path", "rname").distinct().select("path", F.lit(1000000).cast("bigint").alias("length"))
+    contigs = R.sam_contigs(v.spark, _sam_header(v)).select(F.lit("all").alias("path"), "length")
     return OA.mean_coverage(a, contigs).drop("path")
 
 
@@ -268,6 +285,17 @@ def _(v):
     return R.read_cpic(v.spark, path)
 
 
+def _written_order(got, *columns):
+    """Rows as they stand in the files that a sorted write left, numbered from 1. Part files follow each other by name, and
+    rows of a file by place."""
+    files = got.select(*columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                       F.monotonically_increasing_id().alias("_id"))
+    at = files.withColumn("_row", F.row_number().over(Window.partitionBy("_file").orderBy("_at", "_id")))
+    before = files.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return at.join(before, "_file").withColumn("written", F.col("_before") + F.col("_row")).drop("_file", "_at", "_id", "_row", "_before")
+
+
 @query("write_index", "v_docs v_calls", """
 select rsid, genotype, found from idx""", INDEX)
 def _(v):
@@ -276,6 +304,18 @@ def _(v):
     return R.read_index(v.spark, path)
 
 
+# All columns as written, and their order: the pool's.
+@query("write_index_rows", "v_docs v_calls", """
+select rsid, chromosome, position, genotype, found, (select string_agg(doc, ',' order by doc) from (select distinct cast(doc as varchar) as doc, rsid from d_tok) t where t.rsid = idx.rsid) as source_docs,
+  '0' as discovered_in_phase, '0' as part_no, row_number() over (order by first_doc, first_pos) as written from idx""", INDEX)
+def _(v):
+    path = scratch_path(v.spark, "index")
+    W.write_index(v.index, OD.citing_docs(v.docs), path)
+    columns = ("rsid", "chromosome", "position", "genotype", "found", "source_docs", "discovered_in_phase", "part_no")
+    got = _written_order(v.spark.read.csv(path, sep="\t", header=True, quote="", escape=""), *columns)
+    return got.fillna("", ["chromosome", "position", "source_docs"])
+
+
 @query("index_source_docs", "v_docs v_calls", """
 select rsid, chromosome, position, genotype, found, (select string_agg(doc, ',' order by doc) from (select distinct cast(doc as varchar) as doc, rsid from d_tok) t where t.rsid = idx.rsid) as source_docs from idx""", INDEX)
 def _(v):
@@ -303,13 +343,27 @@ def _(v):
     return got.groupBy(sample.alias("sample_id"), "chrom", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("write_vcf_rows", "v_calls v_rsmap", """
+select c.sample_id, m.chrom, m.pos, c.rsid as id, ref, alt, cast(null as double) as qual, 'PASS' as filter, '.' as info, 'GT' as format,
+  concat(case substr(genotype, 1, 1) when ref then '0' when alt then '1' else '.' end, '/', case substr(genotype, 2, 1) when ref then '0' when alt then '1' else '.' end) as gt
+from c_last c join v_rsmap m using (rsid) where c.genotype <> '--'""", LAST_SAMPLE)
+def _(v):
+    path = scratch_path(v.spark, "calls_vcf")
+    W.write_vcf(OC.calls_to_vcf(last_wins(v.calls, ["sample_id", "rsid"]), v("v_rsmap")), path)
+    got = R.read_vcf(v.spark, path, recursiveFileLookup="true")
+    sample = F.regexp_extract("path", "sample_id=([0-9]+)", 1).cast("bigint")
+    return got.select(sample.alias("sample_id"), "chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format",
+                      F.array_join("sample_values", ",").alias("gt"))
+
+
 @query("vcf_header", "v_clinvar", """
-select string_agg(distinct replace(gene, '#', '_'), ',' order by replace(gene, '#', '_')) as info_ids from v_clinvar""")
+select distinct replace(gene, '#', '_') as info_id from v_clinvar""")
 def _(v):
     path = scratch_path(v.spark, "vcf_header")
-    gene = F.translate("gene", "#", "_")
-    v("v_clinvar").select(F.concat(F.lit("##INFO=<ID="), gene, F.lit(",Number=1,Type=String>")).alias("value")).coalesce(1).write.text(path)
-    return R.vcf_header(v.spark, path).select(F.array_join("info_ids", ",").alias("info_ids"))
+    # Every task writes the header of the ids it has, a file each.
+    ids = v("v_clinvar").select(F.translate("gene", "#", "_").alias("id")).distinct()
+    ids.select(F.concat(F.lit("##INFO=<ID="), "id", F.lit(",Number=1,Type=String>")).alias("value")).write.text(path)
+    return OK.unnest(R.vcf_header(v.spark, path), [], F.col("info_ids"), "info_id").distinct()
 
 
 @query("sam_contigs", "v_rsmap", "select chrom as name, max(pos) as length from v_rsmap group by chrom")
@@ -381,6 +435,22 @@ def _(v):
     return got.withColumns({c: F.array_join(F.array_sort(F.split(c, ",")), ",") for c in ("supporting_rsids", "rsids_absent")})
 
 
+# All ten columns as written, and their order. Ids stand in text order; the SQL has them sorted.
+@query("write_claims_rows", "v_docs v_calls", """
+select doc, lineno, disposition, array_to_string(supporting, ',') as supporting_rsids, array_to_string(absent, ',') as rsids_absent,
+  case when has_citation then 'y' else 'n' end as has_citation, array_to_string(tokens, ',') as blacklist_tokens, '' as project_terms,
+  case when genotype_mismatch then 'y' when not genotype_mismatch then 'n' else '' end as genotype_mismatch, replace(text, chr(9), ' ') as text,
+  row_number() over (order by doc, lineno) as written from d_claims""", AUDIT)
+def _(v):
+    path = scratch_path(v.spark, "claims")
+    W.write_claims(jobs.audit_claims(v.docs, v.index)["claims"], path)
+    columns = ("disposition", "supporting_rsids", "rsids_absent", "has_citation", "blacklist_tokens", "project_terms", "genotype_mismatch", "text")
+    got = _written_order(v.spark.read.csv(path, sep="\t", header=True, quote="", escape=""), "doc", "lineno", *columns)
+    sorted_ids = {c: F.array_join(F.array_sort(F.split(c, ",")), ",") for c in ("supporting_rsids", "rsids_absent")}
+    return got.fillna("", list(columns)).withColumns(
+        {"doc": F.col("doc").cast("bigint"), "lineno": F.col("lineno").cast("bigint"), **sorted_ids})
+
+
 @query("write_candidates", "v_docs v_rsmap v_ledger v_calls v_clinvar v_cpic", """
 select rsid, chrom as chromosome, cast(pos as varchar) as position, genotype, 'y' as found, 'phase6_discovery' as source_docs, '6' as discovered_in_phase from cand""", KNOWN)
 def _(v):

@@ -345,3 +345,17 @@ def test_specs(spark, tmp_path):
 def test_fixed_round(spark):
     df = spark.createDataFrame([(1.0005,), (33.335,), (2.5,), (1234567.0625,)], "x double")
     assert [r[0] for r in df.select(fixed_round(F.col("x"), 3)).collect()] == [round(x, 3) for x in (1.0005, 33.335, 2.5, 1234567.0625)]
+
+
+def test_a_large_sample_is_exported_as_several_files(spark):
+    from locusgrid import catalog_io
+    from locusgrid.catalog import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    path = catalog_io._export(v, "23andme", file_rows=100)
+    got = catalog_io._back(v, path)
+    calls = v.calls.selectExpr("sample_id", "concat_ws('_', rsid, cast(line_no as string)) as rsid", "chrom", "pos", "genotype")
+    assert sorted(map(str, got.select(*calls.columns).collect())) == sorted(map(str, calls.collect()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).count()
+    sizes = {r.sample_id: r["count"] for r in calls.groupBy("sample_id").count().collect()}
+    assert files == sum(-(-n // 100) for n in sizes.values()) > len(sizes)
