@@ -110,13 +110,22 @@ class Segment:
         return found
 
     def near(self, terms: tuple[bytes, ...], within: int) -> np.ndarray:
-        """Positions of the rarest term that have every term at most ``within`` words away."""
+        """Where spans begin that hold every term, the last of them at most ``within`` words behind the
+        first. Only places near a posting of the rarest term are looked at, but each term may be the first."""
         lists = sorted((self.posting(t) for t in set(terms)), key=len)
-        found = lists[0]
+        rarest = lists[0]
+        if not len(rarest):
+            return rarest
+        begins = [rarest]
         for other in lists[1:]:
-            if not len(found) or not len(other):
-                return found[:0]
-            i = np.searchsorted(other, found - within)
+            # The rarest term must follow within the span.
+            i = np.searchsorted(rarest, other)
+            hit = i < len(rarest)
+            hit[hit] = rarest[i[hit]] <= other[hit] + within
+            begins.append(other[hit])
+        found = np.unique(np.concatenate(begins))
+        for other in lists:
+            i = np.searchsorted(other, found)
             hit = i < len(other)
             hit[hit] = other[i[hit]] <= found[hit] + within
             found = found[hit]
@@ -189,9 +198,11 @@ def phrase_runs(index: DataFrame, block: list[tuple[str, list[bytes]]], window:
 
 
 def proximity(index: DataFrame, block: list[tuple[str, list[bytes]]], within: int = 2 * WINDOW) -> DataFrame:
-    """(doc_id, item): documents in which the rarest word of an item has all its other words at most
-    ``within`` words away, in any order."""
-    assert within < GAP
+    """(doc_id, item): documents with a span that holds all words of an item, in any order, the last of them at
+    most ``within`` words behind the first. Documents alone decide, not the segments they are in. A null doc_id
+    is given back as null."""
+    if within >= GAP:
+        raise ValueError(f"within has to be less than {GAP}, the gap between documents of a segment")
     broadcast = index.sparkSession.sparkContext.broadcast(block)
 
     def rows(batches: Iterator[pa.RecordBatch]):

@@ -73,6 +73,29 @@ def test_proximity(spark, docs):
     assert sorted(x.doc_id for x in got) == [1, 2]
 
 
+def test_proximity_of_three_words_against_brute_force(spark, docs):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice("a b c d e f g h".split()[:rng.randrange(3, 9)]) for _ in range(rng.randrange(0, 25)))) for i in range(200)]
+    items = [("abc", [b"a", b"b", b"c"]), ("ah", [b"a", b"h"]), ("gg", [b"g", b"g"]), ("hgfe", [b"h", b"g", b"f", b"e"]), ("none", [b"q", b"a"])]
+
+    def close(text, terms, within):
+        w = text.split()
+        return any(set(terms) <= set(w[i:i + within + 1]) for i in range(len(w)))
+
+    for within in (2, 5):
+        want = sorted((i, name) for i, text in rows for name, terms in items if close(text, [t.decode() for t in terms], within))
+        for size in (40, 1 << 20):
+            got = P.proximity(P.build_index(docs(rows), segment_tokens=size), items, within).collect()
+            assert sorted((x.doc_id, x.item) for x in got) == want and len(want) > 100
+    # The rare word may lie between the others, each at the full distance from it no longer counts.
+    index = P.build_index(docs([(1, "b x x x x a x x x x c")]))
+    assert P.proximity(index, items[:1], 5).count() == 0 and P.proximity(index, items[:1], 10).count() == 1
+    with pytest.raises(ValueError):
+        P.proximity(index, items, P.GAP)
+
+
 def test_keep_clean(spark, docs):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     rows = [(1, item + " more"), (1, item), (2, "clean text"), (None, "no name"), (3, item + " z" * 400), (4, None)]
