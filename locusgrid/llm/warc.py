@@ -2,9 +2,10 @@
 
 An ARC file begins with a version block that names the fields of its header lines (five in version 1,
 ten in version 2). Records follow: a header line that ends with the declared length, then that many
-bytes. A WARC record is synthesised for each: an identifier from its contents, the date in ISO form, the
-type, and SHA-1 digests of block and payload. Of records with equal payloads of a given size one is
-written in full, the others refer to it.
+bytes. An archive may be compressed, each record as a gzip member of its own. A WARC record is synthesised
+for each: an identifier from its archive, place and contents, the date in ISO form, the type, and SHA-1
+digests of block and payload. Of records with equal payloads of a given size one is written in full, the
+others refer to it.
 
 Archives are rows or files of bounded size, so every task parses whole ones. Records are brought
 together only by digest; a hot digest is aggregated before the shuffle and its join may be split.
@@ -12,12 +13,16 @@ together only by digest; a hot digest is aggregated before the shuffle and its j
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,8 @@ from ..session import scratch_path
 from .common import map_rows, stored
 
 ARCHIVE_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
+GZIP = b"\x1f\x8b"
 REVISIT_FROM = 1000
 DATE = "20240101000000"
 # Header fields by version, and WARC's own strings.
@@ -64,62 +71,86 @@ def arc_record(uri: str, payload: bytes, version: int, name: str, offset: int) -
 
 
 def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                 most: int = ARCHIVE_BYTES) -> DataFrame:
-    """(name, content): the pages as ARC archives, versions 1 and 2 in turn. An archive ends with the
-    record that fills it."""
+                 most: int = ARCHIVE_BYTES, compress: bool = True) -> DataFrame:
+    """(name, content): the pages as ARC archives, versions 1 and 2 in turn, named by task and number. An
+    archive ends with the record that fills it, counted before compression; offsets are those in the file."""
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                           F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
 
+    def packed(record: bytes) -> bytes:
+        return gzip.compress(record, 6, mtime=0) if compress else record
+
     def rows(batches: Iterator[pa.RecordBatch]):
-        n, content = 0, b""
+        task, n, parts = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             for page, url, html in zip(*batch.columns):
-                if not content:
+                if not parts:
                     n += 1
-                    name, version = f"pages-{n}.arc", 1 + n % 2
-                    content = arc_head(name, version)
-                    parts, size = [content], len(content)
-                record = arc_record(page_uri(page.as_py(), url.as_py()), html.as_py(), version, name, size)
-                parts.append(record)
-                size += len(record)
+                    name, version = f"pages-{task:06d}-{n:06d}.arc" + (".gz" if compress else ""), 1 + n % 2
+                    head = arc_head(name, version)
+                    parts, size = [packed(head)], len(head)
+                    offset = len(parts[0])
+                record = arc_record(page_uri(page.as_py(), url.as_py()), html.as_py(), version, name, offset)
+                parts.append(packed(record))
+                size, offset = size + len(record), offset + len(parts[-1])
                 if size >= most:
                     yield name, b"".join(parts)
-                    content = b""
-        if content:
+                    parts = []
+        if parts:
             yield name, b"".join(parts)
 
     return map_rows(picked, rows, "name string, content binary", 1)
 
 
+def stored_archives(archives: DataFrame) -> DataFrame:
+    """Archives kept in the shared folder, in row groups of a few archives: a task that writes or reads them
+    holds one group."""
+    spark = archives.sparkSession
+    path = scratch_path(spark, "arc")
+    archives.write.options(**{"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1,
+                              "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}).parquet(path)
+    return spark.read.schema(archives.schema).parquet(path)
+
+
 def read_arc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) of ARC files in a folder; files of up to 2 GB."""
+    """(name, content) of ARC files in a folder, plain or compressed; files of up to 2 GB."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
 
 
 def arc_records(name: str, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content) of each record. The version block says which fields there are; a URL may
-    hold spaces, the other fields may not. What doesn't fit its declared length is an error."""
-    names, at = None, 0
-    while at < len(data):
-        if data[at:at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        line = data[at:end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "surrogateescape")
-        if line.startswith("filedesc://"):
-            start = end + 1
-            first, second = data[start:start + 4096].split(b"\n")[:2]
-            version, names = int(first.split()[0]), second.decode().split()
-            if version not in FIELDS or names[-1] != "Archive-length":
+    hold spaces, the other fields may not. What doesn't fit its declared length is an error. Gzip members,
+    one a record or otherwise, are read as a stream; one that is cut short is an error."""
+    source = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == GZIP else io.BytesIO(data)
+    names = None
+    while True:
+        at = source.tell()
+        try:
+            line = source.readline()
+            if not line:
+                return
+            head = line.strip(b"\r\n").decode("utf-8", "surrogateescape")
+            if not head:
+                continue
+            version_block = head.startswith("filedesc://")
+            if names is None and not version_block:
+                raise ValueError(f"{name}: a record before the version block at {at}")
+            declared = head.rsplit(" ", 1)[-1]
+            if not line.endswith(b"\n") or not (declared.isascii() and declared.isdigit()):
+                raise ValueError(f"{name}: malformed record at {at}")
+            content = source.read(int(declared))
+        except (EOFError, OSError, zlib.error) as error:
+            raise ValueError(f"{name}: damaged gzip member at or after {at}") from error
+        if version_block:
+            first, second = (content.split(b"\n") + [b"", b""])[:2]
+            version, names = first.split()[:1], second.decode("utf-8", "replace").split()
+            if version not in [[str(v).encode()] for v in FIELDS] or names[-1:] != ["Archive-length"]:
                 raise ValueError(f"{name}: unknown version block at {at}")
-        elif names is None:
-            raise ValueError(f"{name}: a record before the version block at {at}")
-        values = line.rsplit(" ", len(names) - 1)
-        if end < 0 or len(values) != len(names) or not values[-1].isdigit() or end + 1 + int(values[-1]) > len(data):
+        values = head.rsplit(" ", len(names) - 1)
+        if len(values) != len(names) or len(content) != int(declared):
             raise ValueError(f"{name}: malformed record at {at}")
-        at = end + 1 + int(values[-1])
-        if not line.startswith("filedesc://"):
-            yield dict(zip(names, values)), data[end + 1:at]
+        if not version_block:
+            yield dict(zip(names, values)), content
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
@@ -137,15 +168,18 @@ def iso_date(date: str) -> str:
 
 def convert(archives: DataFrame, with_block: bool = True) -> DataFrame:
     """(record_id, uri, date, mime, type, payload_digest, payload_bytes, head, payload) of the records of
-    ARC archives. ``type``: response for HTTP captures, else resource. The identifier comes from name, date
-    and digest, so converting again gives the same. ``with_block=False`` leaves head and payload null."""
+    ARC archives. ``type``: response for HTTP captures, else resource. The identifier comes from the archive's
+    name, the record's number in it, URL, date and digest: equal records have different ones, and converting
+    the archives again gives the same. ``with_block=False`` leaves head and payload null."""
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                for fields, block in arc_records(name.as_py(), content.as_py()):
+                archive = name.as_py()
+                for i, (fields, block) in enumerate(arc_records(archive, content.as_py())):
                     head, payload = split_http(block)
                     digest = hashlib.sha1(payload).hexdigest()
-                    key = f"{fields['URL']} {fields['Archive-date']} {digest}"
+                    key = f"{archive} {i} {fields['URL']} {fields['Archive-date']} {digest}"
+                    key = key.encode("utf-8", "surrogateescape").decode("latin-1")  # a URL may hold any bytes
                     yield (str(uuid.uuid5(uuid.NAMESPACE_URL, key)), fields["URL"], iso_date(fields["Archive-date"]),
                            fields["Content-type"], "response" if head else "resource", digest, len(payload),
                            head if with_block else None, payload if with_block else None)
@@ -250,12 +284,13 @@ def archive_pages(pages: DataFrame, path: str | None = None, id_col: str = "page
 
     Null html is an empty payload; null URLs and ids come back as null. Of equal payloads of at least
     ``least`` bytes the record with the largest page_id is the response; rows that repeat that page_id with
-    that payload are responses too. A null id is never referred to. Other columns are ignored. An empty
-    table gives no rows.
+    that payload are responses too, and each has an identifier of its own. A null id is never referred to.
+    Other columns are ignored. An empty table gives no rows. The archives are stored once, so the record that
+    others refer to is the one that is written.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    archives = arc_archives(pages, id_col, url_col, html_col)
+    archives = stored_archives(arc_archives(pages, id_col, url_col, html_col))
     digests = stored(convert(archives, with_block=False).select("record_id", "uri", "payload_digest", "payload_bytes"),
                      "payload-digests")
     winners = stored(revisited(digests, page_number("uri"), least), "payload-winners")

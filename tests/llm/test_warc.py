@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 from collections import defaultdict
 
 import pytest
@@ -37,7 +39,7 @@ def test_round_trip(spark):
 
 def test_small_archives_hold_everything(spark, tmp_path):
     rows = [(i, "u", f"page {i} " + "y" * i) for i in range(200)]
-    archives = W.arc_archives(spark.createDataFrame(rows, PAGES), most=2000)
+    archives = W.arc_archives(spark.createDataFrame(rows, PAGES), most=2000, compress=False)
     assert archives.count() > 10
     heads = {bytes(x.content).split(b"\n")[1][:1] for x in archives.collect()}
     assert heads == {b"1", b"2"}
@@ -66,3 +68,36 @@ def test_malformed_records_are_errors(tail):
         list(W.arc_records("x", head + tail))
     with pytest.raises(ValueError):
         list(W.arc_records("x", tail))
+
+
+def test_repeated_rows_have_identifiers_of_their_own(spark, tmp_path):
+    html = "r" * 2000
+    pages = spark.createDataFrame([(5, "u", html)] * 4 + [(1, "u", html)] * 3, PAGES).repartition(3)
+    got = W.archive_pages(pages, str(tmp_path / "w")).collect()
+    assert sorted((x.page_id, x.record_type, x.refers_to) for x in got) == (
+        [(1, "revisit", 5)] * 3 + [(5, "response", None)] * 4)
+    read = W.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len({x.record_id for x in read}) == 7
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    targets = {h.get("WARC-Refers-To") for f in files for h, _ in W.parse_warc(f)} - {None}
+    assert len(targets) == 1 and targets <= {x.record_id for x in read if x.type == "response"}
+
+
+def test_compressed_archives_hold_the_same(spark):
+    rows = [(i, "u", f"page {i} " + "y" * (i * 37 % 5000)) for i in range(300)] + [(300, "long", "z" * 3_000_000)]
+    pages = spark.createDataFrame(rows, PAGES)
+    plain, packed = (W.arc_archives(pages, most=200_000, compress=c) for c in (False, True))
+    a, b = ({bytes(x.name, "ascii").removesuffix(b".gz"): bytes(x.content) for x in df.collect()} for df in (plain, packed))
+    assert a.keys() == b.keys() and all(v.startswith(W.GZIP) for v in b.values())
+    sizes = [sorted((x.uri, x.payload_digest) for x in W.convert(df).collect()) for df in (plain, packed)]
+    assert sizes[0] == sizes[1] and len(sizes[0]) == 301
+    name, data = next(iter(b.items()))
+    whole = list(W.arc_records("x", data))
+    # Version 2's offsets are those of the gzip members.
+    for fields, content in whole:
+        if "Offset" in fields:
+            assert gzip.GzipFile(fileobj=io.BytesIO(data[int(fields["Offset"]):])).readline().startswith(b"page://")
+    with pytest.raises(ValueError):
+        list(W.arc_records("x", data[:-5]))
+    with pytest.raises(ValueError):
+        list(W.arc_records("x", data[:len(data) // 2] + b"junk" + data[len(data) // 2:]))
