@@ -211,9 +211,10 @@ def warc_record(r: dict) -> bytes:
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block
 
 
-def write_warc(records: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None:
-    """Records with a ``refers_to`` column, as WARC files of about ``most`` bytes under ``path``. A file is
-    one row of Spark's text writer, whose line end is the end of a record."""
+def write_warc(records: DataFrame, path: str, most: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
+    """Records with a ``refers_to`` column, as WARC files of about ``most`` bytes (before compression) under
+    ``path``. A file is one row of Spark's text writer, whose line end is the end of a record; compressed, it
+    is one gzip member."""
     def rows(batches: Iterator[pa.RecordBatch]):
         held, size = [], 0
         for batch in batches:
@@ -227,7 +228,7 @@ def write_warc(records: DataFrame, path: str, most: int = ARCHIVE_BYTES) -> None
             yield (BETWEEN.encode().join(held),)
 
     files = map_rows(records, rows, "value binary", 1).select(F.col("value").cast("string").alias("value"))
-    files.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 1).text(path)
+    files.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 1).text(path, compression=compression)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -248,7 +249,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, uri, type, payload_bytes, payload_digest, refers_to_uri) of all records under ``path``.
+    """(record_id, uri, type, payload_bytes, payload_digest, refers_to_uri) of all records under ``path``,
+    compressed or not.
     Length and digest of a payload are measured where it is there; a revisit's are those it declares."""
     files = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("value"))
 

@@ -78,7 +78,7 @@ def test_repeated_rows_have_identifiers_of_their_own(spark, tmp_path):
         [(1, "revisit", 5)] * 3 + [(5, "response", None)] * 4)
     read = W.read_warc(spark, str(tmp_path / "w")).collect()
     assert len({x.record_id for x in read}) == 7
-    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*")]
     targets = {h.get("WARC-Refers-To") for f in files for h, _ in W.parse_warc(f)} - {None}
     assert len(targets) == 1 and targets <= {x.record_id for x in read if x.type == "response"}
 
