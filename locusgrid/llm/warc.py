@@ -32,6 +32,7 @@ from .common import map_rows, stored
 ARCHIVE_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
 GZIP = b"\x1f\x8b"
+GZIP_LEVEL = 1
 REVISIT_FROM = 1000
 DATE = "20240101000000"
 # Header fields by version, and WARC's own strings.
@@ -78,7 +79,7 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                           F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
 
     def packed(record: bytes) -> bytes:
-        return gzip.compress(record, 6, mtime=0) if compress else record
+        return gzip.compress(record, GZIP_LEVEL, mtime=0) if compress else record
 
     def rows(batches: Iterator[pa.RecordBatch]):
         task, n, parts = TaskContext.get().partitionId(), 0, []
@@ -228,7 +229,7 @@ def write_warc(records: DataFrame, path: str, most: int = ARCHIVE_BYTES, compres
             yield (BETWEEN.encode().join(held),)
 
     files = map_rows(records, rows, "value binary", 1).select(F.col("value").cast("string").alias("value"))
-    files.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", 1).text(path, compression=compression)
+    files.write.option("lineSep", BETWEEN).option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path, compression=compression)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
