@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .catalog import (
     AUDIT, CLAIMS, CLINVAR, CPIC, GENE_PANEL, HITS, INDEX, LAST_SAMPLE, LINES, OD, OE, OG, OK, PASSES,
-    POOL, STATES, XE, XG, XT, jobs, query,
+    POOL, SOURCES, STATES, XE, XG, XT, jobs, query,
 )
 
 # --- line state ---------------------------------------------------------------
@@ -96,9 +96,7 @@ def _(v):
     return OD.citing_docs(v.docs)
 
 
-@query("source_docs", "v_docs", """
-select rsid, 0::bigint as part_no, count(*) as n_values, string_agg(doc, ',' order by doc) as source_docs
-from (select distinct rsid, cast(doc as varchar) as doc from d_tok) group by rsid""", POOL)
+@query("source_docs", "v_docs", "select rsid, part_no, n_values, source_docs from d_list", POOL + "," + SOURCES)
 def _(v):
     pairs = OD.citing_docs(v.docs).withColumn("doc", F.col("doc").cast("string"))
     return OK.value_lists(pairs, "rsid", "doc", "source_docs")
