@@ -2,8 +2,8 @@
 
 Two generators propose spans beside the four fixed kinds, with high recall and free to overlap them:
 numbers of seven digits or more with separators, and long words of letters and digits. Trees score a
-candidate by its format and the characters before it. They are boosted on a bounded sample of
-documents with histogram aggregations: the teacher's labels are the fixed patterns and a phone's, card's
+candidate by its format and the characters before it. They are boosted on the candidates of all
+documents, counted by features, with histogram aggregations: the teacher's labels are the fixed patterns and a phone's, card's
 or account's name before it for numbers, and an assignment to a credential's name for words. The fixed
 patterns' own marks (the plus sign, the checksum) are no features. Held-out candidates outside fixed spans,
 which are those that can be added, give each generator the lowest threshold that keeps its precision;
@@ -217,16 +217,21 @@ def best_split(rows: list, node: int) -> tuple[Split | None, float, float, float
     return best
 
 
+def _count(found: DataFrame) -> Column:
+    return F.col("n") if "n" in found.columns else F.lit(1)
+
+
 def boost(sample: DataFrame, rounds: int = ROUNDS) -> list[Tree]:
     """Trees of depth two for the logistic loss. Each level is one aggregation to (node, feature, value),
-    at most 2 x features x ``CAP`` rows whatever the sample's size."""
+    at most 2 x features x ``CAP`` rows whatever the sample's size. A column ``n`` says how many candidates a row stands for."""
     trees: list[Tree] = []
+    n = _count(sample)
 
     def histogram(node: Column) -> list:
         p = 1 / (1 + F.exp(-margin(trees, F.col)))
         stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("value")) for k in FEATURES]))
         # Whole numbers of this unit add up to the same sum in any order, so partitions don't decide ties.
-        whole = [F.round(x * UNIT).cast("long").alias(name) for x, name in ((p - F.col("label"), "g"), (p * (1 - p), "h"))]
+        whole = [(F.round(x * UNIT).cast("long") * n).alias(name) for x, name in ((p - F.col("label"), "g"), (p * (1 - p), "h"))]
         return (sample.select(node.alias("node"), *whole, stacked.alias("x")).groupBy("node", "x.feature", "x.value")
                 .agg((F.sum("g") / UNIT).alias("g"), (F.sum("h") / UNIT).alias("h")).collect())
 
@@ -247,8 +252,8 @@ def boost(sample: DataFrame, rounds: int = ROUNDS) -> list[Tree]:
 def thresholds(held_out: DataFrame, trees: list[Tree], precision: float = PRECISION) -> dict[str, float]:
     """For each generator the lowest margin at which held-out candidates keep the precision; infinite
     where none does. The trees have few leaves, so there are few margins."""
-    got = (held_out.select("kind", "label", F.round(margin(trees, F.col), 6).alias("m"))
-           .groupBy("kind", "m").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect())
+    got = (held_out.select("kind", "label", _count(held_out).alias("n"), F.round(margin(trees, F.col), 6).alias("m"))
+           .groupBy("kind", "m").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect())
     cuts = {}
     for number, kind in enumerate(ADDED_KINDS):
         n = good = 0
@@ -269,11 +274,19 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trai
             .groupBy("_id").agg(F.min("text").alias("text")))
 
 
+def counted(found: DataFrame) -> DataFrame:
+    """``candidates`` with equal features, label, side of the split (``fold`` 0 or 1) and freedom as one row, ``n`` of them."""
+    held_out = F.when(F.col("fold") == 0, 0).otherwise(1).alias("fold")
+    return found.groupBy(*FEATURES, "label", held_out, "free").agg(F.count(F.lit(1)).alias("n"))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          train_docs: int = TRAIN_DOCS) -> tuple[list[Tree], dict[str, float]]:
-    """Trees and thresholds from the candidates of a bounded ``sample``."""
-    texts = sample(docs, id_col, text_col, train_docs)
-    found = stored(candidates(with_spans(texts.select("text"))), "pii-candidates")
+          train_docs: int | None = None) -> tuple[list[Tree], dict[str, float]]:
+    """Trees and thresholds from the candidates of all rows. Equal ones are counted before anything is shuffled, so
+    what the rounds of boosting read grows with the kinds of candidates, not with the documents. With ``train_docs``
+    only a ``sample`` of that many documents teaches."""
+    texts = docs.select(F.col(text_col).alias("text")) if train_docs is None else sample(docs, id_col, text_col, train_docs).select("text")
+    found = stored(counted(candidates(with_spans(texts))), "pii-candidates")
     trees = boost(found.filter("fold != 0"))
     return trees, thresholds(found.filter("fold = 0 and free"), trees)
 

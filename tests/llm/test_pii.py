@@ -102,3 +102,14 @@ def test_the_sample_is_bounded_where_ids_repeat(spark):
     got = P.sample(df, train_docs=4).collect()
     assert len(got) == len({r["_id"] for r in got}) == 4
     assert P.sample(df.filter("doc_id = 5"), train_docs=4).collect() == [(5, "text 0")]
+
+
+def test_thresholds_come_from_all_documents(spark, docs):
+    # Credentials only in documents that no sample of 4,000 has.
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, f"say token = \"a1b2c3d4e5f6{i:04}\" now" if n >= 5000 else f"Phone: 555-{i:04}-4567") for n, i in enumerate(ids)]
+    plain = P.candidates(P.with_spans(docs(rows).select("text"))).cache()
+    counted = P.counted(plain)
+    assert counted.count() < 100 and counted.agg(F.sum("n")).first()[0] == plain.count()
+    trees, cuts = P.learn(docs(rows))
+    assert cuts["secret"] < float("inf") and P.thresholds(plain.filter("fold = 0 and free"), trees) == cuts
