@@ -7,7 +7,7 @@ bucket in the training rows, everything is then trained with Adam through the ma
 
 The logit is calibrated by language: rows that training hasn't seen give each language a threshold,
 which becomes score 0.5. The language is guessed from the words of the text alone. Labels are read from
-training rows only, a bounded sample of ``TRAIN_ROWS`` of each class.
+training rows only, a bounded sample of ``TRAIN_ROWS`` whole texts of each class.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .positional import WORD_BYTES
 
 TRAIN_ROWS = 3000
-#: Characters of a labelled text that are learnt from; with ``TRAIN_ROWS`` the bound of what the driver holds.
+#: Characters on average of the labelled texts that are learnt from; with ``TRAIN_ROWS`` the bound of what the driver holds.
 TRAIN_CHARS = 20_000
 BUCKETS = 1 << 17
 DIM = 8
@@ -289,10 +289,12 @@ def fold(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id",
-                  text_col: str = "text", label_col: str = "toxic") -> pd.DataFrame:
-    """At most ``rows`` labelled rows of each class outside fold 0, in the order of a hash, with at most
-    ``TRAIN_CHARS`` characters of each, cut before they come to the driver. ``weight``: how many labelled rows
-    of its class a row stands for. Rows with a null id or label are no labels; an id with both labels is toxic."""
+                  text_col: str = "text", label_col: str = "toxic", whole: bool = False) -> pd.DataFrame:
+    """At most ``rows`` labelled rows of each class outside fold 0, in the order of a hash. ``weight``: how many
+    labelled rows of its class a row stands for. Rows with a null id or label are no labels; an id with both labels
+    is toxic. ``learn`` asks for ``whole`` texts: of each class those rows that together hold at most ``rows`` times
+    ``TRAIN_CHARS`` characters, counted before texts come to the driver. Otherwise texts are previews, cut there to
+    ``TRAIN_CHARS``."""
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter("label in (0, 1)").filter(fold("id") != 0).groupBy("id").agg(F.max("label").alias("label")))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -300,16 +302,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
     for y in (0, 1):
         part = known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(text_col, 1, TRAIN_CHARS).alias("text"))
+    text = F.col(text_col) if whole else F.substring(text_col, 1, TRAIN_CHARS)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     # Of rows that repeat an id the smallest text stands for it, so no more rows come than there are labels.
     found = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    if whole:
+        fits = within(found.select("id", "label", F.xxhash64("id").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect(),
+                      rows * TRAIN_CHARS)
+        found = found.join(F.broadcast(fixed_ids(docs, fits)), "id") if fits is not None else found
     got = found.withColumn("fold", fold("id")).toPandas().sort_values("id").reset_index(drop=True)
-    got["weight"] = got["label"].map({y: max(1.0, n / rows) for y, n in sizes.items()})
+    taken = got["label"].value_counts() if whole else {y: rows for y in sizes}
+    got["weight"] = got["label"].map({y: max(1.0, n / taken[y]) for y, n in sizes.items() if y in taken})
     return got.iloc[np.random.default_rng(5).permutation(len(got))]
 
 
+def within(lengths: list, most: int) -> list[int] | None:
+    """Ids of the rows (id, label, h, n), in the order of ``h``, whose ``n`` add up to at most ``most`` in each label;
+    a row that doesn't fit is passed over. None if all fit."""
+    held, ids = [0, 0], []
+    for r in sorted(lengths, key=lambda r: (r["h"], r["id"])):
+        if held[r["label"]] + r["n"] <= most:
+            held[r["label"]] += r["n"]
+            ids.append(r["id"])
+    return ids if len(ids) < len(lengths) else None
+
+
+def fixed_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
+    return docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+
+
 def learn(docs: DataFrame, labels: DataFrame, **columns) -> Model:
-    got = training_rows(docs, labels, **columns)
+    got = training_rows(docs, labels, whole=True, **columns)
     return fit(list(got["text"]), got["label"].to_numpy(), got["fold"].to_numpy(), weights=got["weight"].to_numpy())
 
 

@@ -100,3 +100,16 @@ def test_long_texts_and_repeated_labels_leave_the_sample_whole(spark, monkeypatc
 def test_weights_move_the_cut():
     z, y = np.array([0.0, 1, 2, 3]), np.array([0, 1, 0, 1])
     assert T.threshold(z, y, np.array([1.0, 1, 9, 1])) == 2.5 and T.threshold(z, y, np.array([1.0, 9, 1, 1])) == 0.5
+
+
+def test_whole_texts_are_learnt_from(spark, monkeypatch):
+    monkeypatch.setattr(T, "TRAIN_CHARS", 200)
+    rows = [(i, "calm words " * 40 + ("vile" if i % 2 else "mild")) for i in range(200)] + [(i, "x") for i in range(200, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    model = T.learn(docs, labels)
+    assert model.scores(["calm words " * 40 + "vile"])[0] > model.scores(["calm words " * 40 + "mild"])[0] + 0.2
+    # What the driver holds stays bounded: whole texts up to 10 x 200 characters of a class.
+    few = T.training_rows(docs, labels, rows=10, whole=True)
+    assert set(few["text"]) <= {t for _, t in rows} and few.groupby("label")["text"].apply(lambda t: t.str.len().sum()).max() <= 2000
+    assert few["weight"].min() > 5
