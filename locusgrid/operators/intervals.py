@@ -122,25 +122,50 @@ def _filed_and_looked(df: DataFrame, filed: Column, filed_tag: int, points: Colu
         *df.columns, F.col("_b.tag").alias("_tag"), F.col("_b.lvl").alias("_lvl"), F.col("_b.bin").alias("_bin"))
 
 
+def _widest(df: DataFrame, start: Column, end: Column) -> int:
+    """The longest span of an interval table; 0 if none has a length."""
+    return df.agg(F.max(end.cast("bigint") - start.cast("bigint"))).first()[0] or 0
+
+
 def overlap_join(left: DataFrame, right: DataFrame, chrom: str = "chrom",
                  left_span=("start0", "end0"), right_span=("start0", "end0"), widths=BIN_WIDTHS) -> DataFrame:
     """All overlapping pairs of two interval tables (inner), on half-open spans.
 
-    Of two that overlap, exactly one holds the other's start: the left start lies in the right
-    interval (tag 0), or the right start lies inside the left one, behind its start (tag 1). So
-    intervals are filed under the bins they touch, at one width each (64 bins at most, or the
+    Where no interval can touch more than ``MAX_BINS`` bins of the finest width, which one aggregation over the
+    spans of each table tells, both sides are filed under the bins they touch there. A pair counts in the one
+    bin that holds the later of its starts, so a short interval is one row of the join on either side.
+
+    Else intervals are of many lengths. Of two that overlap, exactly one holds the other's start: the left
+    start lies in the right interval (tag 0), or the right start lies inside the left one, behind its start
+    (tag 1). So intervals are filed under the bins they touch, at one width each (64 bins at most, or the
     chromosome length over the coarsest width), and starts are looked up in their one bin at every
-    width. Both kinds meet in a single equi-join on (chrom, tag, width, bin), where a pair comes once;
-    nothing has to be deduplicated, and a row of any length is a bounded number of rows on either side.
-    A crowded bin is a skewed key of a join that no aggregation follows, which adaptive execution splits.
+    width. Both kinds meet in a single equi-join on (chrom, tag, width, bin), where a pair comes once.
+
+    In both cases nothing has to be deduplicated, and a row of any length is a bounded number of rows on either
+    side. A crowded bin is a skewed key of a join that no aggregation follows, which adaptive execution splits.
     Rows with a null or empty span match nothing. The left columns and the right columns, except its
     ``chrom``, must have distinct names. ``widths`` are powers of two, fine to coarse; fewer of them
     mean fewer lookups per row.
     """
     ls, le = (F.col(c) for c in left_span)
     rs, re_ = (F.col(c) for c in right_span)
-    looked = _filed_and_looked(left.filter(le > ls), _bins(ls + 1, le, widths), 1, _lookups(ls, widths))
-    filed = _filed_and_looked(right.filter(re_ > rs), _bins(rs, re_, widths), 0, _lookups(rs, widths))
+    left, right = left.filter(le > ls), right.filter(re_ > rs)
+    if max(_widest(left, ls, le), _widest(right, rs, re_)) <= (MAX_BINS - 1) * widths[0]:
+        return _short_join(left, right, chrom, (ls, le), (rs, re_), widths[0])
+    looked = _filed_and_looked(left, _bins(ls + 1, le, widths), 1, _lookups(ls, widths))
+    filed = _filed_and_looked(right, _bins(rs, re_, widths), 0, _lookups(rs, widths))
     pairs = looked.join(filed, [chrom, "_tag", "_lvl", "_bin"])
     holds = F.when(F.col("_tag") == 0, (rs <= ls) & (ls < re_)).otherwise((ls < rs) & (rs < le))
     return pairs.filter(holds).drop("_tag", "_lvl", "_bin")
+
+
+def _short_join(left: DataFrame, right: DataFrame, chrom: str, left_span, right_span, width: int) -> DataFrame:
+    (ls, le), (rs, re_) = left_span, right_span
+
+    def filed(df, start, end):
+        return df.select("*", F.explode(F.sequence(
+            _shifted(start.cast("bigint"), width), _shifted(end.cast("bigint") - 1, width))).alias("_bin"))
+
+    pairs = filed(left, ls, le).join(filed(right, rs, re_), [chrom, "_bin"])
+    first = _shifted(F.greatest(ls.cast("bigint"), rs.cast("bigint")), width) == F.col("_bin")
+    return pairs.filter((ls < re_) & (rs < le) & first).drop("_bin")

@@ -144,3 +144,17 @@ def test_results_do_not_depend_on_partitioning(spark, conf):
         a = sorted(map(str, QUERIES[name](spark, SF).collect()))
         conf(spark__sql__shuffle__partitions="3")
         assert sorted(map(str, QUERIES[name](spark, SF).collect())) == a
+
+
+def test_short_intervals_join_as_one_row_each(spark, conf):
+    # Spans of a base or across a bin's border, none long: no lookups at other widths.
+    w = I.BIN_WIDTHS[0]
+    left = [(i, "c", w * (i % 5) - 3 + i % 7, w * (i % 5) - 2 + i % 7 + (i % 3) * 4) for i in range(60)] + [(99, "c", 5, 5), (98, "c", None, 9)]
+    right = [(i, "c", w * (i % 4) - 4 + i % 11, w * (i % 4) + i % 11 + (w * 2 if i % 9 == 0 else 0)) for i in range(50)]
+    ldf = spark.createDataFrame(left, "l long, chrom string, a long, b long")
+    rdf = spark.createDataFrame(right, "r long, chrom string, start0 long, end0 long")
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    out = I.overlap_join(ldf, rdf, left_span=("a", "b"))
+    want = sorted((x[0], y[0]) for x in left for y in right if x[2] is not None and x[2] < x[3] and x[2] < y[3] and y[2] < x[3])
+    assert sorted((x.l, x.r) for x in out.select("l", "r").collect()) == want and want
+    assert "_tag" not in plan(out) and "_lvl" not in plan(out)
