@@ -3,9 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from locusgrid.functions.sequence import codon_table
 from locusgrid.operators import batches as B
 from locusgrid.operators import sequences as S
 
@@ -164,3 +167,18 @@ def test_a_long_sequence_translates_by_chunks(spark):
 def test_non_ascii_chunks_are_refused(spark):
     with pytest.raises(Exception, match="not an ASCII sequence: odd"):
         S.sequence_chunks(some_sequences(spark), 30).collect()
+
+
+def test_frames_are_handed_on_before_a_whole_batch_is_translated(spark, monkeypatch):
+    texts = [pa.array(["ACGT" * n for n in (1, 5, 1000, 0, 3)] + [None])]
+    monkeypatch.setattr(B, "STRANDS", 100)
+    assert list(B.strand_slices(texts)) == [(0, 2), (2, 1), (3, 3)]
+    monkeypatch.undo()
+    long = "ACGTTGCAAN" * 40_000
+    rows = [(i, "r", s) for i, s in enumerate([long, None, "", "AC", "acguaé", long[3:]])]
+    got = S.translate_sequences(spark.createDataFrame(rows, "id long, path string, sequence string"), frames=(2, -1, 1)).collect()
+    assert [(r.id, r.path, r.frame) for r in got] == [(i, "r", f) for i in range(6) for f in (2, -1, 1)]
+    numbers, aminos = B.base_numbers(), B.codon_numbers(codon_table("1"))
+    one = [p.decode() for p in B.proteins(np.frombuffer(long.encode(), np.uint8), numbers, aminos)]
+    assert (got[0].protein, got[2].protein) == (one[1], one[0]) and len(got[1].protein) == len(one[0])
+    assert [r.protein for r in got if r.id == 1] == [None] * 3 and {r.protein for r in got if r.id in (2, 3)} == {""}
