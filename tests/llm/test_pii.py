@@ -113,3 +113,10 @@ def test_thresholds_come_from_all_documents(spark, docs):
     assert counted.count() < 100 and counted.agg(F.sum("n")).first()[0] == plain.count()
     trees, cuts = P.learn(docs(rows))
     assert cuts["secret"] < float("inf") and P.thresholds(plain.filter("fold = 0 and free"), trees) == cuts
+
+
+def test_redaction_uses_thresholds_of_all_documents(spark, docs):
+    ids = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    rows = [(i, f"say token = \"a1b2c3d4e5f6{i:04}\" now" if n >= 5000 else f"Phone: 555-{i:04}-4567" if n % 2 else f"order 7301{i:04}-55") for n, i in enumerate(ids)]
+    got = [x.text for x in P.redact(docs(rows)).collect() if x.text.startswith("say")]
+    assert len(got) == 1000 and set(got) == {"say token = \"[SECRET]\" now"}, sorted(set(got))[:3]
