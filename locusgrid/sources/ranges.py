@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from fnmatch import fnmatch
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -290,3 +292,56 @@ def write_each(files: DataFrame, root: str) -> DataFrame:
             yield f["name"], len(f["content"])
 
     return _tuples(files.select("name", F.col("content").cast("binary").alias("content")), rows, "name string, length bigint")
+
+
+def write_lines(lines: DataFrame, root: str, head: str | None = None) -> int:
+    """Writes the rows of ``lines`` (name, value) to a file for each name in the new folder ``root``, ``head`` first; the
+    number of files. A null value is an empty line. All rows of a name must follow each other in one partition. A task
+    holds one batch and one open file, and makes no folder but those of the names, so many small files are cheap.
+    A file is moved to its place once it is whole, so a task that runs again replaces it, and the folder once all are there."""
+    first = (head + "\n").encode() if head else b""
+    work = f"{root.rstrip('/')}-unfinished-{uuid.uuid4().hex}"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(work)
+        attempt, made = f"{top}/attempts/{uuid.uuid4().hex}", set()
+        store.create_dir(attempt, recursive=True)
+        name, stream, done = None, None, 0
+
+        def close():
+            stream.close()
+            place = f"{top}/files/{name}"
+            folder = place.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            store.move(f"{attempt}/lines", place)
+
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(0))
+            ends = runs.run_ends.to_pylist()
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), batch.column(1)), "\n")
+            for now, text in zip(runs.values.to_pylist(), joined.to_pylist()):
+                if now != name:
+                    if stream:
+                        close()
+                        done += 1
+                    name, stream = now, store.open_output_stream(f"{attempt}/lines", compression=None)
+                    stream.write(first)
+                stream.write(text.encode() + b"\n")
+        if stream:
+            close()
+            done += 1
+        store.delete_dir(attempt)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["files"])
+
+    store, top = store_of(root.rstrip("/"))
+    if store.get_file_info(top).type != arrow_fs.FileType.NotFound:
+        raise FileExistsError(root)
+    unfinished = store_of(work)[1]
+    store.create_dir(f"{unfinished}/files", recursive=True)
+    written = lines.select("name", F.coalesce("value", F.lit("")).alias("value")).mapInArrow(rows, "files bigint")
+    n = written.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    store.move(f"{unfinished}/files", top)
+    store.delete_dir(unfinished)
+    return n

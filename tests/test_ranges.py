@@ -1,6 +1,7 @@
 """Byte ranges, listings by tasks, and readers that shuffle no lines."""
 
 import gzip
+import os
 import random
 
 import pytest
@@ -177,3 +178,32 @@ def test_stores_that_only_spark_opens(spark, data, monkeypatch):
     with pytest.raises(ValueError, match="/x/_a"):
         L.hidden_files(hidden)
     assert L.listing(spark, data).filter(F.col("path").endswith("me.txt")).count() == 1
+
+
+def test_lines_are_written_to_a_file_for_each_name(spark, tmp_path):
+    given = [(f"d{i % 3}/f{i:02}.txt", f"row {i} {j} \u00e9" if j else None) for i in range(40) for j in range(i + 1)]
+    df = spark.createDataFrame(given, "name string, value string").repartition(4, "name").sortWithinPartitions("name")
+    root = str(tmp_path / "out")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert ranges.write_lines(df, ranges.qualified(spark, root), "# head") == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name in {n for n, _ in given}:
+        head, *lines = (tmp_path / "out" / name).read_text().removesuffix("\n").split("\n")
+        assert head == "# head" and sorted(lines) == sorted(v or "" for n, v in given if n == name)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"]  # nothing unfinished is left
+    with pytest.raises(FileExistsError):
+        ranges.write_lines(df, ranges.qualified(spark, root))
+    assert ranges.write_lines(df.limit(0), ranges.qualified(spark, str(tmp_path / "none"))) == 0
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_an_export_of_many_samples_shares_few_folders(spark, monkeypatch):
+    from locusgrid import catalog_io
+    from locusgrid.catalog import Views
+
+    monkeypatch.setattr(catalog_io, "EXPORT_FOLDERS", 3)
+    path = catalog_io._export(Views(spark, "/root/testdata/sf0.01"), "ancestrydna")
+    files = [f for _, _, names in os.walk(path) for f in names]
+    assert len(files) == 100 and len(list(os.walk(path))) == 1 + 3

@@ -359,3 +359,19 @@ def test_a_large_sample_is_exported_as_several_files(spark):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).count()
     sizes = {r.sample_id: r["count"] for r in calls.groupBy("sample_id").count().collect()}
     assert files == sum(-(-n // 100) for n in sizes.values()) > len(sizes)
+
+
+def test_vcf_files_of_many_samples_are_written_without_side_files(spark, tmp_path):
+    import os
+
+    ids = ["a", "b/c=d%", "", None, "x [1]", "\u00e9"] + [f"s{i}" for i in range(50)]
+    cols = "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, format string, gt string"
+    df = spark.createDataFrame([(i, "1", k, "rs1", "A", "G", ".", "PASS", ".", "GT", "0/1") for i in ids for k in range(2)], "sample_id string, " + cols)
+    W.write_vcf(df, str(tmp_path / "vcf"))
+    df.select("sample_id", F.lit("x").alias("value")).write.partitionBy("sample_id").text(str(tmp_path / "spark"))
+    own, theirs = ({d for d in os.listdir(tmp_path / n) if "=" in d} for n in ("vcf", "spark"))
+    assert own == theirs and len(own) == len(ids) - 1
+    files = [f for _, _, names in os.walk(tmp_path / "vcf") for f in names]
+    assert len(files) == len(own)  # a partitioned write leaves a checksum beside each
+    back = spark.read.text(str(tmp_path / "vcf"))
+    assert back.count() == 2 * len(ids) and back.select("sample_id").distinct().count() == len(own)
