@@ -43,6 +43,20 @@ def test_literal_counts_against_brute_force(spark):
     assert C.literal_counts(docs.limit(0), ids).collect() == []
 
 
+def test_literal_counts_spell_only_runs_that_can_begin_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([("x-1 exm-rs12 y exm-rs1 e-f " * 20,)], "text string")
+    made = []
+
+    def seen(found, keys, on):
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(C, "prefilter", seen)
+    got = C.literal_counts(docs, spark.createDataFrame([("exm-rs12",), ("é",)], "rsid string")).collect()
+    assert [tuple(r) for r in got] == [("exm-rs12", 20)]
+    assert made == [3 * 20]  # exm-rs12, exm-rs1 and e-f, not every three runs
+
+
 def test_net_new_counts_other_shapes(spark):
     docs = spark.createDataFrame([("seen exm-rs12 and i3001, rs12.",), ("i3001",)], "text string")
     rows = spark.createDataFrame([("i3001",), ("exm-rs12",), ("rs12",), ("kgp5",), (None,)], "rsid string")
