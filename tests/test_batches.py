@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from locusgrid.functions.sequence import codon_table
 from locusgrid.operators import batches as B
 from locusgrid.operators import sequences as S
+from locusgrid.plans import jobs
 
 ROWS = [("a", "II5", 2), ("a", None, 3), ("a", "", 0), ("b", "é~I", 9), (None, "xy", 1), ("b", "z" * 400, 400), ("a", "I\U0001F600", 1),
         ("b", "I", None)]
@@ -182,3 +183,48 @@ def test_frames_are_handed_on_before_a_whole_batch_is_translated(spark, monkeypa
     one = [p.decode() for p in B.proteins(np.frombuffer(long.encode(), np.uint8), numbers, aminos)]
     assert (got[0].protein, got[2].protein) == (one[1], one[0]) and len(got[1].protein) == len(one[0])
     assert [r.protein for r in got if r.id == 1] == [None] * 3 and {r.protein for r in got if r.id in (2, 3)} == {""}
+
+
+def test_chunks_of_a_stretch_are_translated_at_once(monkeypatch):
+    calls, plain = [], B.code_points
+    monkeypatch.setattr(B, "code_points", lambda texts: calls.append(len(texts)) or plain(texts))
+    bases, n = ["ACGTTTAN", "", None, "AC", "acgUGATTACA"] * 200, 1000
+    for forward in (True, False):
+        translated = B.frame_chunks(codon_table("1"), forward).func
+        whole = translated(pa.array(bases), pa.array([300] * n), pa.array([900] * n))
+        assert calls == [n]
+        monkeypatch.setattr(B, "STRANDS", 50)
+        assert translated(pa.array(bases), pa.array([300] * n), pa.array([900] * n)) == whole and sum(calls) == 2 * n
+        monkeypatch.undo()
+        monkeypatch.setattr(B, "code_points", lambda texts: calls.append(len(texts)) or plain(texts))
+        calls.clear()
+        assert [len(x["protein"]) for x in whole[0].as_py()] == [2, 2, 2] and whole[1].as_py()[0]["protein"] == ""
+
+
+def test_reads_are_computed_once_for_their_tables(spark):
+    def tables(name):
+        seen = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def counted(text):
+            seen.add(1)
+            return text
+
+        df = spark.createDataFrame([(i, "ACGT" * (i % 7), "I" * (4 * (i % 7))) for i in range(70)], "read_no long, seq string, qual string")
+        reads = df.select(F.lit("a").alias("path"), "read_no", counted("seq").alias("seq"), counted("qual").alias("qual"))
+        got = {"top": S.overrepresented, "quality": S.qc_read_quality_hist, "box": S.qc_per_base_box, "all": jobs.qc_report_tables}[name](reads)
+        found = got if name == "all" else {name: got}
+        plans = "".join(x._jdf.queryExecution().analyzed().toString() for x in found.values())
+        rows = {k: sorted(x.collect()) for k, x in found.items()}
+        return rows, plans.count("counted("), seen.value
+
+    top, left, n = tables("top")
+    assert sorted((r.seq, r.n_reads, r.first_read) for r in top["top"]) == [("ACGT" * i, 10, i) for i in range(1, 7)]
+    assert left == 0 and n == 140  # each text once
+    hist, left, _ = tables("quality")
+    assert [(r.bin, r.n_reads) for r in hist["quality"]] == [(20, 60)] and left == 0
+    box, left, _ = tables("box")
+    assert len(box["box"]) == 24 and left == 0
+    every, left, _ = tables("all")
+    assert left == 0 and every["overrepresented"] == top["top"] and every["read_quality"] == hist["quality"]
+    assert every["per_base_quality"] == box["box"]
