@@ -128,3 +128,15 @@ def test_gates(spark):
     g = spark.createDataFrame([("g1",), ("g2",)], "group string")
     m = spark.createDataFrame([("g1",), ("g1",), ("g3",)], "group string")
     assert sorted(tuple(r) for r in gates.docs_per_group(m, g).collect()) == [("g1", 2), ("g2", 0)]
+
+
+def test_audit_totals_read_the_claims_once(spark):
+    kind = "doc long, rsids array<string>, stated_genotype string"
+    claims = spark.createDataFrame([(1, ["rs1"], "AG"), (2, ["rs1"], "GG"), (3, ["rs2", "rs1"], "AA"), (4, ["rs2"], None), (5, [], "CC"),
+                                    (6, [], "CT"), (7, None, None), (8, ["rs3"], "AA"), (9, ["rs3"], "AA")], kind)
+    docs = spark.range(12)
+    one, two = E.audit_totals(docs, claims), E.audit_totals(docs, claims, E.contradictions(claims))
+    assert one.columns == two.columns and one.collect() == two.collect() and tuple(one.first()) == (12, 9, 1)
+    reads = one._jdf.queryExecution().optimizedPlan().toString().count("rsids#")
+    assert 0 < reads < two._jdf.queryExecution().optimizedPlan().toString().count("rsids#")
+    assert tuple(E.audit_totals(docs, claims.limit(0)).first()) == (12, 0, 0)
