@@ -326,19 +326,21 @@ def read_dbsnp_sites(spark: SparkSession, path, **options) -> DataFrame:
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
     """``doc, name, text`` of every ``*.md`` below a folder, empty and hidden ones too; ``doc`` is the
-    path below it."""
+    path below it. Tasks read the files that they have listed, so the driver holds no list of them. In a store that tasks
+    can't open Spark's reader does."""
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.md"}
     files = L.listing(spark, path, **options)
-
-    def texts(reader) -> DataFrame:
-        encoded = F.replace(L.plain_path("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-        return reader.select(F.url_decode(encoded).alias("full"), "value")
-
     found = files.filter("length = 0").select(F.col("path").alias("full"), F.lit("").alias("value"))
-    if not files.filter("length > 0").isEmpty():
-        found = found.unionByName(texts(spark.read.options(**options).text(path, wholetext=True)))
-    hidden = L.hidden_files(files).select(F.col("path").alias("full"), F.decode("content", "utf-8").alias("value"))
-    found = found.unionByName(hidden)
+    filled = files.filter("length > 0")
+    if ranges.opens(spark, path):
+        found = found.unionByName(ranges.texts(filled).select(F.col("path").alias("full"), F.col("content").cast("string").alias("value")))
+    else:
+        if not filled.isEmpty():
+            encoded = F.replace(L.plain_path("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+            read = spark.read.options(**options).text(path, wholetext=True)
+            found = found.unionByName(read.select(F.url_decode(encoded).alias("full"), "value"))
+        hidden = L.hidden_files(files).select(F.col("path").alias("full"), F.decode("content", "utf-8").alias("value"))
+        found = found.unionByName(hidden)
     root, full = path.rstrip("/").removeprefix("file://") + "/", F.col("full")
     return found.select(
         F.when(full.contains(root), F.substr(full, F.locate(root, full) + len(root))).otherwise(full).alias("doc"),

@@ -207,3 +207,15 @@ def test_an_export_of_many_samples_shares_few_folders(spark, monkeypatch):
     path = catalog_io._export(Views(spark, "/root/testdata/sf0.01"), "ancestrydna")
     files = [f for _, _, names in os.walk(path) for f in names]
     assert len(files) == 100 and len(list(os.walk(path))) == 1 + 3
+
+
+def test_docs_are_read_by_tasks(spark, tmp_path):
+    docs = {"a b+%41.md": "x\r\ny\n", "d/\u00e9#?.md": "\u00e9\U0001F600", "_h/.i.md": "hidden", "d/e.md": "", "d/bad.md": b"a\xffb"}
+    for name, text in docs.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    for path in (str(tmp_path), f"file://{tmp_path}/"):
+        df = R.read_docs(spark, path)
+        got = {x.doc: bytes(x.t) for x in df.select("doc", F.col("text").cast("binary").alias("t")).collect()}
+        assert got == {k: v if isinstance(v, bytes) else v.encode() for k, v in docs.items()}
+        assert not [f for f in df.inputFiles() if f.endswith(".md")]  # the driver has no list of the documents
